@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.llm import embeddings, simhash
 from folioforge.llm.decontaminate import find_leaks
 from folioforge.llm.urls import judge_urls
 
@@ -14,15 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), spark.sql(RULES))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op9_url_filter": op9_url_filter}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_decontaminate, op7_simhash, op9_url_filter)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
