@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import embeddings, simhash
+from folioforge.llm import embeddings, langid, lm, quality, secrets, simhash
 from folioforge.llm.decontaminate import find_leaks
 from folioforge.llm.urls import judge_urls
 
@@ -23,15 +23,31 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents")).drop("value")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), spark.sql(RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_decontaminate, op7_simhash, op9_url_filter)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_decontaminate, op3_quality, op6_secrets, op7_simhash, op8_hmm, op9_url_filter, op10_language)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
