@@ -61,13 +61,13 @@ class RuleEnsemble:
     bias: float
     rules: tuple
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         """The probability of label 1 as an expression over the statistics columns."""
         total = F.lit(self.bias)
         for weight, rule in self.rules:
             holds = F.lit(True)
             for f, is_low, cut in rule:
-                c = F.col(STATISTICS[f])
+                c = F.col(prefix + STATISTICS[f])
                 holds = holds & ((c <= cut) if is_low else (c > cut))
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -122,6 +122,23 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, streng
     return RuleEnsemble(float(bias), tuple((float(w), r) for w, r in zip(weights, kept, strict=True) if abs(w) > 1e-6))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores `threshold` or more; each row by its own text."""
+    from folioforge.llm.shared import materialize
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = np.array([statistics(t) for t in pdf[text_col]], float).reshape(-1, len(STATISTICS))
+            pdf = pdf.reset_index(drop=True)
+            yield pd.concat([pdf, pd.DataFrame(values, columns=[f"_stat_{s}" for s in STATISTICS])], axis=1)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    wide = materialize(docs.mapInPandas(run, fields + ", " + ", ".join(f"_stat_{s} double" for s in STATISTICS)), "documents-statistics")
+    named = [F.col(f"_stat_{s}").alias(s) for s in STATISTICS]
+    model = train(wide.select(F.col(id_col).cast("long").alias("doc_id"), *named), labels, sample=sample)
+    return wide.filter(model.score(prefix="_stat_") >= threshold).select(*docs.columns)
+
+
 def train(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", sample: int = 20_000) -> RuleEnsemble:
     """Fit on the `sample` labelled rows whose ids hash lowest: the one bound of the training set. Rows whose crc32(id) mod 4 is 2 are never used."""
     given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")

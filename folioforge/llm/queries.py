@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioforge.llm import embeddings, langid, lm, quality, secrets, simhash
+from folioforge.llm import embeddings, langid, lm, packing, quality, secrets, simhash, simple8b
 from folioforge.llm.decontaminate import find_leaks
 from folioforge.llm.urls import judge_urls
 
@@ -15,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def digest_of(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +38,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_of(packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_ids(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return simple8b.read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("value")
 
@@ -47,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_decontaminate, op3_quality, op6_secrets, op7_simhash, op8_hmm, op9_url_filter, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_decontaminate, op3_quality, op4_pack, op5_token_ids, op6_secrets, op7_simhash, op8_hmm, op9_url_filter, op10_language)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
