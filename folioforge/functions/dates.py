@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.expr import chain, let
+
 # Month names and the short forms that are read.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 _MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+CLOCK = r"\s(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?\s?(am|pm|a\.m\.|p\.m\.)?\s?(z|utc|gmt|ut|[+\-]\d{2}:?(?:\d{2})?)?$"
 PIVOT = 69  # two-digit years from here on are of the 1900s
 
 
@@ -41,47 +44,55 @@ def read_date(c: Column, order: str = "") -> Column:
     Four-digit years in front are year, month, day. Otherwise a part over 12 settles day and month, as does `order`
     (dmy or mdy); ymd does not settle d/m/y. What stays open has a NULL value and both readings.
     """
-    t = F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[,\s]+", " "), r"(?<=\d)[Tt](?=\d)", " ")))
-    clock = r"\s(\d{1,2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?\s?(am|pm|a\.m\.|p\.m\.)?\s?(z|utc|gmt|ut|[+\-]\d{2}:?(?:\d{2})?)?$"
-    body = F.regexp_replace(t, clock, "")
-    hour, minute, second = _number(_part(t, clock, 1)), _number(_part(t, clock, 2)), F.coalesce(_number(_part(t, clock, 3)), F.lit(0))
-    half = F.substring(_part(t, clock, 5), 1, 1)
-    hour24 = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    clocked = t.rlike(clock)
-    sound = ~clocked | ((hour24 <= 23) & (minute <= 59) & (second <= 60))
-    seconds = F.when(clocked, hour24 * 3600 + minute * 60 + second + F.coalesce(F.when(_part(t, clock, 4) != "", F.concat(F.lit("0"), _part(t, clock, 4)).cast("double")), F.lit(0.0)))
-    offset = _part(t, clock, 6)
-    zone = F.when(offset.rlike(r"^[+\-]"), F.when(offset.startswith("-"), -1).otherwise(1) * (_number(F.substring(offset, 2, 2)) * 60 + F.coalesce(_number(F.regexp_extract(offset, r"^.\d{2}:?(\d{2})$", 1)), F.lit(0)))).when(offset != "", 0)
-    ymd = r"^(\d{4})([-/. ])(\d{1,2})\2(\d{1,2})$"
-    compact = r"^(\d{4})(\d{2})(\d{2})$"
-    named = [  # pattern, then groups of year, month name, day
-        (rf"^{_DAY}(?: of)?[ \-./]({_MONTH})[ \-./](\d{{4}}|\d{{2}})$", 3, 2, 1),
-        (rf"^({_MONTH})[ \-./]{_DAY}[ \-./](\d{{4}}|\d{{2}})$", 3, 1, 2),
-        (rf"^(\d{{4}})[ \-./]{_DAY}[ \-./]({_MONTH})$", 1, 3, 2),
-        (rf"^(\d{{4}})[ \-./]({_MONTH})[ \-./]{_DAY}$", 1, 2, 3),
-    ]
-    numeric = r"^(\d{1,2})([-/. \\])(\d{1,2})\2(\d{4}|\d{2})$"
-    a, b, y = _number(_part(body, numeric, 1)), _number(_part(body, numeric, 3)), _year(_part(body, numeric, 4))
-    by_day, by_month = _date(y, b, a), _date(y, a, b)
-    open_ = body.rlike(numeric) & (a <= 12) & (b <= 12) & (a != b) & F.lit(order not in ("dmy", "mdy"))
-    settled = by_day if order == "dmy" else by_month if order == "mdy" else F.when(a > 12, by_day).when(b > 12, by_month).when(a == b, by_day)
-    if order in ("dmy", "mdy"):
-        settled = F.coalesce(settled, F.when(a > 12, by_day), F.when(b > 12, by_month))
-    value = F.coalesce(
-        F.when(body.rlike(ymd), _date(_year(_part(body, ymd, 1)), _number(_part(body, ymd, 3)), _number(_part(body, ymd, 4)))),
-        F.when(body.rlike(compact), _date(_year(_part(body, compact, 1)), _number(_part(body, compact, 2)), _number(_part(body, compact, 3)))),
-        *[F.when(body.rlike(p), _date(_year(_part(body, p, gy)), _month(_part(body, p, gm)), _number(_part(body, p, gd)))) for p, gy, gm, gd in named],
-        F.when(body.rlike(numeric) & ~open_, settled),
-    )
-    read = F.struct(
-        F.when(sound, value).alias("value"), F.coalesce(open_, F.lit(False)).alias("ambiguous"), F.when(open_, by_day).alias("day_first"), F.when(open_, by_month).alias("month_first"),
-        seconds.alias("seconds"), zone.cast("int").alias("zone_minutes"),
-    )
-    return F.when(sound & (value.isNotNull() | open_), read)
+    clock = CLOCK
+
+    def read(x: Column) -> Column:
+        t, body = x["t"], x["body"]
+        hour, minute, second = _number(_part(t, clock, 1)), _number(_part(t, clock, 2)), F.coalesce(_number(_part(t, clock, 3)), F.lit(0))
+        half = F.substring(_part(t, clock, 5), 1, 1)
+        hour24 = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        clocked = t.rlike(clock)
+        sound = ~clocked | ((hour24 <= 23) & (minute <= 59) & (second <= 60))
+        seconds = F.when(clocked, hour24 * 3600 + minute * 60 + second + F.coalesce(F.when(_part(t, clock, 4) != "", F.concat(F.lit("0"), _part(t, clock, 4)).cast("double")), F.lit(0.0)))
+        offset = _part(t, clock, 6)
+        zone = F.when(offset.rlike(r"^[+\-]"), F.when(offset.startswith("-"), -1).otherwise(1) * (_number(F.substring(offset, 2, 2)) * 60 + F.coalesce(_number(F.regexp_extract(offset, r"^.\d{2}:?(\d{2})$", 1)), F.lit(0)))).when(offset != "", 0)
+        ymd = r"^(\d{4})([-/. ])(\d{1,2})\2(\d{1,2})$"
+        compact = r"^(\d{4})(\d{2})(\d{2})$"
+        named = [  # pattern, then groups of year, month name, day
+            (rf"^{_DAY}(?: of)?[ \-./]({_MONTH})[ \-./](\d{{4}}|\d{{2}})$", 3, 2, 1),
+            (rf"^({_MONTH})[ \-./]{_DAY}[ \-./](\d{{4}}|\d{{2}})$", 3, 1, 2),
+            (rf"^(\d{{4}})[ \-./]{_DAY}[ \-./]({_MONTH})$", 1, 3, 2),
+            (rf"^(\d{{4}})[ \-./]({_MONTH})[ \-./]{_DAY}$", 1, 2, 3),
+        ]
+        numeric = r"^(\d{1,2})([-/. \\])(\d{1,2})\2(\d{4}|\d{2})$"
+        a, b, y = _number(_part(body, numeric, 1)), _number(_part(body, numeric, 3)), _year(_part(body, numeric, 4))
+        by_day, by_month = _date(y, b, a), _date(y, a, b)
+        open_ = body.rlike(numeric) & (a <= 12) & (b <= 12) & (a != b) & F.lit(order not in ("dmy", "mdy"))
+        settled = by_day if order == "dmy" else by_month if order == "mdy" else F.when(a > 12, by_day).when(b > 12, by_month).when(a == b, by_day)
+        if order in ("dmy", "mdy"):
+            settled = F.coalesce(settled, F.when(a > 12, by_day), F.when(b > 12, by_month))
+        value = F.coalesce(
+            F.when(body.rlike(ymd), _date(_year(_part(body, ymd, 1)), _number(_part(body, ymd, 3)), _number(_part(body, ymd, 4)))),
+            F.when(body.rlike(compact), _date(_year(_part(body, compact, 1)), _number(_part(body, compact, 2)), _number(_part(body, compact, 3)))),
+            *[F.when(body.rlike(p), _date(_year(_part(body, p, gy)), _month(_part(body, p, gm)), _number(_part(body, p, gd)))) for p, gy, gm, gd in named],
+            F.when(body.rlike(numeric) & ~open_, settled),
+        )
+        made = lambda v: F.struct(
+            F.when(sound, v).alias("value"), F.coalesce(open_, F.lit(False)).alias("ambiguous"), F.when(open_, by_day).alias("day_first"), F.when(open_, by_month).alias("month_first"),
+            seconds.alias("seconds"), zone.cast("int").alias("zone_minutes"),
+        )
+        return let(value, lambda v: F.when(sound & (v.isNotNull() | open_), made(v)))
+
+    whole = F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[,\s]+", " "), r"(?<=\d)[Tt](?=\d)", " ")))
+    return chain(whole, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, clock, "").alias("body")), read)
 
 
 def read_timestamp(c: Column, order: str = "") -> Column:
     """The instant in UTC (microseconds; finer digits are cut), midnight where no clock is printed."""
-    d = read_date(c, order)
+    return let(read_date(c, order), instant)
+
+
+def instant(d: Column) -> Column:
+    """The instant of what read_date() gives."""
     shift = F.coalesce(d["seconds"], F.lit(0.0)) - F.coalesce(d["zone_minutes"], F.lit(0)) * 60
     return F.timestamp_micros(F.unix_micros(d["value"].cast("timestamp")) + F.floor(shift * 1_000_000).cast("bigint"))

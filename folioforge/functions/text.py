@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.expr import chain, let
+
 # Code points without width or that only direct the order of text.
 ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufeff\u180e\u034f\u115f\u1160"
 BIDI = "\u061c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
@@ -29,19 +31,25 @@ def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
 
 
 ONE, MANY = _compatibility()
+_RARE = "[" + "".join(ch for ch in MANY if ord(ch) < 0x10000) + "]"
 
 
 def canonical(c: Column) -> Column:
     """Compatibility forms folded, every run of white space one space; not trimmed."""
-    t = F.translate(c, "".join(ONE), "".join(ONE.values()))
-    rare = "[" + "".join(MANY) + "]"
-    spread = t
-    for ch, to in MANY.items():
-        if ord(ch) < 0x10000:
-            spread = F.replace(spread, F.lit(ch), F.lit(to))
-    bold = F.array_join(F.transform(F.split(spread, ""), lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in MANY.items() if ord(kv[0]) >= 0x10000 for v in kv]), x), x)), "")
-    spread = F.when(spread.rlike(r"[\x{1D400}-\x{1D7FF}]"), bold).otherwise(spread)
-    return F.regexp_replace(F.when(t.rlike(rare), spread).otherwise(t), r"[\s\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+", " ")
+
+    def spread(t: Column) -> Column:
+        out = t
+        for ch, to in MANY.items():
+            if ord(ch) < 0x10000:
+                out = F.replace(out, F.lit(ch), F.lit(to))
+        return F.when(t.rlike(_RARE), out).otherwise(t)
+
+    def plain_letters(t: Column) -> Column:
+        letters = F.create_map(*[F.lit(v) for kv in MANY.items() if ord(kv[0]) >= 0x10000 for v in kv])
+        return F.when(t.rlike(r"[\x{1D400}-\x{1D7FF}]"), F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")).otherwise(t)
+
+    whole = chain(F.translate(c, "".join(ONE), "".join(ONE.values())), spread, plain_letters)
+    return F.regexp_replace(whole, r"[\s\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+", " ")
 
 
 def without_ignorable(c: Column) -> Column:
@@ -79,11 +87,14 @@ def number_tokens(text: Column) -> Column:
 
 def number_readings(token: Column) -> Column:
     """All values a printed number can have: the last separator as decimal point, and as grouping where groups allow it."""
-    bare = F.regexp_replace(F.regexp_replace(token, r"[ '\x{a0}\x{2009}\x{202f}\x{2019}]", ""), r"\x{2212}", "-")
-    decimal = F.when(bare.rlike(r"^-?(\d+|\d+([.,]\d{2,3})*[.,]\d{3})[.,]\d+$"), F.concat(F.regexp_replace(F.regexp_extract(bare, r"^(.*)[.,]\d+$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(bare, r"[.,](\d+)$", 1)).cast("double"))
-    grouped = F.when(bare.rlike(r"^-?\d+([.,]\d{2,3})*[.,]\d{3}$"), F.regexp_replace(bare, "[.,]", "").cast("double"))
-    whole = F.when(bare.rlike(r"^-?\d+$"), bare.cast("double"))
-    return F.array_distinct(F.array_compact(F.array(whole, decimal, grouped)))
+
+    def read(bare: Column) -> Column:
+        decimal = F.when(bare.rlike(r"^-?(\d+|\d+([.,]\d{2,3})*[.,]\d{3})[.,]\d+$"), F.concat(F.regexp_replace(F.regexp_extract(bare, r"^(.*)[.,]\d+$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(bare, r"[.,](\d+)$", 1)).cast("double"))
+        grouped = F.when(bare.rlike(r"^-?\d+([.,]\d{2,3})*[.,]\d{3}$"), F.regexp_replace(bare, "[.,]", "").cast("double"))
+        whole = F.when(bare.rlike(r"^-?\d+$"), bare.cast("double"))
+        return F.array_distinct(F.array_compact(F.array(whole, decimal, grouped)))
+
+    return let(F.regexp_replace(F.regexp_replace(token, r"[ '\x{a0}\x{2009}\x{202f}\x{2019}]", ""), r"\x{2212}", "-"), read)
 
 
 def nearly(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.expr import chain, let
+
 # Active ISO 4217 codes.
 CURRENCIES = (
     "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP "
@@ -46,23 +48,32 @@ def parse_number(c: Column) -> Column:
     With both separators the later is decimal. One separator, once, is decimal unless exactly three digits follow
     a first group other than a bare 0. Groups have three digits, or two where another separator follows.
     """
-    t = F.regexp_replace(c, r"^\s+|\s+$", "")
-    bracketed = t.rlike(r"(?s)^\(.*\)$")
-    t = _without_units(F.when(bracketed, t.substr(F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t))
-    signed, bare = F.lit(False), t
-    for sign in reversed(["-", "\u2212", "\u2013"]):
-        before, after = t.startswith(sign), t.endswith(sign)
-        signed = F.when(before | after, True).otherwise(signed)
-        bare = F.when(before, F.substring(t, F.lit(2), F.length(t))).when(after, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(bare)
-    t = F.regexp_replace(_without_units(F.regexp_replace(F.trim(bare), r"^\+", "")), " ", "")
-    marks = F.length(F.regexp_replace(t, r"[^.,]", ""))
-    both = t.contains(",") & t.contains(".")
-    decimal = both | ((marks == 1) & (~t.rlike(r"[.,].{3}$") | t.rlike(r"^0?[.,]")))
-    head, tail = F.regexp_extract(t, r"^(.*)[.,][^.,]*$", 1), F.regexp_extract(t, r"[.,]([^.,]*)$", 1)
-    fraction = t.rlike(rf"^(?:{GROUPED})?[.,]\d*$") & t.rlike(r"\d")
-    plain = F.when(decimal & fraction, F.concat(F.lit("0"), F.regexp_replace(head, "[.,]", ""), F.lit("."), tail, F.lit("0"))).when(~decimal & t.rlike(rf"^{GROUPED}$"), F.regexp_replace(t, "[.,]", ""))
-    value = plain.cast("double")
-    return F.when(F.abs(value) < float("inf"), F.when(bracketed != signed, -value).otherwise(value))
+
+    def unbracketed(t: Column) -> Column:
+        bracketed = t.rlike(r"(?s)^\(.*\)$")
+        inner = F.when(bracketed, F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
+        return F.struct(bracketed.alias("minus"), _without_units(inner).alias("t"))
+
+    def unsigned(x: Column) -> Column:
+        t, signed, bare = x["t"], F.lit(False), x["t"]
+        for sign in reversed(["-", "\u2212", "\u2013"]):
+            before, after = t.startswith(sign), t.endswith(sign)
+            signed = F.when(before | after, True).otherwise(signed)
+            bare = F.when(before, F.substring(t, F.lit(2), F.length(t))).when(after, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(bare)
+        digits = F.regexp_replace(_without_units(F.regexp_replace(F.trim(bare), r"^\+", "")), " ", "")
+        return F.struct((x["minus"] != signed).alias("minus"), digits.alias("t"))
+
+    def read(x: Column) -> Column:
+        t = x["t"]
+        marks = F.length(F.regexp_replace(t, r"[^.,]", ""))
+        both = t.contains(",") & t.contains(".")
+        decimal = both | ((marks == 1) & (~t.rlike(r"[.,].{3}$") | t.rlike(r"^0?[.,]")))
+        head, tail = F.regexp_extract(t, r"^(.*)[.,][^.,]*$", 1), F.regexp_extract(t, r"[.,]([^.,]*)$", 1)
+        fraction = t.rlike(rf"^(?:{GROUPED})?[.,]\d*$") & t.rlike(r"\d")
+        plain = F.when(decimal & fraction, F.concat(F.lit("0"), F.regexp_replace(head, "[.,]", ""), F.lit("."), tail, F.lit("0"))).when(~decimal & t.rlike(rf"^{GROUPED}$"), F.regexp_replace(t, "[.,]", ""))
+        return let(plain.cast("double"), lambda value: F.when(F.abs(value) < float("inf"), F.when(x["minus"], -value).otherwise(value)))
+
+    return chain(F.regexp_replace(c, r"^\s+|\s+$", ""), unbracketed, unsigned, read)
 
 
 def parse_bool(c: Column) -> Column:
@@ -72,10 +83,9 @@ def parse_bool(c: Column) -> Column:
 
 def parse_integer(c: Column, bits: int = 64, unsigned: bool = False) -> Column:
     """A whole number that fits the width; fractions, overflow and, if unsigned, negatives are refused."""
-    n = parse_number(c)
     low, high = (0, 2**bits) if unsigned else (-(2 ** (bits - 1)), 2 ** (bits - 1))
     kind = "decimal(20,0)" if unsigned and bits == 64 else "bigint"
-    return F.when((n == F.floor(n)) & (n >= F.lit(float(low))) & (n < F.lit(float(high))), n.cast(kind))
+    return let(parse_number(c), lambda n: F.when((n == F.floor(n)) & (n >= F.lit(float(low))) & (n < F.lit(float(high))), n.cast(kind)))
 
 
 def normalise_currency(c: Column) -> Column:
