@@ -50,7 +50,7 @@ def check_tables(cells: DataFrame) -> DataFrame:
 def markdown(cells: DataFrame, columns: int = 256, rows: int = 1024) -> DataFrame:
     """(table_id, markdown): the grid of first cells by place, pipes escaped, a rule below row 0 if it has headers."""
     kept = cells.filter((F.col("row") < rows) & (F.col("col") < columns))
-    shown = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), r"\|", r"\\\\|")
+    shown = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), r"\|", r"\\|")
     place = F.map_from_entries(F.collect_list(F.struct(F.struct("row", "col"), "t")))
     first = kept.groupBy("table_id", "row", "col").agg(F.min_by(shown, "seq").alias("t"), F.bool_or(F.col("kind") == "header").alias("header"))
     grid = first.groupBy("table_id").agg(place.alias("m"), F.max("row").alias("h"), F.max("col").alias("w"), F.bool_or(F.col("header") & (F.col("row") == 0)).alias("headed"))

@@ -73,8 +73,8 @@ def score(fields: DataFrame) -> DataFrame:
 def with_cross_fields(fields: DataFrame, checks: DataFrame) -> DataFrame:
     """Adds cross_total and cross_passed, the applicable and the passed rules that name a field; a failure makes it invalid."""
     named = checks.filter("applicable").select("doc_id", F.explode("keys").alias("_k"), F.col("passed"))
-    sums = named.groupBy("doc_id", "_k").agg(F.count("*").cast("int").alias("cross_total"), F.count_if("passed").cast("int").alias("cross_passed"))
-    joined = fields.join(sums, (fields["doc_id"] == sums["doc_id"]) & ((fields["key"] == sums["_k"]) | (fields["group_key"] == sums["_k"])), "left").drop(sums["doc_id"]).drop("_k")
+    sums = named.groupBy(F.col("doc_id").alias("_d"), "_k").agg(F.count("*").cast("int").alias("cross_total"), F.count_if("passed").cast("int").alias("cross_passed"))
+    joined = fields.join(sums, (F.col("doc_id") == F.col("_d")) & ((F.col("key") == F.col("_k")) | (F.col("group_key") == F.col("_k"))), "left").drop("_d", "_k")
     return joined.withColumn("valid", F.col("valid") & F.coalesce(F.col("cross_total") == F.col("cross_passed"), F.lit(True)))
 
 
