@@ -322,7 +322,56 @@ def scheme_types(spark, sf_dir):
     return spark.createDataFrame([(f.key, f.kind, T.StructType.jsonValue(schema.spark_type(ORDER))["fields"][k]["name"], len(node)) for k, f in enumerate(ORDER.fields)], "key string, kind string, name string, size int")
 
 
+def src_detect(spark, sf_dir):
+    from folioforge.sources import detect
+
+    heads = [b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xe0", b"II*\0", b"RIFFxxxxWEBP", b"junk%PDF-1.4", b"a,b\n1,2\n", b"plain"]
+    content = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("n_nationkey") % 7 + 1).cast("int"))
+    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), content.alias("content"), F.lit(None).cast("string").alias("error"))
+    return detect.identify(files).select("doc_id", "kind", "pages", "media", "error")
+
+
+def src_csv(spark, sf_dir):
+    from folioforge.sources import office
+
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.format_string('%s,"N, %d"', "n_name", "n_nationkey"))), "\n").alias("t"))
+    files = n.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.lit("csv").alias("kind"), F.col("t").cast("binary").alias("content"))
+    return office.read_words(files).groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]), "|").alias("cells"))
+
+
+def src_pdf(spark, sf_dir):
+    from folioforge.sources import pdf
+
+    body = F.concat(F.lit("BT /F1 10 Tf 50 700 Td ("), F.col("n_name"), F.lit(" nation) Tj 0 -20 Td (of region "), F.col("n_regionkey").cast("string"), F.lit(") Tj ET"))
+    made = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[3 0 R]/MediaBox[0 0 600 800]>> endobj\n3 0 obj <</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>> endobj\n4 0 obj <</Length "),
+        F.length(body).cast("string"), F.lit(">> stream\n"), body, F.lit("\nendstream endobj\n5 0 obj <</Type/Font/Subtype/Type1/Encoding/WinAnsiEncoding>> endobj\ntrailer <</Root 1 0 R>>"),
+    )
+    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit("pdf").alias("kind"), made.cast("binary").alias("content"))
+    words = pdf.read_words(files)
+    lines = F.array_join(F.transform("words", lambda w: F.concat(w["line"].cast("string"), F.lit(":"), w["text"])), " ")
+    return words.select("doc_id", "page", "width", "height", "chars", lines.alias("words"), pdf.unusable(F.col("chars"), F.col("replaced"), F.col("undecoded"), F.col("width"), F.col("height")).alias("unusable"))
+
+
+def norm_map(spark, sf_dir):
+    from folioforge.operators import mapping
+
+    w = words_of_documents(spark, sf_dir).withColumn("conf", F.lit(1.0))
+    made = mapping.normalise_words(w)
+    last = F.element_at("segments", -1)["end"]
+    return made.select("doc_id", F.size("pages").alias("pages"), (last == F.length("text")).alias("tiled"))
+
+
+def prompt_requests(spark, sf_dir):
+    from folioforge.operators import prompt
+
+    pages = order_replies(spark, sf_dir).select("doc_id", F.array("source").alias("bodies"))
+    r = prompt.requests(pages, ORDER)
+    return r.select("doc_id", (F.length("request") - F.length(F.replace("request", F.lit("Order n-"), F.lit("")))).alias("held"), F.col("error").isNull().alias("bounded"))
+
+
 FUNCTIONS = (
+    src_detect, src_csv, src_pdf, norm_map, prompt_requests,
     conv_number, conv_bool_int, date_parse, date_order, date_clock, fmt_iban, fmt_phone, fmt_email, fmt_codes, norm_canonical, gnd_literal, gnd_numbers, asm_walk, val_rules, gnd_fields, score_answers, explain_field, cmp_readings, xf_rules,
     ev_report, ev_calibration, ev_bands, ev_risk, ev_risk_at, ev_review, ev_cost, ev_compare, ev_leaf_keys, ocr_reading_order, norm_lines, norm_median_height, norm_regions, finding_table, finding_instructions, finding_off_page,
     join_interval, join_as_of, join_spatial, join_anti_semi, agree_pairs, otel_metrics, otel_spans, events_window, breaker_replay, scheme_types,
@@ -342,6 +391,13 @@ _W = r"""w AS (SELECT doc_id, i, t AS text, i // 480 + 1 AS page, (i // 12) % 40
   FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS t, unnest(range(len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')))) AS i FROM documents))"""
 
 ORACLE_SQL = {
+    "src_detect": """SELECT n_nationkey::BIGINT AS doc_id, ['png', 'jpeg', 'tiff', 'webp', 'pdf', 'csv', NULL][n_nationkey % 7 + 1] AS kind, [1, 1, 0, 1, 0, 0, 0][n_nationkey % 7 + 1] AS pages,
+        ['image/png', 'image/jpeg', 'image/tiff', 'image/webp', 'application/pdf', 'text/csv', NULL][n_nationkey % 7 + 1] AS media, CASE WHEN n_nationkey % 7 = 6 THEN 'unsupported' END AS error FROM nation""",
+    "src_csv": """SELECT n_regionkey::BIGINT AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name || ',"N, ' || n_nationkey || '"') AS INTEGER) AS line, n_name || '|N, ' || n_nationkey AS cells FROM nation""",
+    "src_pdf": """SELECT n_nationkey::BIGINT AS doc_id, 1 AS page, 600.0::DOUBLE AS width, 800.0::DOUBLE AS height, length(n_name) + 7 + 11 AS chars,
+        '0:' || replace(n_name, ' ', ' 0:') || ' 0:nation 1:of 1:region 1:' || n_regionkey AS words, CASE WHEN (length(n_name) + 18) / (600 * 800 / 5184.0) < 0.5 THEN 'too little text' END AS unusable FROM nation""",
+    "norm_map": r"SELECT doc_id, CAST((len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) - 1) // 480 + 1 AS INTEGER) AS pages, true AS tiled FROM documents",
+    "prompt_requests": "SELECT o_orderkey AS doc_id, 8 AS held, true AS bounded FROM orders",
     "conv_number": "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 4 = 2 THEN -l_extendedprice ELSE l_extendedprice END, 2) AS value FROM lineitem",
     "conv_bool_int": """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS flag, CAST(l_quantity AS BIGINT) AS quantity,
         CASE WHEN round_even(l_extendedprice, 0) < 32768 THEN CAST(round_even(l_extendedprice, 0) AS BIGINT) END AS price16 FROM lineitem""",
