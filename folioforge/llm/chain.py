@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STEPS = 512  # tokens of a piece; longer sequences are joined from the transfer matrices of their pieces
+STEPS = 256  # tokens of a piece; longer sequences are joined from the transfer matrices of their pieces
+EVERY = 8  # steps between scalings
 
 
 @dataclass
@@ -20,7 +21,7 @@ class Chains:
 def run(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, *, posteriors: bool = False, steps: int = STEPS) -> Chains:
     """emit: tokens x states, positive, sequences one after another; lengths: tokens of each, 1 or more.
 
-    Vectors are scaled to sum 1 at every step and the logarithms of the scales are added up, so long sequences
+    Vectors are scaled to sum 1 every few steps and the logarithms of the scales are added up, so long sequences
     neither underflow nor lose exactness. Sequences longer than `steps` are cut into pieces; a piece's transfer
     matrix links the vectors at its ends, so all pieces advance together.
     """
@@ -57,9 +58,11 @@ def run(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarr
         for t in range(1, int(size[rows[0]])):
             m = int((size[rows] > t).sum())
             q = (p[:m].reshape(-1, states) @ move).reshape(m, states, states) * emit[begin[rows[:m]] + t][:, None, :]
-            top = q.max(axis=(1, 2))
-            p[:m] = q / top[:, None, None]
-            log[:m] += np.log(top)
+            if t % EVERY == 0:
+                top = q.reshape(m, -1) @ np.ones(states * states)
+                q /= top[:, None, None]
+                log[:m] += np.log(top)
+            p[:m] = q
         at = np.full(owner.size, -1)
         at[rows] = np.arange(rows.size)
         seq = np.flatnonzero(long_)
@@ -89,17 +92,19 @@ def run(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarr
         active = np.searchsorted(-size, -np.arange(size[0]), "left")
         short = short[keep]
     alpha = np.empty_like(emit) if posteriors else None
-    a, log = enter.copy(), np.zeros(owner.size)
+    a, log, one = enter.copy(), np.zeros(owner.size), np.ones(states)
     for t in range(int(size[0])):
         m = int(active[t])
         prior = np.where((nth[:m] == 0)[:, None], a[:m], a[:m] @ move) if t == 0 else a[:m] @ move
         x = prior * emit[begin[:m] + t]
-        total = x.sum(axis=1)
-        a[:m] = x / total[:, None]
-        log[:m] += np.log(total)
+        if t % EVERY == 0:
+            total = x @ one
+            x /= total[:, None]
+            log[:m] += np.log(total)
+        a[:m] = x
         if posteriors:
-            alpha[begin[:m] + t] = a[:m]
-    loglik[owner[short]] += log[short]
+            alpha[begin[:m] + t] = x
+    loglik[owner[short]] += log[short] + np.log(a[short] @ one)
     if not posteriors:
         return Chains(loglik, gamma, moves, starts)
     b = leave
@@ -107,7 +112,7 @@ def run(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarr
         m = int(active[t])
         token = begin[:m] + t
         g = alpha[token] * b[:m]
-        g /= g.sum(axis=1, keepdims=True)
+        g /= (g @ one)[:, None]
         gamma[token] = g
         v = emit[token] * b[:m]
         if t == 0:
@@ -117,9 +122,11 @@ def run(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarr
         else:
             prior = alpha[token - 1]
         if len(v):
-            z = ((prior @ move) * v).sum(axis=1, keepdims=True)
-            moves += move * ((prior / z).T @ v)
+            z = ((prior @ move) * v) @ one
+            moves += move * ((prior / z[:, None]).T @ v)
         if t:
             nb = v @ move.T
-            b[:m] = nb / nb.sum(axis=1, keepdims=True)
+            if t % EVERY == 0:
+                nb /= (nb @ one)[:, None]
+            b[:m] = nb
     return Chains(loglik, gamma, moves, starts)

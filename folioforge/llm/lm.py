@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
@@ -17,9 +16,8 @@ from folioforge.llm import chain
 from folioforge.llm.quality import held_out
 from folioforge.llm.shared import materialize
 
-SLICE_CHARS = 1_500_000  # characters of the texts that are recursed over together
+SLICE_CHARS = 4_000_000  # characters of the texts that are recursed over together
 MEMO_WORDS = 400_000  # distinct words that a Python worker remembers
-COUNTER_WORDS = 400_000  # distinct words that a task counts before it hands its counts on
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,12 +25,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def slices(texts: list) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about SLICE_CHARS characters; a longer text is a range of its own."""
+def slices(texts: list, most: int = 0) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about SLICE_CHARS characters (or `most`); a longer text is a range of its own."""
     begin = total = 0
+    most = most or SLICE_CHARS
     for k, t in enumerate(texts):
         n = len(t or "")
-        if total and total + n > SLICE_CHARS:
+        if total and total + n > most:
             yield begin, k
             begin, total = k, 0
         total += n
@@ -103,33 +102,41 @@ def _bucket(numbers: np.ndarray, memo: _Words, buckets: int) -> np.ndarray:
     return of[numbers]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): count of every word of the training texts, by its 64-bit hash; a task hands on sums."""
+def _read_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """One pass over the texts, written: rows (h, c) with counts of training words by their 64-bit hash, summed in the task, and rows (tokens) with a training text's buckets, the end's included, as unsigned 16-bit numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        sums, owner = np.zeros(0, np.int64), None  # of the words that `owner` numbers
 
         def out() -> pd.DataFrame:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in counts], np.uint64).view(np.int64)
-            frame = pd.DataFrame({"h": h, "c": np.fromiter(counts.values(), np.int64, len(counts))})
-            counts.clear()
-            return frame
+            some = np.flatnonzero(sums)
+            return pd.DataFrame({"h": owner.hashes[some].view(np.int64), "c": sums[some], "tokens": None})
 
         for pdf in batches:
-            for t in pdf["body"][pdf["train"]]:
-                counts.update(words_of(t))
-                if len(counts) > COUNTER_WORDS:
-                    yield out()
-        if counts:
+            texts = list(pdf["body"][pdf["train"]])
+            for a, b in slices(texts):
+                memo = _memo("buckets")
+                if memo is not owner:
+                    if owner is not None:
+                        yield out()
+                    owner, sums = memo, np.zeros(0, np.int64)
+                numbers, lengths = _numbered(texts[a:b], memo)
+                memo.settle()
+                raw, end = _bucket(numbers, memo, buckets).astype("<u2").tobytes(), 2 * np.cumsum(lengths)
+                yield pd.DataFrame({"h": None, "c": None, "tokens": [raw[x:y] for x, y in zip((end - 2 * lengths).tolist(), end.tolist(), strict=True)]})
+                now = np.bincount(numbers[numbers >= 0], minlength=len(memo))
+                now[: sums.size] += sums
+                sums = now
+        if owner is not None:
             yield out()
 
-    return docs.select("train", "body").mapInPandas(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return materialize(docs.select("train", "body").mapInPandas(run, "h long, c long, tokens binary"), "words")
 
 
-def _expectations(docs: DataFrame, model: Hmm) -> Hmm:
+def _expectations(tokens: DataFrame, model: Hmm) -> Hmm:
     """Sums over all training texts of the expected counts under `model`, in the shape of a model."""
     k, width = model.move.shape[0], model.emit.shape[1]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # states x buckets, a fixed size
+    shared = tokens.sparkSession.sparkContext.broadcast(model)  # states x buckets, a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -138,13 +145,10 @@ def _expectations(docs: DataFrame, model: Hmm) -> Hmm:
         by_bucket = np.ascontiguousarray(m.emit.T)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, width))
         for pdf in batches:
-            texts = list(pdf["body"][pdf["train"]])
-            for a, b in slices(texts):
-                memo = _memo("buckets")
-                numbers, lengths = _numbered(texts[a:b], memo)
-                memo.settle()
-                token = _bucket(numbers, memo, m.buckets)
-                got = chain.run(by_bucket[token], lengths, m.start, m.move, posteriors=True)
+            texts = list(pdf["tokens"])
+            for a, b in slices(texts, SLICE_CHARS // 3):
+                token = np.frombuffer(b"".join(texts[a:b]), "<u2").astype(np.int64)
+                got = chain.run(by_bucket[token], np.array([len(t) // 2 for t in texts[a:b]]), m.start, m.move, posteriors=True)
                 start += got.starts
                 move += got.moves
                 for s in range(k):
@@ -154,8 +158,8 @@ def _expectations(docs: DataFrame, model: Hmm) -> Hmm:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"task": [0], "sums": [sum(np.frombuffer(s, float) for s in pdf["sums"]).tobytes()]})
 
-    rows = docs.select("train", "body").mapInPandas(run, "task int, sums binary")
-    groups = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
+    rows = tokens.mapInPandas(run, "task int, sums binary")
+    groups = max(1, int(tokens.rdd.getNumPartitions() ** 0.5))
     summed = rows.groupBy((F.col("task") % groups).alias("g")).applyInPandas(add, "task int, sums binary").collect()  # the root of the tasks' number, each of a fixed size
     shared.unpersist()
     total = sum((np.frombuffer(r["sums"], float) for r in summed), np.zeros(k + k * k + k * width))
@@ -204,23 +208,25 @@ def score(
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     given = given.withColumn("held_out", held_out(F.col("doc_id"), 10, 0)).withColumn("train", ~F.col("held_out") & F.col("doc_id").isNotNull())
-    counts = materialize(word_counts(given), "word-counts")
-    texts = given.filter("train").count()
-    per_bucket = counts.groupBy(F.expr(f"cast(pmod(pmod(h, {buckets}) + IF(h < 0, {2**64 % buckets}, 0), {buckets}) as int)").alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
+    read = _read_words(given, buckets)
+    tokens = read.filter("tokens is not null").select("tokens")
+    counts = materialize(read.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
+    texts = tokens.count()
+    per_bucket = counts.groupBy(F.expr(f"cast(pmod(pmod(h, {buckets}) + IF(h < 0, {2**64 % buckets}, 0), {buckets}) as int)").alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow().to_pandas()
     mass, kinds = np.zeros(buckets + 1), np.zeros(buckets + 1)
     mass[per_bucket["b"]], kinds[per_bucket["b"]] = per_bucket["c"], per_bucket["v"]
     n = int(mass.sum()) + texts
     distinct = int(kinds.sum()) + (texts > 0)
     model = _first_model(given, states, buckets, first_texts, first_rounds, seed)
     for _ in range(rounds if texts else 0):
-        model = _normalised(_expectations(given, model))
+        model = _normalised(_expectations(tokens, model))
     small = distinct <= broadcast_words
     table = None
     if small:
-        rows = counts.toPandas()
+        rows = counts.toArrow()
         h = rows["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
-        table = (h[order], rows["c"].to_numpy()[order])
+        table = (h[order], rows["c"].to_numpy()[order].astype(np.uint32 if n < 2**32 else np.int64))
         del rows, h, order
     shared = spark.sparkContext.broadcast((model, mass, kinds, table))
     key = uuid4().hex
@@ -231,7 +237,7 @@ def score(
         if not keys.size:
             return np.zeros(h.size, np.int64)
         at = np.minimum(np.searchsorted(keys, h), keys.size - 1)
-        return np.where(keys[at] == h, values[at], 0)
+        return np.where(keys[at] == h, values[at], 0).astype(np.int64)
 
     def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, mass, kinds, table = shared.value
