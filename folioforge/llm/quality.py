@@ -147,7 +147,8 @@ def train(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id
         .filter(~held_out(F.col("doc_id")))
         .orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "y")
         .limit(sample)
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(int))
 
