@@ -313,7 +313,7 @@ def events_window(spark, sf_dir):
 def breaker_replay(spark, sf_dir):
     from folioforge.operators import providers
 
-    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), "ts", F.col("event_id").alias("call"), (F.pmod(F.xxhash64("event_id"), F.lit(100)) < 70).alias("failed"))
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), "ts", F.col("event_id").alias("call"), ((F.col("event_id") * 7919) % 100 < 70).alias("failed"))
     return providers.replay(calls)
 
 
@@ -457,6 +457,8 @@ ORACLE_SQL = {
     "agree_pairs": """SELECT user_id AS doc_id, event_type AS key, arg_max(CAST(floor(value / 50) AS BIGINT)::VARCHAR, (value, -event_id)) AS best, count(DISTINCT floor(value / 50)) AS distinct_values, count(DISTINCT floor(value / 50)) = 1 AS agreed FROM events GROUP BY 1, 2""",
     "otel_metrics": "SELECT event_type, CAST(least(floor(value / 25), 9) AS INTEGER) AS bucket, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "otel_spans": "SELECT event_id, epoch_us(ts) - CAST(floor(value * 1000) AS BIGINT) AS start_us, epoch_us(ts) AS end_us FROM events",
+    "breaker_replay": """WITH r AS (SELECT event_type AS provider, (event_id * 7919) % 100 < 70 AS failed, sum(CASE WHEN (event_id * 7919) % 100 < 70 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM events),
+        n AS (SELECT provider, run, count(*) AS n FROM r WHERE failed GROUP BY 1, 2) SELECT provider, count(*) FILTER (n >= 5) AS episodes, max(n) AS longest FROM n GROUP BY 1""",
     "events_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
