@@ -8,8 +8,23 @@ import re
 import numpy as np
 
 MEMO_IDS = 3_000_000  # ids of remembered words in a Python worker
-_ODD = re.compile(r"[\x1c-\x1f]|<\|")
 _SPACED = re.compile(r"\s \s|\s $")
+_TAILED = re.compile(r"( ?[^\W\d_]+)([.,!?;:$%&*#|]+)")
+_LATER_CASES = re.compile("[\u0130-\U0010ffff]")  # letters whose lower case may depend on more than the letter
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_SPACES = "\t\r\x0b\x0c"
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _holds(text: str, some: str) -> bool:
+    return any(ch in text for ch in some)
+
+
+def _spaced(text: str) -> bool:
+    """Whether a space stands between white space, or at the end after some."""
+    if "  " in text or "\n " in text or _holds(text, _SPACES) or not text.isascii() and _holds(text, _WIDE_SPACES):
+        return _SPACED.search(text) is not None
+    return False
 
 
 class WordTokenizer:
@@ -18,7 +33,8 @@ class WordTokenizer:
     Both kinds of public BPE split texts into words before merging, so a piece of text that ends where a word must
     end has the same ids wherever it stands. Pieces are white-space words (`joined` False, for vocabularies that drop
     white space) or a space and what follows up to the next space (`joined` True, byte-level). Each distinct
-    piece is encoded once by the library and remembered. Texts where the split would not be exact (runs of
+    piece is encoded once by the library and remembered; letters with marks behind them are two pieces, and where the
+    vocabulary folds case, case is folded first. Texts where the split would not be exact (runs of
     spaces, separators that only Python splits at, strings of special tokens) are encoded whole.
     """
 
@@ -27,6 +43,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.joined = Tokenizer.from_file(path), joined
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that open (joined) or close a word of letters
+        for token, k in vocabulary.items():
+            self.edge[k] = token.startswith("\u0120") if joined else token.endswith("</w>")
+        self.folds = not joined and self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -38,21 +59,70 @@ class WordTokenizer:
     def _settle(self) -> None:
         if not self.fresh:
             return
-        sizes = np.empty(len(self.fresh), np.int64)
-        for at in range(0, len(self.fresh), 20_000):
-            got = self.tokenizer.encode_batch_fast(self.fresh[at : at + 20_000], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            sizes[at : at + len(ids)] = [len(i) for i in ids]
-            new = np.fromiter((x for i in ids for x in i), np.uint32)
-            while self.used + new.size > self.flat.size:
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + new.size] = new
-            self.used += new.size
-        start = self.begin[-1] + self.size[-1] if self.begin.size else 0
-        self.begin = np.concatenate([self.begin, start + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        first, pairs, atoms, k = len(self.index) - len(self.fresh), [], [], 0
+        while k < len(self.fresh):  # pieces that are found here are added behind
+            tailed = _TAILED.fullmatch(self.fresh[k])
+            if tailed and tailed[1].lstrip(" ").isalpha():
+                pairs.append((first + k, self.index[tailed[1]], self.index[tailed[2]]))
+            else:
+                atoms.append(first + k)
+            k += 1
+        total = len(self.index)
+        self.begin = np.concatenate([self.begin, np.zeros(total - first, np.int64)])
+        self.size = np.concatenate([self.size, np.zeros(total - first, np.int64)])
+        letters = [x for x in atoms if (t := self.fresh[x - first]).isalpha() or self.joined and t[0] == " " and t[1:].isalpha()]
+        if self.joined:
+            letters = [x for x in letters if self.fresh[x - first][0] == " "]
+        for at in range(0, len(letters), 20_000):
+            self._encode_letters(letters[at : at + 20_000], first)
+        held = set(letters)
+        others = [x for x in atoms if x not in held]
+        for at in range(0, len(others), 20_000):
+            self._encode_each(others[at : at + 20_000], first)
+        if pairs:
+            whole, head, tail = np.array(pairs, np.int64).T
+            sizes = self.size[head] + self.size[tail]
+            self.size[whole] = sizes
+            self.begin[whole] = self.used + np.cumsum(sizes) - sizes
+            parts = np.stack([head, tail], axis=1).ravel()
+            self._keep(self._gather(parts)[0])
         self.fresh.clear()
 
+    def _encode_each(self, some: list[int], first: int) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.fresh[x - first] for x in some], add_special_tokens=False)]
+        sizes = np.array([len(i) for i in ids], np.int64)
+        self.size[some] = sizes
+        self.begin[some] = self.used + np.cumsum(sizes) - sizes
+        self._keep(np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum())))
+
+    def _encode_letters(self, some: list[int], first: int) -> None:
+        """Words of letters only, 500 of them to a string; the ids' edges tell them apart, and where they don't each is encoded alone."""
+        groups = [some[a : a + 500] for a in range(0, len(some), 500)]
+        between = "" if self.joined else " "
+        got = self.tokenizer.encode_batch_fast([between.join([self.fresh[x - first] for x in g]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, got, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            edge = np.flatnonzero(self.edge[ids])
+            if edge.size != len(group) or not (edge[0] == 0 if self.joined else edge[-1] == ids.size - 1):
+                self._encode_each(group, first)
+                continue
+            sizes = np.diff(edge, append=ids.size) if self.joined else np.diff(edge, prepend=-1)
+            self.size[group] = sizes
+            self.begin[group] = self.used + np.cumsum(sizes) - sizes
+            self._keep(ids)
+
+    def _keep(self, ids: np.ndarray) -> None:
+        while self.used + ids.size > self.flat.size:
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + ids.size] = ids
+        self.used += ids.size
+
+    def _gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece's begin (with the end of all)."""
+        size = self.size[word]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])], total
+
     def encode(self, texts: list, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); `end` is appended to each text where given."""
         if self.used > MEMO_IDS:
@@ -62,23 +132,20 @@ class WordTokenizer:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD.search(text) or (self.joined and _SPACED.search(text)):
+            if "<|" in text or _holds(text, _SEPARATORS) or (self.joined and _spaced(text)):
                 whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             if self.joined:
                 words = text.split(" ")
                 words = [words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]]
             else:
-                words = text.split()
+                words = (text.lower() if self.folds and not (not text.isascii() and _LATER_CASES.search(text)) else text).split()
             flat.extend(map(look, words))
             counts[k] = len(words)
         self._settle()
-        word = np.array(flat, np.int64)
-        size = self.size[word]
-        total = np.concatenate([[0], np.cumsum(size)])
+        ids, total = self._gather(np.array(flat, np.int64))
         last = np.cumsum(counts)
         lengths = total[last] - total[last - counts]
-        ids = self.flat[np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])]
         if whole or end is not None:
             parts, at = [], 0
             tail = np.array([] if end is None else [end], np.uint32)
