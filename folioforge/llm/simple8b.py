@@ -19,6 +19,7 @@ COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 32)
 MAGIC = b"TIDS8B1\n"
 BLOCK = 65_536  # ids of a block
+SMALL_FILES = 200_000  # files whose places are broadcast
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -32,21 +33,19 @@ def encode_block(ids: np.ndarray) -> bytes:
     if not n:
         return b""
     ids = ids.astype(np.uint64)
-    width = np.zeros(n, np.int64)
-    for b in range(32):
-        width += ids >> np.uint64(b) > 0
-    reach = np.zeros((16, n), np.int64)  # how many ids from here on fit a width, up to the selector's count
-    best = np.zeros(n, np.int64)
-    done = np.zeros(n, bool)
-    place = np.arange(n)
-    for s in range(16):
-        wide = np.flatnonzero(width > BITS[s])
-        stop = np.append(wide, n)[np.searchsorted(wide, place, "left")]
-        reach[s] = stop - place
-        fits = ~done & ((reach[s] >= COUNTS[s]) | (stop == n) & (reach[s] > 0) & (n - place <= COUNTS[s]) & (s >= 2))
-        best[fits] = s
-        done |= fits
-    takes = np.minimum(np.array(COUNTS)[best], n - place)
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    best = np.full(n, 15, np.int64)
+    done = width > BITS[14]
+    for s in range(15):  # a selector is tried only where the id itself fits it
+        place = np.flatnonzero(~done & (width <= BITS[s]))
+        if not place.size:
+            continue
+        wide = np.append(np.flatnonzero(width > BITS[s]), n)
+        stop = wide[np.searchsorted(wide, place, "left")]
+        fits = (stop - place >= COUNTS[s]) | (stop == n) & (n - place <= COUNTS[s]) & (s >= 2)
+        best[place[fits]] = s
+        done[place[fits]] = True
+    takes = np.minimum(np.array(COUNTS)[best], n - np.arange(n))
     starts, at, hop = [], 0, takes.tolist()
     while at < n:
         starts.append(at)
@@ -125,7 +124,7 @@ def write_ids(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_
                 part += 1
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    ordered = source.repartitionByRange("doc_id", "body").sortWithinPartitions("doc_id", "body")
+    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
     return materialize(ordered.mapInPandas(encode, "shard int, part int, n_ids long, doc_ids array<long>, payload binary"), "token-ids")
 
 
@@ -135,6 +134,8 @@ def read_ids(files: DataFrame) -> DataFrame:
     base = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     inner = files.select("shard", "part", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_ids")).alias("inner"))
     places = inner.join(base, "shard").select("shard", "part", (F.col("base") + F.col("inner")).alias("place"))
+    if files.count() <= SMALL_FILES:  # 16 bytes a file; beyond, the join shuffles
+        places = F.broadcast(places)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
