@@ -14,6 +14,8 @@ from folioforge.llm.lm import slices
 from folioforge.llm.shared import materialize
 from folioforge.llm.tokens import tokenizer
 
+SMALL_COUNTS = 200_000  # rows of counts per task and bin that are broadcast
+
 
 def combinations_of(slots: int, depth: int = 3) -> list[tuple[int, ...]]:
     """All falling tuples of up to `depth` positive numbers that sum to `slots`."""
@@ -172,6 +174,8 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
         histogram[r["bin"]] = r["n"]
     deals = spark.createDataFrame(plan(histogram, depth).deals, "bin long, low long, high long, per long, first long")
     before = counts.select("task", "bin", (F.sum("n").over(Window.partitionBy("bin").orderBy("task")) - F.col("n")).alias("before"))
+    if counts.count() <= SMALL_COUNTS:  # 24 bytes a row; beyond, the join shuffles
+        before = F.broadcast(before)
     numbered = pieces.join(before, ["task", "bin"]).withColumn("rank", F.col("before") + F.col("nth"))
     dealt = numbered.join(F.broadcast(deals), (numbered["bin"] == deals["bin"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))  # deals: bounded by the bins
     placed = dealt.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("per"))).cast("long").alias("sequence_id"), "rank", numbered["bin"].alias("bin"))
