@@ -9,17 +9,18 @@ def spanning_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """For links i-j among 0..n-1, the smallest index of each one's component."""
     labels = np.arange(n)
     while i.size:
-        low = np.minimum(labels[i], labels[j])
-        np.minimum.at(labels, i, low)
-        np.minimum.at(labels, j, low)
-        labels = labels[labels]
+        a, b = labels[i], labels[j]
+        low = np.minimum(a, b)
+        np.minimum.at(labels, a, low)  # roots are lowered, so that what hangs below them follows
+        np.minimum.at(labels, b, low)
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels = up
         open_ = labels[i] != labels[j]
         i, j = i[open_], j[open_]
-    while True:
-        up = labels[labels]
-        if (up == labels).all():
-            return labels
-        labels = up
+    return labels
 
 
 class BKForest:
