@@ -13,6 +13,8 @@ from folioforge.llm.linking import spanning_labels
 from folioforge.llm.shared import connected_components, materialize
 
 TILE = 2048  # vectors of one component that a task compares with as many others at a time
+DENSE_TILE = 4096  # the same for vectors of a dense run
+MISSED = 0.001  # share of pairs at the threshold that all passes together may miss
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -32,13 +34,55 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "rep long, n long, dim int, raw binary")
 
 
+def _plan(total: int, passes: int, window: int, threshold: float) -> tuple[int, int]:
+    """(passes, bits) for `total` vectors: bits of a key that narrow spread vectors to a window, and the passes, `passes` at least, that leave MISSED.
+
+    Two vectors at the threshold agree on a bit with 1 - acos(threshold) / pi, however the others lie.
+    """
+    bits = min(62, max(0, int(np.ceil(np.log2(max(1, total) / window)))))
+    agree = (1 - np.arccos(np.clip(threshold, -1.0, 1.0)) / np.pi) ** bits
+    return (max(passes, int(np.ceil(np.log(MISSED) / np.log1p(-agree)))) if agree < 1 else passes), bits
+
+
+def _dense_links(reps: DataFrame, keyed, bits: int, window: int, link) -> DataFrame:
+    """Spanning links (a, b) within the runs of over `window` rows that share the first `bits` bits of a pass.
+
+    All rows of a run are compared with each other: a run is dealt into chunks, and each pair of chunks is a task's work.
+    """
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in keyed(batches):
+            head = np.frombuffer(b"".join(part["key"]), ">u8") >> np.uint64(64 - bits) if bits else np.zeros(len(part))
+            yield pd.DataFrame({"dim": part["dim"], "pass": part["pass"], "head": head.astype(np.int64), "rep": part["rep"]})
+
+    run_of = ["dim", "pass", "head"]
+    heads = materialize(reps.mapInPandas(prefixes, "dim int, pass int, head long, rep long"), "pass-heads")
+    dense = heads.groupBy(*run_of).agg(F.count("*").alias("m")).filter(F.col("m") > window).withColumn("chunks", F.ceil(F.col("m") / DENSE_TILE).cast("int")).drop("m")
+    dealt = heads.join(dense, run_of).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda x: F.struct(F.least("c", x).alias("ci"), F.greatest("c", x).alias("cj"), F.when(F.col("c") <= x, 0).otherwise(1).alias("role")),
+    )
+    tile = [*run_of, "ci", "cj"]
+    work = dealt.join(reps.select("rep", "raw"), "rep").select(*run_of, "rep", "raw", F.explode(pairs).alias("p")).select(*run_of, "p.ci", "p.cj", "p.role", "rep", "raw")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("role", kind="stable")
+        return link(_unit(list(pdf["raw"])), pdf["rep"].to_numpy(), 0 if pdf["ci"].iloc[0] == pdf["cj"].iloc[0] else int((pdf["role"] == 0).sum()), len(pdf))
+
+    return work.groupBy(*tile).applyInPandas(compare, "a long, b long")
+
+
 def _passes(reps: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
     """Spanning links (a, b) that the passes find.
 
     In a pass every vector gets 64 random hyperplane bits, concatenated; rows are range-partitioned and sorted by
     them, and each is compared with the `window` rows before it. What lies on either side of a boundary between
-    partitions is compared in a second step.
+    partitions is compared in a second step, and where over a window of rows share the leading bits all of them
+    are compared, so that dense places cost time and not links.
     """
+    count = reps.count()
+    passes, bits = _plan(count, passes, window, threshold)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -49,7 +93,7 @@ def _passes(reps: DataFrame, passes: int, window: int, threshold: float, seed: i
                     keys = np.packbits(x @ planes[k].T >= 0, axis=1)
                     yield pd.DataFrame({"dim": part["dim"], "pass": k, "key": [bytes(b) for b in keys], "rep": part["rep"], "raw": part["raw"]})
 
-    def linked(x: np.ndarray, rep: np.ndarray, old: int) -> pd.DataFrame:
+    def linked(x: np.ndarray, rep: np.ndarray, old: int, window: int = window) -> pd.DataFrame:
         """x: `old` rows seen before, then new ones; links of new rows with the `window` rows before each."""
         out = []
         for at in range(old, len(x), 512):
@@ -93,7 +137,7 @@ def _passes(reps: DataFrame, passes: int, window: int, threshold: float, seed: i
             yield edge_rows(held, task, 0)
 
     spread = reps.mapInPandas(keyed, "dim int, pass int, key binary, rep long, raw binary")
-    total = reps.count() * passes
+    total = count * passes
     parts = max(1, min(total // (8 * window), 100_000))
     ordered = spread.repartitionByRange(parts, "dim", "pass", "key", "rep").sortWithinPartitions("dim", "pass", "key", "rep")
     found = materialize(ordered.mapInPandas(slide, schema), "passes")
@@ -106,7 +150,8 @@ def _passes(reps: DataFrame, passes: int, window: int, threshold: float, seed: i
         return linked(_unit(list(pdf["raw"])), pdf["a"].to_numpy(), old)
 
     across = found.filter("edge is not null").groupBy("edge", "dim", "pass").applyInPandas(meet, "a long, b long")
-    return found.filter("edge is null").select("a", "b").unionByName(across)
+    near = found.filter("edge is null").select("a", "b").unionByName(across)
+    return near.unionByName(_dense_links(reps, keyed, bits, window, linked))
 
 
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -153,8 +198,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     """(vec_id, n_links, component_id, kept): one row per vec_id; vectors link at cosine >= threshold, in doubles.
 
     Equal vectors are one class. Passes find links between classes, components are their closure, and n_links
-    counts exactly within components. The search is approximate: two vectors whose hashes lie over `window` rows
-    apart in all passes, and that no chain of found links joins, are missed (the README has measured recall).
+    counts exactly within components. `passes` is the least number of passes; larger tables get more (_plan). The
+    search is approximate: two vectors that share the leading bits in no pass, and that no chain of found links
+    joins, are missed: at the threshold at most MISSED of such pairs, whatever the table (the README has measured recall).
     Null vectors, and those that are zero, empty or hold null, NaN or infinite components, link with nothing;
     vectors of different length do not link; rows with a null id are left out; of rows that share an id the
     smallest vector counts; other columns are not read.
