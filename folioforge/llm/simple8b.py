@@ -6,19 +6,20 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.lm import slices
-from folioforge.llm.shared import materialize
-from folioforge.llm.tokens import tokenizer
+from folioforge.llm.shared import arrow_map, batch_of, materialize, text_slices
+from folioforge.llm.tokens import TOKEN_SLICE, tokenizer
 
 # Fixed values of the format: ids of a word and bits of each, by selector; selector 15 is the escape, one id of 32 bits.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 32)
 MAGIC = b"TIDS8B1\n"
 BLOCK = 65_536  # ids of a block
+_WIDTHS = np.frexp(np.arange(65536, dtype=np.float64))[1].astype(np.uint8)  # bits of a number
 SMALL_FILES = 200_000  # files whose places are broadcast
 
 
@@ -32,19 +33,19 @@ def encode_block(ids: np.ndarray) -> bytes:
     n = ids.size
     if not n:
         return b""
-    ids = ids.astype(np.uint64)
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.int64)
-    best = np.full(n, 15, np.int64)
-    done = width > BITS[14]
-    for s in range(15):  # a selector is tried only where the id itself fits it
-        place = np.flatnonzero(~done & (width <= BITS[s]))
-        if not place.size:
-            continue
-        wide = np.append(np.flatnonzero(width > BITS[s]), n)
-        stop = wide[np.searchsorted(wide, place, "left")]
-        fits = (stop - place >= COUNTS[s]) | (stop == n) & (n - place <= COUNTS[s]) & (s >= 2)
-        best[place[fits]] = s
-        done[place[fits]] = True
+    width = np.where(ids < 65536, _WIDTHS[ids & np.uint32(65535)], _WIDTHS[ids >> np.uint32(16)] + np.uint8(16))
+    wide = {1: np.concatenate([width, np.zeros(256, np.uint8)])}  # by length of a run from an id on: the widest of it
+    for size in (2, 4, 8, 16, 32, 64, 128):
+        half = wide[size // 2]
+        wide[size] = np.maximum(half[: half.size - size // 2], half[size // 2 :])
+    best = np.full(n, 15, np.uint8)
+    for s in range(14, -1, -1):  # the last selector that fits is the one that holds most
+        part = 1 << (COUNTS[s].bit_length() - 1)
+        fits = np.maximum(wide[part][:n], wide[part][COUNTS[s] - part :][:n]) <= BITS[s]
+        if s < 2:
+            fits[max(0, n - COUNTS[s] + 1) :] = False
+        best[fits] = s
+    ids, best = ids.astype(np.uint64), best.astype(np.int64)
     takes = np.minimum(np.array(COUNTS)[best], n - np.arange(n))
     starts, at, hop = [], 0, takes.tolist()
     while at < n:
@@ -80,52 +81,79 @@ def decode_block(raw: bytes, count: int) -> np.ndarray:
     return out[:count]
 
 
-def encode_shard(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """A file body: MAGIC, ids, documents, blocks; the documents' lengths in blocks of the same code; byte offsets of the id blocks; id blocks."""
-    heads = [encode_block(lengths[a : a + BLOCK].astype(np.uint32)) for a in range(0, lengths.size, BLOCK)]
-    blocks = [encode_block(ids[a : a + BLOCK]) for a in range(0, ids.size, BLOCK)]
+def _blocks(values: np.ndarray) -> list[bytes]:
+    return [encode_block(values[a : a + BLOCK]) for a in range(0, values.size, BLOCK)]
+
+
+def encode_shard(ids: np.ndarray, lengths: np.ndarray, names: np.ndarray | None = None, named: np.ndarray | None = None) -> bytes:
+    """A file body: MAGIC and counts, byte offsets of all blocks, documents' ids (64 bits each, and a byte that is 0 for null), then blocks: documents' lengths, token ids."""
+    names = np.arange(lengths.size) if names is None else names
+    named = np.ones(lengths.size, bool) if named is None else named
+    heads, blocks = _blocks(lengths.astype(np.uint32)), _blocks(ids)
     table = struct.pack("<8sQQQQ", MAGIC, ids.size, lengths.size, len(heads), len(blocks))
     offsets = np.cumsum([0, *map(len, heads), *map(len, blocks)]).astype("<u8").tobytes()
-    return b"".join([table, offsets, *heads, *blocks])
+    return b"".join([table, offsets, names.astype("<i8").tobytes(), named.astype(np.uint8).tobytes(), *heads, *blocks])
+
+
+class Shard:
+    """A file body. Blocks are decoded alone, by their byte offsets."""
+
+    def __init__(self, raw: bytes):
+        magic, self.n_ids, self.n_docs, self.heads, blocks = struct.unpack_from("<8sQQQQ", raw)
+        if magic != MAGIC:
+            raise ValueError("not a token-id file")
+        self.offsets = np.frombuffer(raw, "<u8", self.heads + blocks + 1, 40).astype(np.int64)
+        at = 40 + self.offsets.size * 8
+        self.names = np.frombuffer(raw, "<i8", self.n_docs, at)
+        self.named = np.frombuffer(raw, np.uint8, self.n_docs, at + 8 * self.n_docs).astype(bool)
+        self.raw, self.body = raw, at + 9 * self.n_docs
+
+    def _block(self, k: int, count: int) -> np.ndarray:
+        return decode_block(self.raw[self.body + self.offsets[k] : self.body + self.offsets[k + 1]], count)
+
+    def lengths(self) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int64), *(self._block(k, min(BLOCK, self.n_docs - k * BLOCK)).astype(np.int64) for k in range(self.heads))])
+
+    def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids start..stop-1; only the blocks that hold them are decoded."""
+        stop = self.n_ids if stop is None else min(stop, self.n_ids)
+        first = start // BLOCK
+        some = [self._block(self.heads + k, min(BLOCK, self.n_ids - k * BLOCK)) for k in range(first, -(-stop // BLOCK))] if start < stop else []
+        return np.concatenate([np.empty(0, np.uint32), *some])[start - first * BLOCK : stop - first * BLOCK]
 
 
 def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, lengths) of a file body. A block can be read alone: its byte offset is in the table and its ids are 0-based multiples of BLOCK."""
-    magic, n_ids, n_docs, heads, blocks = struct.unpack_from("<8sQQQQ", raw)
-    if magic != MAGIC:
-        raise ValueError("not a token-id file")
-    offsets = np.frombuffer(raw, "<u8", heads + blocks + 1, 40).astype(np.int64)
-    body = 40 + offsets.size * 8
-    parts = [raw[body + a : body + b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    lengths = [decode_block(p, min(BLOCK, n_docs - k * BLOCK)) for k, p in enumerate(parts[:heads])]
-    ids = [decode_block(p, min(BLOCK, n_ids - k * BLOCK)) for k, p in enumerate(parts[heads:])]
-    empty = np.empty(0, np.uint32)
-    return np.concatenate(ids) if ids else empty, np.concatenate(lengths).astype(np.int64) if lengths else empty.astype(np.int64)
+    """(ids, lengths) of a whole file body."""
+    shard = Shard(raw)
+    return shard.ids(), shard.lengths()
 
 
 def write_ids(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", joined: bool = True, end: int = 2) -> DataFrame:
     """Encode docs in ascending id order into file bodies and write them; returns the written table.
 
-    Columns: shard (task of the ordered input), part (file of the shard, from 0), doc_ids, payload (a body as
-    encode_shard() makes it; the ids of a few megabytes of text). The bodies are stored as binary values through
-    Spark's committing writer, so any store works and a task that is run again leaves no half-written file.
-    Null texts are empty (`end` alone); null ids sort first; equal ids are ordered by text; other columns are not read.
+    Columns: shard (task of the ordered input), part (file of the shard, from 0), n_ids, payload (a body as
+    encode_shard() makes it, documents' ids and the token ids of a few megabytes of text). The bodies are binary values
+    that go through Spark's committing writer, so any store works and a task that is run again leaves no half-written
+    file. Null texts are empty (`end` alone); null ids sort first; equal ids are ordered by text, and rows of one id may
+    lie in several shards; other columns are not read.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, part, words = TaskContext.get().partitionId(), 0, tokenizer(vocabulary, joined)
-        for pdf in batches:
-            bodies, names = list(pdf["body"]), pdf["doc_id"].tolist()
-            for a, b in slices(bodies):
-                ids, lengths = words.encode(bodies[a:b], end)
-                yield pd.DataFrame({"shard": [shard], "part": [part], "n_ids": [int(ids.size)], "doc_ids": [[None if x != x else int(x) for x in names[a:b]]], "payload": [encode_shard(ids, lengths)]})
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body", TOKEN_SLICE):
+                ids, lengths = words.encode(bodies, end)
+                names = rows.column("doc_id")
+                payload = encode_shard(ids, lengths, pc.fill_null(names, 0).to_numpy(), names.is_valid().to_numpy(zero_copy_only=False))
+                yield batch_of(shard=pa.array([shard], pa.int32()), part=pa.array([part], pa.int32()), n_ids=pa.array([ids.size], pa.int64()), payload=pa.array([payload], pa.binary()))
                 part += 1
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
-    return materialize(ordered.mapInPandas(encode, "shard int, part int, n_ids long, doc_ids array<long>, payload binary"), "token-ids")
+    source = source.withColumn("tie", F.xxhash64("body"))  # splits the rows of one id over tasks
+    ordered = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "body").drop("tie")
+    return materialize(arrow_map(ordered, encode, "shard int, part int, n_ids long, payload binary"), "token-ids")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -137,12 +165,19 @@ def read_ids(files: DataFrame) -> DataFrame:
     if files.count() <= SMALL_FILES:  # 16 bytes a file; beyond, the join shuffles
         places = F.broadcast(places)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for names, payload, place in zip(pdf["doc_ids"], pdf["payload"], pdf["place"], strict=True):
-                ids, lengths = read_shard(payload)
-                raw, stop = ids.astype("<u4").tobytes(), np.cumsum(lengths)
-                begin = stop - lengths
-                yield pd.DataFrame({"doc_id": pd.array(list(names), dtype="Int64"), "start": place + begin, "n_tokens": lengths, "ids": [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]})
-
-    return files.join(places, ["shard", "part"]).select("doc_ids", "payload", "place").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, place in zip(batch.column("payload"), batch.column("place").to_pylist(), strict=True):
+                shard = Shard(payload.as_py())
+                lengths = shard.lengths()
+                stop = np.concatenate([[0], np.cumsum(lengths)])
+                a = 0
+                while a < lengths.size:  # about a megabyte of ids at a time
+                    b = max(a + 1, int(np.searchsorted(stop, stop[a] + 4 * BLOCK, "right")) - 1)
+                    raw, offsets = shard.ids(int(stop[a]), int(stop[b])).astype("<u4").tobytes(), (4 * (stop[a : b + 1] - stop[a])).astype(np.int32)
+                    yield batch_of(
+                        doc_id=pa.array(shard.names[a:b], mask=~shard.named[a:b]), start=place + stop[a:b], n_tokens=lengths[a:b], ids=pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                    )
+                    a = b
+
+    return arrow_map(files.join(places, ["shard", "part"]).select("payload", "place"), decode, "doc_id long, start long, n_tokens long, ids binary")

@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, with a memory of words, shared by packing and the id files."""
+"""Token ids by the tokenizers library, each distinct word of a slice of texts encoded once; shared by packing and the id files."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_IDS = 3_000_000  # ids of remembered words in a Python worker
+TOKEN_SLICE = 12_000_000  # bytes of the texts that are encoded together
 _SPACED = re.compile(r"\s \s|\s $")
-_TAILED = re.compile(r"( ?[^\W\d_]+)([.,!?;:$%&*#|]+)")
-_LATER_CASES = re.compile("[\u0130-\U0010ffff]")  # letters whose lower case may depend on more than the letter
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_MARKS = ".,!?;:$%&*#|"
 _SPACES = "\t\r\x0b\x0c"
-_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE_SPACES = "\x85\xa0                　"
+_OPENING, _LINE = "\x01", "\x02"  # stand before a text's first piece, and for the end of a line, where a leading space matters
+_LATIN_DOTTED_I = "İ"  # lower-cased, it ends in a combining mark
 
 
 def _holds(text: str, some: str) -> bool:
@@ -27,15 +29,28 @@ def _spaced(text: str) -> bool:
     return False
 
 
+def _bytes_from(words: pa.StringArray, least: int) -> np.ndarray:
+    """Whether a word has a UTF-8 byte of `least` or more."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1 + words.offset)[words.offset :]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]] if words.buffers()[2] is not None else np.empty(0, np.uint8)
+    high = np.concatenate([[0], np.cumsum(raw >= least, dtype=np.int32)])
+    return high[offsets[1:]] > high[offsets[:-1]]
+
+
+def _listed(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids, pa.uint32()))
+
+
 class WordTokenizer:
     """Ids of whole texts, equal to tokenizer.encode(text, add_special_tokens=False).ids.
 
     Both kinds of public BPE split texts into words before merging, so a piece of text that ends where a word must
-    end has the same ids wherever it stands. Pieces are white-space words (`joined` False, for vocabularies that drop
-    white space) or a space and what follows up to the next space (`joined` True, byte-level). Each distinct
-    piece is encoded once by the library and remembered; letters with marks behind them are two pieces, and where the
-    vocabulary folds case, case is folded first. Texts where the split would not be exact (runs of
-    spaces, separators that only Python splits at, strings of special tokens) are encoded whole.
+    end has the same ids wherever it stands. Pieces are what stands between spaces: for vocabularies that drop white
+    space as it is (`joined` False), for byte-level ones with the space before it (`joined` True). Arrow finds the
+    distinct pieces of a slice; each is encoded once by the library. Letters with marks behind them are two pieces
+    where no letter becomes anything but a letter by the vocabulary's normalisation: scripts up to Armenian, whose
+    letters compose with marks only, without U+0130. All other pieces are encoded as they are, and byte-level texts
+    where the split would not be exact (runs of spaces, strings of special tokens, U+0001) whole.
     """
 
     def __init__(self, path: str, joined: bool):
@@ -46,132 +61,104 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that open (joined) or close a word of letters
         for token, k in vocabulary.items():
-            self.edge[k] = token.startswith("\u0120") if joined else token.endswith("</w>")
+            self.edge[k] = token.startswith("Ġ") if joined else token.endswith("</w>")
         self.folds = not joined and self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.index, self.fresh = _Index(), []
-        self.index.fresh = self.fresh
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _settle(self) -> None:
-        if not self.fresh:
-            return
-        first, pairs, atoms, k = len(self.index) - len(self.fresh), [], [], 0
-        while k < len(self.fresh):  # pieces that are found here are added behind
-            tailed = _TAILED.fullmatch(self.fresh[k])
-            if tailed and tailed[1].lstrip(" ").isalpha():
-                pairs.append((first + k, self.index[tailed[1]], self.index[tailed[2]]))
-            else:
-                atoms.append(first + k)
-            k += 1
-        total = len(self.index)
-        self.begin = np.concatenate([self.begin, np.zeros(total - first, np.int64)])
-        self.size = np.concatenate([self.size, np.zeros(total - first, np.int64)])
-        letters = [x for x in atoms if (t := self.fresh[x - first]).isalpha() or self.joined and t[0] == " " and t[1:].isalpha()]
+
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of strings, every one by itself."""
+        parts, sizes = [np.empty(0, np.uint32)], []
+        for a in range(0, len(strings), 20_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(strings[a : a + 20_000], add_special_tokens=False)]
+            sizes += map(len, got)
+            parts.append(np.fromiter((x for i in got for x in i), np.uint32, sum(map(len, got))))
+        return np.concatenate(parts), np.array(sizes, np.int64)
+
+    def _letters(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of letters, 500 of them to a string; the ids' edges tell them apart, and where they don't each is encoded alone."""
+        lead = " " if self.joined else ""
+        parts, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        bounds = np.append(np.arange(0, len(words), 500), len(words)).astype(np.int32)
+        strings = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words), " ").to_pylist()
+        for at in range(0, len(strings), 40):
+            for k, e in enumerate(self.tokenizer.encode_batch_fast([lead + s for s in strings[at : at + 40]], add_special_tokens=False), at):
+                ids = np.array(e.ids, np.uint32)
+                edge = np.flatnonzero(self.edge[ids])
+                if edge.size != bounds[k + 1] - bounds[k] or not (edge[0] == 0 if self.joined else edge[-1] == ids.size - 1):
+                    ids, size = self._each([lead + w for w in words[bounds[k] : bounds[k + 1]].to_pylist()])
+                else:
+                    size = np.diff(edge, append=ids.size) if self.joined else np.diff(edge, prepend=-1)
+                parts.append(ids)
+                sizes.append(size)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _pieces(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct pieces. A joined piece is meant with a space before it, one behind _OPENING as it is, one behind _LINE with a line end."""
+        head = pc.ascii_rtrim(words, characters=_MARKS)
+        letters = pc.utf8_is_alpha(head).to_numpy(zero_copy_only=False) & ~_bytes_from(words, 0xD6) & ~pc.match_substring(words, _LATIN_DOTTED_I).to_numpy(zero_copy_only=False)
+        marks = np.where(letters, pc.binary_length(words).to_numpy() - pc.binary_length(head).to_numpy(), 0)
+        heads = head.filter(pa.array(letters)).dictionary_encode()
+        first, second = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        first[letters] = heads.indices.to_numpy()
+        tails: list[str] = []
+        for n in np.unique(marks[marks > 0]).tolist():  # marks are ASCII: as many characters as bytes
+            found = pc.utf8_slice_codeunits(words.filter(pa.array(marks == n)), start=-n).dictionary_encode()
+            second[marks == n] = len(heads.dictionary) + len(tails) + found.indices.to_numpy()
+            tails += found.dictionary.to_pylist()
+        others = words.filter(pa.array(~letters)).to_pylist()
+        if self.joined:
+            others = [w[1:] if w[:1] == _OPENING else "\n" + w[1:] if w[:1] == _LINE else " " + w for w in others]
+        first[~letters] = len(heads.dictionary) + len(tails) + np.arange(len(others))
+        made = [self._letters(heads.dictionary), self._each(tails), self._each(others)]
+        table = _listed(np.concatenate([m[0] for m in made]), np.concatenate([*(m[1] for m in made), [0]]))
+        second[marks == 0] = len(table) - 1
+        both = table.take(pa.array(np.stack([first, second], axis=1).ravel()))
+        return pa.ListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values)
+
+    def encode(self, texts: pa.Array | list, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text); null texts are empty; `end` is appended to each text where given."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        n, whole = len(texts), {}
         if self.joined:
-            letters = [x for x in letters if self.fresh[x - first][0] == " "]
-        for at in range(0, len(letters), 20_000):
-            self._encode_letters(letters[at : at + 20_000], first)
-        held = set(letters)
-        others = [x for x in atoms if x not in held]
-        for at in range(0, len(others), 20_000):
-            self._encode_each(others[at : at + 20_000], first)
-        if pairs:
-            whole, head, tail = np.array(pairs, np.int64).T
-            sizes = self.size[head] + self.size[tail]
-            self.size[whole] = sizes
-            self.begin[whole] = self.used + np.cumsum(sizes) - sizes
-            parts = np.stack([head, tail], axis=1).ravel()
-            self._keep(self._gather(parts)[0])
-        self.fresh.clear()
-
-    def _encode_each(self, some: list[int], first: int) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.fresh[x - first] for x in some], add_special_tokens=False)]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        self.size[some] = sizes
-        self.begin[some] = self.used + np.cumsum(sizes) - sizes
-        self._keep(np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum())))
-
-    def _encode_letters(self, some: list[int], first: int) -> None:
-        """Words of letters only, 500 of them to a string; the ids' edges tell them apart, and where they don't each is encoded alone."""
-        groups = [some[a : a + 500] for a in range(0, len(some), 500)]
-        between = "" if self.joined else " "
-        got = self.tokenizer.encode_batch_fast([between.join([self.fresh[x - first] for x in g]) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, got, strict=True):
-            ids = np.array(e.ids, np.uint32)
-            edge = np.flatnonzero(self.edge[ids])
-            if edge.size != len(group) or not (edge[0] == 0 if self.joined else edge[-1] == ids.size - 1):
-                self._encode_each(group, first)
-                continue
-            sizes = np.diff(edge, append=ids.size) if self.joined else np.diff(edge, prepend=-1)
-            self.size[group] = sizes
-            self.begin[group] = self.used + np.cumsum(sizes) - sizes
-            self._keep(ids)
-
-    def _keep(self, ids: np.ndarray) -> None:
-        while self.used + ids.size > self.flat.size:
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + ids.size] = ids
-        self.used += ids.size
-
-    def _gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces one after another, and where each piece's begin (with the end of all)."""
-        size = self.size[word]
-        total = np.concatenate([[0], np.cumsum(size)])
-        return self.flat[np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])], total
-
-    def encode(self, texts: list, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, ids of each text); `end` is appended to each text where given."""
-        if self.used > MEMO_IDS:
-            self.forget()
-        flat, counts, whole = [], np.zeros(len(texts), np.int64), {}
-        look = self.index.__getitem__
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if "<|" in text or _holds(text, _SEPARATORS) or (self.joined and _spaced(text)):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            if self.joined:
-                words = text.split(" ")
-                words = [words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]]
-            else:
-                words = (text.lower() if self.folds and not (not text.isascii() and _LATER_CASES.search(text)) else text).split()
-            flat.extend(map(look, words))
-            counts[k] = len(words)
-        self._settle()
-        ids, total = self._gather(np.array(flat, np.int64))
-        last = np.cumsum(counts)
-        lengths = total[last] - total[last - counts]
-        if whole or end is not None:
-            parts, at = [], 0
-            tail = np.array([] if end is None else [end], np.uint32)
-            for k, n in enumerate(lengths.tolist()):
-                parts += [whole.get(k, ids[at : at + n]), tail]
-                at += n
-                lengths[k] = len(whole[k]) if k in whole else n
-            lengths = lengths + tail.size
-            ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        return ids, lengths
-
-
-class _Index(dict):
-    fresh: list
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = len(self)
-        self.fresh.append(word)
-        return k
+            strings = texts.to_pylist()
+            for k, t in enumerate(strings):
+                if "<|" in t or _OPENING in t or _LINE in t or _spaced(t):
+                    whole[k], strings[k] = t, ""
+                elif "\n" in t and "\n\n" not in t and not _holds(t, _SPACES) and not (not t.isascii() and _holds(t, _WIDE_SPACES)):
+                    strings[k] = t.replace("\n", " " + _LINE)  # a line end between other characters is a word
+            texts = pc.binary_join_element_wise(_OPENING, pa.array(strings, pa.string()), "")
+            del strings
+        else:
+            texts = pc.replace_substring(texts, "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0] if n else 0
+        coded = split.flatten().dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary
+        del split, coded, texts
+        if self.folds:  # case first: fewer distinct pieces. Not where marks may compose with a letter
+            plain = ~_bytes_from(words, 0xCC)
+            coded = pc.if_else(pa.array(plain), pc.ascii_lower(words), words).dictionary_encode()
+            word, words = coded.indices.to_numpy()[word], coded.dictionary
+        table = self._pieces(words)
+        odd = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in whole.values()]
+        tail = [np.fromiter((x for i in odd for x in i), np.uint32), np.array([] if end is None else [end], np.uint32)]
+        sizes = np.concatenate([np.diff(table.offsets.to_numpy()), [len(i) for i in odd], [tail[1].size]])
+        table = _listed(np.concatenate([table.values.to_numpy(), *tail]), sizes)
+        if whole:
+            word = word.astype(np.int64)
+            word[bounds[list(whole)]] = len(words) + np.arange(len(odd))  # the one piece of an emptied text
+        slot = np.full(word.size + n, len(table) - 1)
+        slot[np.arange(word.size) + np.repeat(np.arange(n), np.diff(bounds))] = word
+        got = table.take(pa.array(slot))
+        ends = got.offsets.to_numpy()[bounds[1:] + np.arange(1, n + 1)].astype(np.int64) if n else np.empty(0, np.int64)
+        return got.values.to_numpy(), np.diff(ends, prepend=0)
 
 
 _HELD: dict[tuple, WordTokenizer] = {}
 
 
 def tokenizer(path: str, joined: bool) -> WordTokenizer:
-    """The worker's tokenizer for a vocabulary file, kept from task to task."""
+    """The worker's tokenizer for a vocabulary file, kept from task to task; it remembers no words."""
     if (path, joined) not in _HELD:
         _HELD.clear()
         _HELD[path, joined] = WordTokenizer(path, joined)
