@@ -6,13 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.lm import slices
-from folioforge.llm.shared import materialize
-from folioforge.llm.tokens import tokenizer
+from folioforge.llm.shared import arrow_map, batch_of, materialize, text_slices
+from folioforge.llm.tokens import TOKEN_SLICE, tokenizer
 
 SMALL_COUNTS = 200_000  # rows of counts per task and bin that are broadcast
 
@@ -124,34 +123,25 @@ def plan(histogram: np.ndarray, depth: int = 3) -> Plan:
     return Plan(deals, sequences)
 
 
-def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", joined: bool = False, end: int = 2, window: int = 4096, slot: int = 16, depth: int = 3) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row per piece.
+def cut_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", joined: bool = False, end: int = 2, window: int = 4096, slot: int = 16) -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, task, bin, nth), written: one row per piece of `window` ids and per rest.
 
-    A document's ids are those of the whole text by the tokenizer in `vocabulary`, then `end`. They are cut into
-    pieces of `window` ids and a rest; lengths count in slots of `slot` ids for the histogram, and sequences of
-    `window` ids are formed as plan() says. ids is a piece's ids as little-endian unsigned 32-bit numbers. offset is
-    the piece's place in its sequence, gapless from 0, longer pieces first. Null and empty texts are `end` alone;
-    null ids are kept; repeated rows are packed once each; an empty table gives no rows; other columns are not read.
-
-    The histogram has window / slot bins whatever the data, and the plan a bounded number of deals, so only these
-    reach the driver. Pieces are numbered within their bin by counts per task of the written pieces.
+    A document's ids are those of the whole text by the tokenizer in `vocabulary`, then `end`. ids is a piece's ids as
+    little-endian unsigned 32-bit numbers, bin its length in slots of `slot` ids, nth its number among those of its
+    bin that the task made.
     """
-    spark = docs.sparkSession
     slots = window // slot
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         words, seen = tokenizer(vocabulary, joined), np.zeros(slots + 1, np.int64)
-        for pdf in batches:
-            bodies, names = list(pdf["body"]), pdf["doc_id"].to_numpy()
-            for a, b in slices(bodies):
-                ids, lengths = words.encode(bodies[a:b], end)
-                raw = ids.astype("<u4").tobytes()
-                begin = np.cumsum(lengths) - lengths
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body", TOKEN_SLICE):
+                ids, lengths = words.encode(bodies, end)
                 pieces = -(-lengths // window)
-                owner = np.repeat(np.arange(b - a), pieces)
+                owner = np.repeat(np.arange(len(bodies)), pieces)
                 start = (np.arange(owner.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
                 length = np.minimum(lengths[owner] - start, window)
                 bins = -(-length // slot)
@@ -161,22 +151,50 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
                 nth[order] = np.arange(owner.size) - np.repeat(np.cumsum(run) - run, run)
                 nth += seen[bins]
                 seen += run
-                at = (begin[owner] + start) * 4
-                yield pd.DataFrame(
-                    {"doc_id": names[a:b][owner], "start": start, "length": length, "ids": [raw[x : x + 4 * n] for x, n in zip(at.tolist(), length.tolist(), strict=True)], "doc_tokens": lengths[owner], "task": task, "bin": bins, "nth": nth}
-                )
+                whole = np.concatenate([[0], np.cumsum(length)]) * 4
+                for at in range(0, owner.size, 5000):
+                    end_at = min(at + 5000, owner.size)
+                    raw = ids[whole[at] // 4 : whole[end_at] // 4].astype("<u4").tobytes()
+                    offsets = (whole[at : end_at + 1] - whole[at]).astype(np.int32)
+                    some = slice(at, end_at)
+                    yield batch_of(
+                        doc_id=rows.column("doc_id").take(pa.array(owner[some])), start=start[some], length=length[some], ids=pa.Array.from_buffers(pa.binary(), end_at - at, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]),
+                        doc_tokens=lengths[owner[some]], task=pa.array(np.full(end_at - at, task, np.int32)), bin=bins[some].astype(np.int32), nth=nth[some],
+                    )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    pieces = materialize(source.mapInPandas(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, task int, bin int, nth long"), "pieces")
+    return materialize(arrow_map(source, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, task int, bin int, nth long"), "pieces")
+
+
+def place(pieces: DataFrame, *, window: int = 4096, slot: int = 16, depth: int = 3) -> DataFrame:
+    """pieces (task, bin, nth, length and any other columns) without task, bin and nth, with sequence_id and offset.
+
+    The histogram has window / slot bins whatever the data, and the plan a bounded number of deals, so only these
+    reach the driver. Pieces are numbered within their bin by counts per task.
+    """
+    spark, slots = pieces.sparkSession, window // slot
     counts = materialize(pieces.groupBy("task", "bin").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(slots + 1, np.int64)
     for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most window / slot rows
         histogram[r["bin"]] = r["n"]
-    deals = spark.createDataFrame(plan(histogram, depth).deals, "bin long, low long, high long, per long, first long")
+    deals = spark.createDataFrame(plan(histogram, depth).deals, "d_bin int, low long, high long, per long, first long")
     before = counts.select("task", "bin", (F.sum("n").over(Window.partitionBy("bin").orderBy("task")) - F.col("n")).alias("before"))
     if counts.count() <= SMALL_COUNTS:  # 24 bytes a row; beyond, the join shuffles
         before = F.broadcast(before)
-    numbered = pieces.join(before, ["task", "bin"]).withColumn("rank", F.col("before") + F.col("nth"))
-    dealt = numbered.join(F.broadcast(deals), (numbered["bin"] == deals["bin"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))  # deals: bounded by the bins
-    placed = dealt.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("per"))).cast("long").alias("sequence_id"), "rank", numbered["bin"].alias("bin"))
-    return placed.withColumn("offset", (F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "rank")) - F.col("length")).cast("long")).drop("rank", "bin")
+    kept = [c for c in pieces.columns if c not in ("task", "bin", "nth")]
+    numbered = pieces.join(before, ["task", "bin"]).withColumn("_rank", F.col("before") + F.col("nth"))
+    dealt = numbered.join(F.broadcast(deals), (F.col("bin") == F.col("d_bin")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))  # deals: bounded by the bins
+    placed = dealt.select(*kept, (F.col("first") + F.floor((F.col("_rank") - F.col("low")) / F.col("per"))).cast("long").alias("sequence_id"), "_rank", "bin")
+    return placed.withColumn("offset", (F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "_rank")) - F.col("length")).cast("long")).drop("_rank", "bin")
+
+
+def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", joined: bool = False, end: int = 2, window: int = 4096, slot: int = 16, depth: int = 3) -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row per piece.
+
+    Documents are cut as cut_pieces() says, and sequences of `window` ids are formed from histogram and plan().
+    offset is the piece's place in its sequence, gapless from 0, longer pieces first. Null and empty texts are `end`
+    alone; null ids are kept; repeated rows are packed once each; an empty table gives no rows; a text of any length
+    is cut as a whole; other columns are not read.
+    """
+    pieces = cut_pieces(docs, vocabulary, id_col=id_col, text_col=text_col, joined=joined, end=end, window=window, slot=slot)
+    return place(pieces, window=window, slot=slot, depth=depth)

@@ -22,8 +22,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def digest_of(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """The contract's columns of packed documents. Checksums are taken of the written pieces, so that ids need not follow them to their sequences."""
+    pieces = packing.cut_pieces(docs, vocabulary("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.place(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_of(packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return packed_digests(_table(spark, sf_dir, "documents"))
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +75,9 @@ ORACLE_SQL = {
     "op2_decontaminate": r"""
         WITH d0 AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         i0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-        d AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d0),
-        i AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
-              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i0),
+        widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM i0 WHERE len(w) > 0 UNION SELECT 5),
+        d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d0, widths WHERE len(w) >= k),
+        i AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM i0 WHERE len(w) > 0),
         q AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
         SELECT d.doc_id, i.item_id, CAST(max(q.n) AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared,
                count(*)::DOUBLE / max(q.n) AS containment

@@ -115,3 +115,34 @@ def test_edges(spark):
     back = simple8b.read_ids(simple8b.write_ids(docs, BYTE)).orderBy("start").collect()
     assert [r.doc_id for r in back] == [None, 1, 2, 2, 3] and back[-1].n_tokens == 1
     assert packing.pack(docs.limit(0), WORD).count() == 0 and simple8b.read_ids(simple8b.write_ids(docs.limit(0), BYTE)).count() == 0
+
+
+LETTERS = ["İ,", "ALİ, VELİ.", "\u0958,", "\u09dc.", "\ufb2a!", "H\u0331, h E\u0301. x", "ΟΔΟΣ. ΟΔΟΣ, ς", "хорошо. Й! й", "don't. we'll, x's.", "a  b", " lead", "end \n", "a\n b", "a\nb.\nC", "a\n\nb", "\x01a \x02b", "ß. ẞ, ﬁ! ½ ２，", "ﬁn. ŉ, ǰ!"]
+
+
+def test_letters_that_do_not_stay_letters():
+    for words in (BYTES, WORDS):
+        for texts in (LETTERS, [t + " " + u for t in LETTERS for u in LETTERS]):
+            ids, lengths = words.encode(texts, 2)
+            want = [[*plain(words, t), 2] for t in texts]
+            assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_blocks_are_read_alone():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 5000, 90)
+    ids = rng.integers(0, 50_000, lengths.sum()).astype(np.uint32)
+    names = np.arange(90) - 2**62
+    shard = simple8b.Shard(simple8b.encode_shard(ids, lengths, names, names % 2 == 0))
+    for a, b in ((0, 10), (65_530, 65_540), (70_000, 140_000), (ids.size - 3, ids.size), (5, 5)):
+        assert (shard.ids(a, b) == ids[a:b]).all()
+    assert (shard.names == names).all() and (shard.named == (names % 2 == 0)).all() and (shard.lengths() == lengths).all()
+
+
+def test_both_sides_of_the_size_checks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(60)], "doc_id long, text string").repartition(7)
+    packed, back = sorted(packing.pack(docs, WORD).collect()), sorted(simple8b.read_ids(simple8b.write_ids(docs, BYTE)).collect())
+    monkeypatch.setattr(packing, "SMALL_COUNTS", 0)
+    monkeypatch.setattr(simple8b, "SMALL_FILES", 0)
+    assert sorted(packing.pack(docs, WORD).select("doc_id", "start", "length", "ids").collect()) == [r[:4] for r in packed]
+    assert sorted(simple8b.read_ids(simple8b.write_ids(docs, BYTE)).collect()) == back
