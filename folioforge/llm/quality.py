@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.shared import arrow_map, free_name, lowest, text_slices
 from folioforge.llm.trees import cut_points, grow, predict, rules_of
 
 STATISTICS = (
@@ -42,16 +43,21 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and STATISTICS, a row per row of docs."""
+def with_statistics(docs: DataFrame, text_col: str, into: str) -> DataFrame:
+    """docs, all columns as they are, and a column `into`: array of the text's STATISTICS."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = np.array([statistics(t) for t in pdf["body"]], float).reshape(-1, len(STATISTICS))
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(values, columns=list(STATISTICS))], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "_body"):
+                values = np.array([statistics(t) for t in bodies.to_pylist()], float).reshape(-1, len(STATISTICS))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(bodies) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
+                kept = [rows.column(k) for k, name in enumerate(rows.schema.names) if name != "_body"]
+                yield pa.RecordBatch.from_arrays([*kept, listed], [f"c{k}" for k in range(len(kept))] + ["stats"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    return source.mapInPandas(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    given = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(f"`{text_col}`").alias("_body"))
+    fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
+    out = arrow_map(given, run, f"{fields}, stats array<double>")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("stats").alias(into))
 
 
 @dataclass(frozen=True)
@@ -61,13 +67,13 @@ class RuleEnsemble:
     bias: float
     rules: tuple
 
-    def score(self, prefix: str = "") -> Column:
-        """The probability of label 1 as an expression over the statistics columns."""
+    def score(self, stats: Column) -> Column:
+        """The probability of label 1 as an expression over the array of statistics."""
         total = F.lit(self.bias)
         for weight, rule in self.rules:
             holds = F.lit(True)
             for f, is_low, cut in rule:
-                c = F.col(prefix + STATISTICS[f])
+                c = F.element_at(stats, f + 1)
                 holds = holds & ((c <= cut) if is_low else (c > cut))
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -122,50 +128,46 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, streng
     return RuleEnsemble(float(bias), tuple((float(w), r) for w, r in zip(weights, kept, strict=True) if abs(w) > 1e-6))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores `threshold` or more; each row by its own text."""
-    from folioforge.llm.shared import materialize
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = np.array([statistics(t) for t in pdf[text_col]], float).reshape(-1, len(STATISTICS))
-            pdf = pdf.reset_index(drop=True)
-            yield pd.concat([pdf, pd.DataFrame(values, columns=[f"_stat_{s}" for s in STATISTICS])], axis=1)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    wide = materialize(docs.mapInPandas(run, fields + ", " + ", ".join(f"_stat_{s} double" for s in STATISTICS)), "documents-statistics")
-    named = [F.col(f"_stat_{s}").alias(s) for s in STATISTICS]
-    model = train(wide.select(F.col(id_col).cast("long").alias("doc_id"), *named), labels, sample=sample)
-    return wide.filter(model.score(prefix="_stat_") >= threshold).select(*docs.columns)
-
-
-def train(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", sample: int = 20_000) -> RuleEnsemble:
-    """Fit on the `sample` labelled rows whose ids hash lowest: the one bound of the training set. Rows whose crc32(id) mod 4 is 2 are never used."""
-    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    rows = (
-        stats.join(given, "doc_id")
-        .filter(~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "y")
-        .limit(sample)
-        .toArrow()
-        .to_pandas()
-    )
-    return fit(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(int))
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> RuleEnsemble:
+    """Fit on the `sample` labelled rows whose ids hash lowest: the one bound of the training set. Rows whose crc32(id) mod 4 is 2 are never used.
+
+    The rows are chosen by ids alone; only their texts are read, and only their statistics reach the driver.
+    """
+    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null")
+    chosen = lowest(given.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "y"), sample, ["h", "doc_id", "y"]).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "doc_id")  # chosen: at most `sample` rows
+    rows = with_statistics(texts, "body", "stats").select("h", "doc_id", "y", "stats").toArrow()
+    x = rows["stats"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS))
+    y = rows["y"].to_numpy()
+    order = np.lexsort((*x.T[::-1], y, rows["doc_id"].to_numpy(), rows["h"].to_numpy()))[:sample]
+    return fit(x[order], y[order])
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores `threshold` or more; each row by its own text.
+
+    Null, empty and blank texts score as texts whose statistics are all 0, rows without an id like any other;
+    columns of any name and repeated rows are kept.
+    """
+    model = train(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
+    free = free_name(docs, "statistics")
+    return with_statistics(docs, text_col, free).filter(model.score(F.col(free)) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted): one row per row of docs, whole texts.
+    """(doc_id, held_out, score, predicted): one row per row of docs, whole texts of any length.
 
     score is the probability of label 1, predicted 1 where it is `threshold` or more. Null, empty and blank texts
     are scored as texts whose statistics are all 0. A null doc_id is never trained on and not held out. Labels other
-    than 0 and 1 and repeated rows are allowed (each repeated labelled row counts); other columns are not read.
+    than 0 and 1 and repeated rows are allowed (each repeated labelled row counts, equal ones once); other columns are
+    not read; without labels every score is one half.
     """
-    from folioforge.llm.shared import materialize
-
-    stats = materialize(with_statistics(docs, id_col=id_col, text_col=text_col), "statistics")
-    model = train(stats, labels, sample=sample)
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    model = train(docs, labels, id_col=id_col, text_col=text_col, sample=sample)
+    stats = with_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), "body", "stats")
+    scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(F.col("stats")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
