@@ -4,39 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import chain
 from folioforge.llm.quality import held_out
-from folioforge.llm.shared import materialize
+from folioforge.llm.shared import SLICE_CHARS, arrow_map, batch_of, counted_words, lowest, materialize, slices, text_slices
 
-SLICE_CHARS = 4_000_000  # characters of the texts that are recursed over together
-MEMO_WORDS = 400_000  # distinct words that a Python worker remembers
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, words between ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def slices(texts: list, most: int = 0) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts of about SLICE_CHARS characters (or `most`); a longer text is a range of its own."""
-    begin = total = 0
-    most = most or SLICE_CHARS
-    for k, t in enumerate(texts):
-        n = len(t or "")
-        if total and total + n > most:
-            yield begin, k
-            begin, total = k, 0
-        total += n
-    if begin < len(texts):
-        yield begin, len(texts)
+COUNTED = 1_500_000  # distinct words whose counts a task gathers before it writes them
+FIRST_WORDS = 400  # words of a text that the starting point learns from, in a row from a random place on
 
 
 @dataclass(frozen=True)
@@ -52,85 +34,53 @@ class Hmm:
         return self.emit.shape[1] - 1
 
 
-class _Words(dict):
-    """Word to a number; unseen words get the next one and wait in `fresh`."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-        self.hashes = np.empty(0, np.uint64)
-        self.known = np.empty(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        self.fresh.append(word)
-        return k
-
-    def settle(self, lookup=None) -> None:
-        if self.fresh:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in self.fresh], np.uint64)
-            self.hashes = np.concatenate([self.hashes, h])
-            if lookup is not None:
-                self.known = np.concatenate([self.known, lookup(h)])
-            self.fresh = []
+def _numbered(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the texts' words, one after another, -1 for each end; hashes of the words by number; tokens of each text)."""
+    words, distinct, lengths = counted_words(bodies)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+    numbers = np.full(words.size + lengths.size, -1, np.int64)
+    numbers[np.arange(words.size) + np.repeat(np.arange(lengths.size), lengths)] = words
+    return numbers, hashes, lengths + 1
 
 
-_MEMO: dict[str, _Words] = {}
-
-
-def _memo(key: str) -> _Words:
-    """The worker's word numbers; kept from task to task, begun anew for other counts or when large."""
-    if key not in _MEMO or len(_MEMO[key]) > MEMO_WORDS:
-        _MEMO.clear()
-        _MEMO[key] = _Words()
-    return _MEMO[key]
-
-
-def _numbered(texts: list, memo: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of the texts, one after another, with -1 for each end; tokens of each text."""
-    flat, lengths = [], np.empty(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        words = words_of(t)
-        flat.extend(map(memo.__getitem__, words))
-        flat.append(-1)
-        lengths[k] = len(words) + 1
-    return np.array(flat, np.int64), lengths
+def _bucket(numbers: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    of = np.append((hashes % np.uint64(buckets)).astype(np.int64), buckets)  # -1 reads the last
+    return of[numbers]
 
 
-def _bucket(numbers: np.ndarray, memo: _Words, buckets: int) -> np.ndarray:
-    of = np.append((memo.hashes % np.uint64(buckets)).astype(np.int64), buckets)  # -1 reads the last
-    return of[numbers]
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, their counts) of parts of both."""
+    h, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if h.size else np.empty(0, np.int64)
+    return h[first], np.add.reduceat(c, first) if h.size else c
 
 
 def _read_words(docs: DataFrame, buckets: int) -> DataFrame:
     """One pass over the texts, written: rows (h, c) with counts of training words by their 64-bit hash, summed in the task, and rows (tokens) with a training text's buckets, the end's included, as unsigned 16-bit numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, owner = np.zeros(0, np.int64), None  # of the words that `owner` numbers
-
-        def out() -> pd.DataFrame:
-            some = np.flatnonzero(sums)
-            return pd.DataFrame({"h": owner.hashes[some].view(np.int64), "c": sums[some], "tokens": None})
-
-        for pdf in batches:
-            texts = list(pdf["body"][pdf["train"]])
-            for a, b in slices(texts):
-                memo = _memo("buckets")
-                if memo is not owner:
-                    if owner is not None:
-                        yield out()
-                    owner, sums = memo, np.zeros(0, np.int64)
-                numbers, lengths = _numbered(texts[a:b], memo)
-                memo.settle()
-                raw, end = _bucket(numbers, memo, buckets).astype("<u2").tobytes(), 2 * np.cumsum(lengths)
-                yield pd.DataFrame({"h": None, "c": None, "tokens": [raw[x:y] for x, y in zip((end - 2 * lengths).tolist(), end.tolist(), strict=True)]})
-                now = np.bincount(numbers[numbers >= 0], minlength=len(memo))
-                now[: sums.size] += sums
-                sums = now
-        if owner is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+
+        def out() -> pa.RecordBatch:
+            h, c = parts[0]
+            return batch_of(h=h.view(np.int64), c=c, tokens=pa.nulls(c.size, pa.binary()))
+
+        for batch in batches:
+            for _, bodies in text_slices(batch.filter(batch.column("train")), "body"):
+                numbers, hashes, lengths = _numbered(bodies)
+                raw, end = _bucket(numbers, hashes, buckets).astype("<u2").tobytes(), 2 * np.cumsum(lengths)
+                none = pa.nulls(lengths.size, pa.int64())
+                yield batch_of(h=none, c=none, tokens=pa.Array.from_buffers(pa.binary(), lengths.size, [None, pa.py_buffer(np.concatenate([[0], end]).astype(np.int32)), pa.py_buffer(raw)]))
+                parts = [_summed([*parts, (hashes, np.bincount(numbers[numbers >= 0], minlength=hashes.size))])]
+                if parts[0][0].size > COUNTED:
+                    yield out()
+                    parts = []
+        if parts:
             yield out()
 
-    return materialize(docs.select("train", "body").mapInPandas(run, "h long, c long, tokens binary"), "words")
+    return materialize(arrow_map(docs.select("train", "body"), run, "h long, c long, tokens binary"), "words")
 
 
 def _expectations(tokens: DataFrame, model: Hmm) -> Hmm:
@@ -138,27 +88,28 @@ def _expectations(tokens: DataFrame, model: Hmm) -> Hmm:
     k, width = model.move.shape[0], model.emit.shape[1]
     shared = tokens.sparkSession.sparkContext.broadcast(model)  # states x buckets, a fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = shared.value
         by_bucket = np.ascontiguousarray(m.emit.T)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, width))
-        for pdf in batches:
-            texts = list(pdf["tokens"])
-            for a, b in slices(texts, SLICE_CHARS // 3):
-                token = np.frombuffer(b"".join(texts[a:b]), "<u2").astype(np.int64)
-                got = chain.run(by_bucket[token], np.array([len(t) // 2 for t in texts[a:b]]), m.start, m.move, posteriors=True)
+        for batch in batches:
+            texts = batch.column("tokens")
+            size = pc.binary_length(texts).to_numpy() // 2
+            for a, b in slices(size.tolist(), SLICE_CHARS // 6):
+                token = np.frombuffer(b"".join(texts[a:b].to_pylist()), "<u2").astype(np.int64)
+                got = chain.run(by_bucket[token], size[a:b].astype(np.int64), m.start, m.move, posteriors=True)
                 start += got.starts
                 move += got.moves
                 for s in range(k):
                     emit[s] += np.bincount(token, got.gamma[:, s], width)
-        yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sums": [np.concatenate([start, move.ravel(), emit.ravel()]).tobytes()]})
+        yield batch_of(task=pa.array([TaskContext.get().partitionId()], pa.int32()), sums=pa.array([np.concatenate([start, move.ravel(), emit.ravel()]).tobytes()], pa.binary()))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"task": [0], "sums": [sum(np.frombuffer(s, float) for s in pdf["sums"]).tobytes()]})
 
-    rows = tokens.mapInPandas(run, "task int, sums binary")
+    rows = arrow_map(tokens, run, "task int, sums binary")
     groups = max(1, int(tokens.rdd.getNumPartitions() ** 0.5))
     summed = rows.groupBy((F.col("task") % groups).alias("g")).applyInPandas(add, "task int, sums binary").collect()  # the root of the tasks' number, each of a fixed size
     shared.unpersist()
@@ -174,13 +125,16 @@ def _normalised(sums: Hmm) -> Hmm:
 
 
 def _first_model(docs: DataFrame, states: int, buckets: int, texts: int, rounds: int, seed: int) -> Hmm:
-    """A starting point: rounds over the `texts` training texts whose ids hash lowest, from random weights."""
-    sample = [r["body"] for r in docs.filter("train").orderBy(F.xxhash64("doc_id"), "doc_id", "body").limit(texts).collect()]
+    """A starting point: rounds over runs of FIRST_WORDS words of the `texts` training texts whose ids hash lowest, from random weights."""
+    chosen = lowest(docs.filter("train").select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id"), texts, ["h", "doc_id"]).distinct()
+    words = F.split(F.trim(F.regexp_replace("body", r"[\x09-\x0D ]+", " ")), " ")
+    some = docs.filter("train").join(F.broadcast(chosen), "doc_id").withColumn("w", words)  # chosen: at most `texts` rows
+    begin = F.pmod(F.col("h"), F.greatest(F.size("w") - FIRST_WORDS, F.lit(0)) + 1).cast("int") + 1
+    rows = some.select("h", F.array_join(F.slice("w", begin, F.lit(FIRST_WORDS)), " ").alias("body")).orderBy("h", "body").limit(texts).collect()
+    sample = [r["body"] for r in rows]
     rng = np.random.default_rng(seed)
-    memo = _Words()
-    numbers, lengths = _numbered(sample, memo)
-    memo.settle()
-    token = _bucket(numbers, memo, buckets)
+    numbers, hashes, lengths = _numbered(pa.array(sample, pa.string()))
+    token = _bucket(numbers, hashes, buckets)
     base = np.bincount(token, minlength=buckets + 1) + 0.01
     emit = base * np.exp(rng.normal(0, 1, (states, buckets + 1)))
     model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * (0.95 - 0.05 / max(1, states - 1)), emit / emit.sum(axis=1, keepdims=True))
@@ -229,7 +183,6 @@ def score(
         table = (h[order], rows["c"].to_numpy()[order].astype(np.uint32 if n < 2**32 else np.int64))
         del rows, h, order
     shared = spark.sparkContext.broadcast((model, mass, kinds, table))
-    key = uuid4().hex
     unigram = np.log10(n + 0.1 * (distinct + 1))
 
     def lookup(h: np.ndarray) -> np.ndarray:
@@ -239,40 +192,36 @@ def score(
         at = np.minimum(np.searchsorted(keys, h), keys.size - 1)
         return np.where(keys[at] == h, values[at], 0).astype(np.int64)
 
-    def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, mass, kinds, table = shared.value
         by_bucket = np.ascontiguousarray(m.emit.T)
         spread = np.log10(mass + 0.1 * (kinds + 1))
-        for pdf in batches:
-            bodies = list(pdf["body"])
-            for a, b in slices(bodies):
-                memo = _memo(key)
-                numbers, lengths = _numbered(bodies[a:b], memo)
-                memo.settle(lookup if table is not None else None)
-                token = _bucket(numbers, memo, m.buckets)
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body"):
+                numbers, hashes, lengths = _numbered(bodies)
+                token = _bucket(numbers, hashes, m.buckets)
                 got = chain.run(by_bucket[token], lengths, m.start, m.move)
-                frame = pd.DataFrame({"row": pdf["row"].iloc[a:b], "doc_id": pdf["doc_id"].iloc[a:b], "held_out": pdf["held_out"].iloc[a:b], "n_tokens": lengths, "hidden": got.loglik / np.log(10)})
+                out = {"row": rows.column("row"), "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": lengths, "hidden": got.loglik / np.log(10)}
                 begin = np.cumsum(lengths) - lengths
                 if table is not None:
-                    c = np.append(memo.known, texts)[numbers]
+                    c = np.append(lookup(hashes), texts)[numbers]
                     log = np.log10(c + 0.1)
-                    frame["n_known"] = np.add.reduceat((c > 0).astype(np.int64), begin)
-                    frame["base_score"] = np.add.reduceat(log - unigram, begin)
-                    frame["words"] = np.add.reduceat(np.where(numbers >= 0, log - spread[token], 0.0), begin)
-                    yield frame
+                    out["n_known"] = np.add.reduceat((c > 0).astype(np.int64), begin)
+                    out["base_score"] = np.add.reduceat(log - unigram, begin)
+                    out["words"] = np.add.reduceat(np.where(numbers >= 0, log - spread[token], 0.0), begin)
                 else:
                     end = np.cumsum(lengths)
                     distinct_words = [np.unique(numbers[x : y - 1], return_counts=True) for x, y in zip(begin, end, strict=True)]
-                    frame["h"] = [memo.hashes[u].view(np.int64).tolist() for u, _ in distinct_words]
-                    frame["tf"] = [f.tolist() for _, f in distinct_words]
-                    yield frame
+                    out["h"] = pa.array([hashes[u].view(np.int64) for u, _ in distinct_words], pa.list_(pa.int64()))
+                    out["tf"] = pa.array([f for _, f in distinct_words], pa.list_(pa.int64()))
+                yield batch_of(**out)
 
     numbered = given.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "body")
     head = "row long, doc_id long, held_out boolean, n_tokens long, hidden double"
     if small:
-        out = numbered.mapInPandas(forward, f"{head}, n_known long, base_score double, words double")
+        out = arrow_map(numbered, forward, f"{head}, n_known long, base_score double, words double")
         return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", (F.col("hidden") + F.col("words")).alias("score"))
-    wide = materialize(numbered.mapInPandas(forward, f"{head}, h array<long>, tf array<long>"), "word-frequencies")
+    wide = materialize(arrow_map(numbered, forward, f"{head}, h array<long>, tf array<long>"), "word-frequencies")
     of_end = float(np.log10(texts + 0.1) - unigram)
     spreads = spark.createDataFrame(pd.DataFrame({"b": np.arange(buckets), "spread": np.log10(mass + 0.1 * (kinds + 1))[:-1]}))
     each = wide.select("row", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("row", "x.h", "x.tf").join(counts, "h", "left")
