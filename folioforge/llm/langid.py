@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import chain
-from folioforge.llm.lm import MEMO_WORDS, slices
 from folioforge.llm.quality import held_out
+from folioforge.llm.shared import arrow_map, batch_of, counted_words, lowest, text_slices
 
 SLOTS = 1 << 16  # hashed features
+SPAN, SPANS = 24, 8  # words of a run, and runs of a text, that are learned from
 
 
 @dataclass(frozen=True)
@@ -118,60 +118,36 @@ def fit(texts: list[str], langs: list[str], *, sequences: int = 3000, epochs: in
     return Crf(names, weights.astype(np.float32), move, start)
 
 
-class _Emissions(dict):
-    """Lower-cased token to a row of `table`; unseen tokens wait in `fresh`."""
-
-    def __init__(self, model: Crf):
-        super().__init__()
-        self.model, self.fresh = model, []
-        self.table = np.empty((0, max(1, len(model.langs))))
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = len(self)
-        self.fresh.append(word)
-        return k
-
-    def settle(self) -> None:
-        for at in range(0, len(self.fresh), 20_000):
-            slots, per = word_features(self.fresh[at : at + 20_000])
-            emit = _sums(self.model.weights[slots].astype(float), per)
-            self.table = np.concatenate([self.table, np.exp(np.maximum(emit - emit.max(axis=1, keepdims=True), -300))])
-        self.fresh = []
-
-
-_MEMO: dict[str, _Emissions] = {}
-
-
-def label_words(texts: list[str], model: Crf, memo: _Emissions | None = None) -> tuple[np.ndarray, np.ndarray]:
+def label_words(texts: pa.Array, model: Crf) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each language for every white-space word of the texts, one after another; words of each text."""
-    memo = memo if memo is not None else _Emissions(model)
-    flat, lengths = [], np.zeros(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        words = t.lower().split()
-        flat.extend(map(memo.__getitem__, words))
-        lengths[k] = len(words)
-    memo.settle()
-    some = lengths > 0
-    if not flat:
+    numbers, distinct, lengths = counted_words(texts, ascii_only=False)
+    if not numbers.size:
         return np.empty((0, len(model.langs))), lengths
-    got = chain.run(memo.table[np.array(flat, np.int64)], lengths[some], np.exp(model.start), np.exp(model.move), posteriors=True)
+    table = np.empty((len(distinct), len(model.langs)))
+    for at in range(0, len(distinct), 20_000):
+        slots, per = word_features(distinct[at : at + 20_000].to_pylist())
+        emit = _sums(model.weights[slots].astype(float), per)
+        table[at : at + 20_000] = np.exp(np.maximum(emit - emit.max(axis=1, keepdims=True), -300))
+    got = chain.run(table[numbers], lengths[lengths > 0], np.exp(model.start), np.exp(model.move), posteriors=True)
     return got.gamma, lengths
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000) -> Crf:
-    """Fit on the `sample` labelled texts whose ids hash lowest: the bound of the training set. Rows whose crc32(id) mod 4 is 2, and null labels or texts, are never used."""
-    rows = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang"))
-        .filter("doc_id is not null and body is not null and lang is not null")
-        .filter(~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "body", "lang")
-        .limit(sample)
-        .collect()
-    )
-    return fit([r["body"] for r in rows], [r["lang"] for r in rows])
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600) -> Crf:
+    """Fit on the `sample` labelled texts of each language whose ids hash lowest: the bound of the training set.
+
+    Of each of them up to SPANS runs of SPAN words, from all over the text, reach the driver. Rows whose crc32(id) mod 4 is
+    2, and null labels or texts, are never used.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"), F.col(lang_col).cast("string").alias("lang")).filter("doc_id is not null and body is not null and lang is not null").filter(~held_out(F.col("doc_id")))
+    chosen = lowest(given.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang"), sample, ["h", "doc_id"], by="lang").distinct()
+    words = F.split(F.trim(F.regexp_replace("body", r"\s+", " ")), " ")
+    runs = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n")), F.greatest(F.lit(SPAN), F.ceil(F.col("n") / SPANS)).cast("int"))
+    some = given.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("w", words).withColumn("n", F.size("w"))  # chosen: `sample` rows a language
+    rows = some.select("h", "lang", F.explode(F.transform(runs, lambda i: F.array_join(F.slice("w", i, F.lit(SPAN)), " "))).alias("span")).orderBy("h", "lang", "span").toArrow()
+    return fit(rows["span"].to_pylist(), rows["lang"].to_pylist())
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): one row per row of docs, whole texts.
 
     Words are labelled by forward-backward; lang_pred is the language with the largest mean posterior over the
@@ -181,20 +157,15 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages, a fixed size
-    key = uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for pdf in batches:
-            bodies = [t or "" for t in pdf["body"]]
-            for a, b in slices(bodies):
-                if key not in _MEMO or len(_MEMO[key]) > MEMO_WORDS:
-                    _MEMO.clear()
-                    _MEMO[key] = _Emissions(model)
-                texts = [t if any(map(str.isalpha, t)) else "" for t in bodies[a:b]]
-                lang, score = np.full(b - a, "und", object), np.zeros(b - a)
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body"):
+                texts = pa.array([t if any(map(str.isalpha, t)) else "" for t in bodies.to_pylist()], pa.string())
+                lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if model.langs:
-                    gamma, lengths = label_words(texts, model, _MEMO[key])
+                    gamma, lengths = label_words(texts, model)
                     some = np.flatnonzero(lengths)
                     if some.size:
                         end = np.cumsum(lengths[some])
@@ -202,7 +173,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         share = sums / sums.sum(axis=1, keepdims=True)
                         best = share.argmax(axis=1)
                         lang[some], score[some] = np.array(model.langs, object)[best], np.clip(share[np.arange(some.size), best], 0, 1)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "held_out": pdf["held_out"].iloc[a:b], "lang_pred": lang, "score": score})
+                yield batch_of(doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), lang_pred=pa.array(lang, pa.string()), score=score)
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    return given.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "body").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return arrow_map(given.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "body"), run, "doc_id long, held_out boolean, lang_pred string, score double")

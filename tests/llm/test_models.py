@@ -7,7 +7,9 @@ from itertools import product
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from folioforge.llm import chain, langid, lm, quality, secrets
 
@@ -62,10 +64,32 @@ def test_language_model(spark, sf):
 
 
 def test_language_model_sums_to_one(spark):
-    """Over all one-word texts: known words and one unknown word of each bucket."""
-    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}", "z") for i in range(40)] + [(50, None, "z"), (51, "", "z"), (None, "w1", "z")], "doc_id long, text string, row string")
+    """Over all texts of up to one word: the known words, and one unknown word for each bucket, have the model's whole share of such texts."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}") for i in range(40)], "doc_id long, text string")
+    unknown, seen = [], set()
+    for k in range(400):
+        h = xxhash.xxh64_intdigest(f"u{k}".encode()) % 4
+        if h not in seen:
+            seen.add(h)
+            unknown.append(f"u{k}")
+    asked = [*(f"w{i}" for i in range(7)), *unknown]
+    extra = spark.createDataFrame([(crc, t) for crc, t in zip([i for i in range(1000, 3000) if crc32(str(i).encode()) % 10 == 0], ["", *asked], strict=False)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs.unionByName(extra), buckets=4, states=2).collect() if r.doc_id >= 1000}
+    assert len(got) == 12 and all(r.held_out for r in got.values())
+    one_word = sum(10**r.score for r in got.values() if r.n_tokens == 2)
+    none = 10 ** next(r.score for r in got.values() if r.n_tokens == 1)
+    assert 0.05 < none + one_word <= 1 + 1e-9
+    # a text of one word ends after it: every first word's share is that of the texts that begin with it
+    first = {r.doc_id: 10**r.score for r in lm.score(docs.unionByName(extra), buckets=4, states=1).collect() if r.doc_id >= 1000}
+    end = first[min(first)]  # with one state, tokens are independent
+    assert sum(p for i, p in first.items() if i != min(first)) == pytest.approx((1 - end) * end, rel=1e-6)
+
+
+def test_language_model_edges(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}", "z") for i in range(40)] + [(50, None, "z"), (51, "", "z"), (None, "w1", "z"), (52, "w1 " * 30_000, "z"), (3, "w3 w3", "z"), (3, "w3 w3", "z")], "doc_id long, text string, row string")
     got = lm.score(docs, buckets=4, states=2)
-    assert got.count() == 43 and got.filter("score is null or base_score is null or isnan(score)").count() == 0
+    assert got.count() == 46 and got.filter("score is null or base_score is null or isnan(score)").count() == 0
+    assert got.filter("doc_id = 52").first().n_tokens == 30_001
     assert lm.score(docs.limit(0)).count() == 0
 
 
@@ -92,7 +116,7 @@ def test_words_of_mixed_text_are_labelled():
     pools = {"a": ["bababa", "babu", "abab", "bubab"], "z": ["zizi", "zyzzi", "izyz", "yzzy"]}
     texts = [" ".join(rng.choice(pools[g], 30)) for g in "az" * 20]
     model = langid.fit(texts, list("az" * 20), sequences=200)
-    gamma, lengths = langid.label_words(["baba abab bubab babu zizi izyz zyzzi zyzy"], model)
+    gamma, lengths = langid.label_words(pa.array(["baba abab bubab babu zizi izyz zyzzi zyzy"]), model)
     assert lengths.tolist() == [8] and gamma.argmax(axis=1).tolist() == [0] * 4 + [1] * 4
 
 
@@ -110,8 +134,8 @@ def test_quality_expression_agrees_with_plain_rules(spark):
     x = rng.random((400, len(quality.STATISTICS)))
     y = ((x[:, 3] > 0.4) & (x[:, 5] < 0.6)).astype(int)
     model = quality.fit(x, y)
-    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["doc_id", *quality.STATISTICS])
-    got = {r.doc_id: r.s for r in df.select("doc_id", model.score().alias("s")).collect()}
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "doc_id long, stats array<double>")
+    got = {r.doc_id: r.s for r in df.select("doc_id", model.score(df["stats"]).alias("s")).collect()}
     for i, r in enumerate(x):
         z = model.bias + sum(w for w, rule in model.rules if all((r[f] <= cut) == low for f, low, cut in rule))
         assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
@@ -144,3 +168,83 @@ def test_secret_edges(spark):
     assert clean[1].text == 'x password="[SECRET]" é [SECRET], end' and clean[2].text is None and clean[3].text == "" and clean[4].text == rows[3][1]
     assert clean[5].text == "a " * 9000 + "key [SECRET]" and clean[1].value == "v"
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_secret_kinds_and_false_positives(spark):
+    """Planted secrets of every kind, made here and not by the training's generator, and harmless text."""
+    rng = np.random.default_rng(12)
+    some = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    letters, digits = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", "0123456789"
+    rows, want = [], set()
+    made = [
+        lambda: ("login with password=", "hunter2hunter" + some(digits, 2), " please"), lambda: ('db_password = "', some(letters + digits + "!@#$%", 12), '" # local'),
+        lambda: ("the token: ", some(letters, 25), " is ours"), lambda: ("api_key=", some(letters + digits, 8) + some(digits, 1), "\nnext"), lambda: ("clone https://bob:", some(letters + digits, 11) + "7", "@git.example/repo"),
+        lambda: ("cert ", "-----BEGIN RSA PRIVATE KEY-----\n" + some(letters + digits, 64) + "\n-----END RSA PRIVATE KEY-----", " end"), lambda: ("id ", "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), " ok"), lambda: ('token = "', some("0123456789abcdef", 40), '"'),
+    ]
+    for k in range(160):
+        before, value, after = made[k % len(made)]()
+        rows.append((k, before + value + after))
+        want.add((k, len(before), value))
+    harmless = ["the password: required for all users", "token: string, optional", "secret = get_secret()", "auth = settings.auth_backend", "password: ********", "commit " + some("0123456789abcdef", 40), "see /usr/lib/python3/site-packages/name2/x.py", "card 4041894974608795", "the secret: nothing is known", "password={{ user_password }}", "http://localhost:8080/path"]
+    rows += [(1000 + k, harmless[k % len(harmless)] + " and so on") for k in range(110)]
+    found = {(f.doc_id, f.start, f.value) for f in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if f.is_secret}
+    assert len(found & want) >= 0.9 * len(want)
+    assert len(found - want) <= 0.05 * len(rows)
+
+
+def test_forest_expression_agrees_with_plain_trees(spark):
+    from folioforge.llm.trees import predict
+
+    findings = secrets.labelled_findings(spark, 900)
+    trees = secrets.train(findings, trees=7)
+    df = findings.selectExpr("monotonically_increasing_id() AS doc_id", "before || value || after AS text")
+    import pyspark.sql.functions as F
+
+    found = df.select(F.explode(secrets.parsed(F.col("text"))["found"]).alias("f")).select("f.*")
+    rows = found.select(F.array(*secrets.features(F.col("value"), F.col("before"), F.col("after"))).alias("x"), secrets.judged(F.array(F.struct("lead", "value", "start", "before", "after")), trees)[0]["score"].alias("score")).collect()
+    x = np.array([r.x for r in rows])
+    plain = np.mean([predict(t, x) for t in trees], axis=0)
+    np.testing.assert_allclose([r.score for r in rows], plain, rtol=1e-9)
+    assert len(rows) > 700
+
+
+def test_many_candidates_and_repeated_rows(spark):
+    import pyspark.sql.functions as F
+
+    text = "password=hunter2hunter and " * 5000
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "x")], "doc_id long, text string")
+    rows = secrets.scan(docs).collect()
+    assert sorted({r.start for r in rows}) == [9 + 27 * k for k in range(5000)] and len(rows) == 10_000
+    assert secrets.redact(docs).filter(F.col("text") == "password=[SECRET] and " * 5000).count() == 2
+
+
+BIG = 9007199254740993  # not a double
+
+
+def test_ids_beside_nulls_stay(spark):
+    from folioforge.llm import packing, queries, simple8b
+
+    docs = spark.createDataFrame([(BIG, "the cat", "en", BIG), (None, "der hund", "de", None)], "doc_id long, text string, lang string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1)], "doc_id long, quality int")
+    made = [quality.classify(docs, labels), quality.keep_good(docs, labels, threshold=0.0), lm.score(docs), langid.identify(docs)]
+    if pytest.importorskip("public_tokenizers"):
+        made += [packing.pack(docs, queries.vocabulary("word_bpe_49k.json")), simple8b.read_ids(simple8b.write_ids(docs, queries.vocabulary("byte_bpe_50k.json")))]
+    for df in made:
+        assert {r.doc_id for r in df.collect()} == {BIG, None}
+    assert {r.n_chars for r in made[1].collect()} == {BIG, None}
+
+
+def test_keep_good_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2.5, [1]), (None, None, None, None, None)], "doc_id long, text string, statistics int, `a.b` double, stats array<int>")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.keep_good(docs, labels, threshold=0.0)
+    assert got.columns == docs.columns and sorted(got.collect(), key=str) == sorted(docs.collect(), key=str)
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the cat and dog with", "de": "der hund und nicht ist", "xx": "zqa qzo oqz zaq"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words["xx" if i % 500 == 0 else "en" if i % 2 else "de"].split(), 12)), "xx" if i % 500 == 0 else "en" if i % 2 else "de") for i in range(4000)]
+    got = rows_of(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50))
+    assert np.mean([got[i].lang_pred == g for i, _, g in rows if g == "xx"]) == 1.0
