@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.linking import BKForest, spanning_labels
-from folioforge.llm.shared import connected_components, materialize
+from folioforge.llm.linking import BKForest, spanning_edges
+from folioforge.llm.shared import arrow_map, batch_of, connected_components, counted_words, discard, free_name, materialize, salted_join, text_slices
 
 SHARD_ROWS = 8192  # fingerprints of one shard that one task holds; larger shards are split into pairs of chunks
 FRONTIER = 4_000_000  # query-member pairs that a batch of queries could reach at most
@@ -33,22 +33,34 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     width = min(width, len(words))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, hashes.size, 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > hashes.size, bitorder="little").view(np.uint64)[0])
+    return int(majority(hashes.reshape(-1, 1))[0])
+
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Words of the bits that are set in over half of the rows of hashes (rows x words)."""
+    octets = hashes.view(np.uint8).reshape(len(hashes), -1)
+    width = octets.shape[1]
+    ones = np.zeros((width, 8), np.int64)
+    for at in range(0, len(hashes), 65536):
+        counts = np.bincount((octets[at : at + 65536] + 256 * np.arange(width)).ravel(), minlength=256 * width)
+        ones += counts.reshape(width, 256) @ _BITS
+    return np.packbits(ones.ravel() * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t, width) for t in pdf["body"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body"):
+                fps = np.array([fingerprint(t, width) for t in bodies.to_pylist()], np.uint64).view(np.int64)
+                yield batch_of(doc_id=rows.column("doc_id"), fp=fps)
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    return source.mapInPandas(run, "doc_id long, fp long")
+    return arrow_map(source, run, "doc_id long, fp long")
 
 
 def _masks(radius: int) -> list[int]:
@@ -67,85 +79,233 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Spanning links (a, b) between the representatives of distinct fingerprints at distance `radius` or less.
 
     prints: fp, rep, distinct fp. A shard holds the fingerprints that agree on one of the masks, so two linked ones
-    meet in a shard. Each shard's BK-tree is built and searched in the task that holds the shard, as trees
+    meet in a shard.
+    """
+    masks = [_signed(m) for m in _masks(radius)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
+    return _shard_links(prints, keys, ["fp"], radius, len(masks) * prints.count()).select("a", "b").distinct()
+
+
+def _shard_links(prints: DataFrame, keys: Column, words: list[str], radius: int, total: int) -> DataFrame:
+    """Links (a, b) of rep that span, in each shard, what lies at distance `radius` or less; the nearest pairs first.
+
+    keys: the shards of a row, an array of structs (t, key); `total` rows of shards in all. Each shard's BK-tree is built and searched in the task that holds the shard, as trees
     of all fingerprints would grow with the data and not fit a broadcast. Shards of over SHARD_ROWS are dealt
     into chunks, and each pair of chunks is a task's work, so no shard needs one machine. A task returns a spanning
     forest of the links it finds, never more rows than it holds.
     """
-    masks = [_signed(m) for m in _masks(radius)]
-    shards = prints.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("s")).select("fp", "rep", "s.t", "s.key")
-    hot = shards.groupBy("t", "key").agg(F.count("*").alias("m")).filter(F.col("m") > SHARD_ROWS).withColumn("chunks", F.ceil(F.col("m") / SHARD_ROWS).cast("int")).drop("m")
-    dealt = shards.join(hot, ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    shards = prints.select(*words, "rep", F.explode(keys).alias("s"))
+    hot = shards.groupBy("s").agg(F.count("*").alias("m")).filter(F.col("m") > SHARD_ROWS).withColumn("chunks", F.ceil(F.col("m") / SHARD_ROWS).cast("int"))
+    dealt = salted_join(shards, hot, "s", "m", total, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda x: F.struct(F.least("c", x).alias("ci"), F.greatest("c", x).alias("cj"), F.when(x == F.col("c"), 2).when(F.col("c") < x, 0).otherwise(1).alias("role")),
     )
-    work = dealt.select("t", "key", "fp", "rep", F.explode(pairs).alias("p")).select("t", "key", "p.ci", "p.cj", "p.role", "fp", "rep")
-    work = work.repartition("t", "key", "ci", "cj").sortWithinPartitions("t", "key", "ci", "cj")
+    work = dealt.select("s.t", "s.key", *words, "rep", F.explode(pairs).alias("p")).select("t", "key", "p.ci", "p.cj", "p.role", *words, "rep")
+    work = work.repartition("t", "key", "ci", "cj").sortWithinPartitions("t", "key", "ci", "cj", "rep")
 
-    def search(group: np.ndarray, role: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+    def search(group: np.ndarray, role: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
         tree = np.flatnonzero(role != 1)
         ask = np.flatnonzero(role != 0)
         forest = BKForest(group[tree], fp[tree])
         size = np.bincount(group[tree], minlength=int(group.max()) + 1)
         ask = ask[size[group[ask]] > (role[ask] == 2)]
         cost = np.cumsum(size[group[ask]])
-        out = []
         at = 0
+        held = [np.empty(0, np.int64)] * 3
         while at < ask.size:
-            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER, "right")))
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER // len(words), "right")))
             some = ask[at:end]
-            q, m = forest.within(group[some], fp[some], radius)
+            q, m, d = forest.within(group[some], fp[some], radius)
             i, j = some[q], tree[m]
-            apart = i != j
-            labels = spanning_labels(i[apart], j[apart], group.size)
-            moved = np.flatnonzero(labels != np.arange(group.size))
-            out.append(pd.DataFrame({"a": rep[moved], "b": rep[labels[moved]]}))
+            low, high = np.minimum(i, j), np.maximum(i, j)
+            apart = low != high
+            found = [np.concatenate([h, x[apart]]) for h, x in zip(held, (low, high, d), strict=True)]
+            keep = spanning_edges(*found, group.size)  # a forest of the links so far: no more rows than the task holds
+            held = [x[keep] for x in found]
             at = end
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        if held[0].size:
+            yield batch_of(a=rep[held[0]], b=rep[held[1]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        columns = ["t", "key", "ci", "cj"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = pdf[columns].to_numpy()
-            new = np.ones(len(pdf), bool)
-            new[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+        def flush(rows: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(new) - 1
             several = np.bincount(group)[group] > 1
-            if not several.any():
-                return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-            group = np.unique(group[several], return_inverse=True)[1]
-            pdf = pdf[several]
-            return search(group, pdf["role"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy())
-
-        rows = 0
-        for pdf in batches:
-            held.append(pdf)
-            rows += len(pdf)
-            if rows >= 100_000:  # search what is complete; the last shard may go on
-                whole = pd.concat(held, ignore_index=True)
-                same = (whole[columns] == whole[columns].iloc[-1]).all(axis=1).to_numpy()
-                cut = len(whole) - int(same[::-1].argmin()) if not same.all() else 0
+            if several.any():
+                group = np.unique(group[several], return_inverse=True)[1]
+                column = lambda c: rows.column(c).to_numpy()[several]
+                yield from search(group, column("role"), np.stack([column(w).view(np.uint64) for w in words], axis=1), column("rep"))
+
+        def starts(rows: pa.Table) -> np.ndarray:
+            ids = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("t", "key", "ci", "cj")], axis=1)
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+            return new
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) >= 50_000:  # search what is complete; the last shard may go on
+                whole = pa.concat_tables(held).combine_chunks()
+                new = starts(whole)
+                cut = int(np.flatnonzero(new)[-1])
                 if cut:
-                    yield flush(whole.iloc[:cut])
-                held, rows = [whole.iloc[cut:]], len(whole) - cut
-        if rows:
-            yield flush(pd.concat(held, ignore_index=True))
+                    yield from flush(whole.slice(0, cut), new[:cut])
+                held = [whole.slice(cut)]
+        if held:
+            whole = pa.concat_tables(held).combine_chunks()
+            if len(whole):
+                yield from flush(whole, starts(whole))
 
-    return work.mapInPandas(run, "a long, b long")
+    return arrow_map(work, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of docs; documents link at `radius` or fewer differing bits.
 
     component_id is the smallest doc_id reachable by links. Equal fingerprints are one class, so copies meet no
-    tree and are never paired. Null, empty and wordless texts have fingerprint zero and link like any other; rows
-    with a null id are left out; repeated rows each get their row; other columns are not read.
+    tree and are never paired. Null, empty and wordless texts have fingerprint zero and link like any other; texts of
+    any length count whole; rows with a null id are left out; repeated rows each get their row; an empty table gives
+    no rows; other columns are not read.
     """
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
     reached = connected_components(links(classes, radius))
-    named = classes.join(reached, classes["rep"] == reached["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = classes.join(reached, classes["rep"] == reached["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return salted_join(prints, named, "fp", "n", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+WIDE = 256  # bits of the fingerprints that similar texts are searched by
+UNSEEN = 0.005  # share of pairs at the least similarity that agree on no mask, or differ in more bits than the radius
+
+
+def shingle_hashes(bodies: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash) of each text's distinct `width`-word shingles, sorted, and two 64-bit hashes of each text's word sequence.
+
+    Words are lower-cased (A-Z) and stand between ASCII white space; a text of fewer words is one shingle.
+    """
+    numbers, distinct, lengths = counted_words(bodies)
+    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[numbers]
+    owner = np.repeat(np.arange(lengths.size), lengths)
+    place = np.arange(numbers.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    h = np.zeros(numbers.size, np.uint64)
+    for k in range(width):
+        inside = place + k < lengths[owner]
+        h[inside] = _mixed(h[inside] * odd + of_word[np.flatnonzero(inside) + k])
+    keep = place <= np.maximum(lengths[owner] - width, 0)
+    sequence = np.zeros((2, lengths.size), np.uint64)
+    for k, salt in enumerate((np.uint64(0x632BE59BD9B4E019), np.uint64(0xD6E8FEB86659FD93))):
+        np.add.at(sequence[k], owner, _mixed(of_word + _mixed(place.astype(np.uint64) * salt + salt)))
+        sequence[k] = _mixed(sequence[k] + lengths.astype(np.uint64))
+    owner, h = owner[keep], h[keep]
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    first = np.ones(h.size, bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], h[first], sequence[0], sequence[1]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _wide_plan(total: int, similarity: float) -> tuple[int, int, int]:
+    """(bits of a mask, masks, radius) that leave UNSEEN of the pairs at `similarity`, for `total` different texts.
+
+    Sets of shingles of one size and that Jaccard similarity have a cosine of 2 J / (1 + J), and a bit differs with
+    acos / pi. Masks grow with the table, so that shards of unlike texts stay small, and their number with their bits.
+    """
+    differ = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    bits = max(8, int(np.ceil(np.log2(max(1, total) / 256))))
+    agree = (1 - differ) ** bits
+    masks = int(np.ceil(np.log(UNSEEN) / np.log1p(-agree))) if agree < 1 else 1
+    return bits, masks, int(np.ceil(WIDE * differ + 3 * np.sqrt(WIDE * differ * (1 - differ))))
+
+
+def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(classes, components): classes of equal word sequences, linked where shingle sets have a Jaccard similarity of `similarity` or more.
+
+    classes, written: rep (a number), first (of the class's row with the smallest id: no_id, doc_id, th the xxhash64 of the text, copies
+    the rows that are equal in both). components: node (a rep), component, for classes with links.
+
+    Fingerprints of WIDE bits, a bit set in over half of a text's distinct shingles' hashes, find candidates: texts
+    that agree on one of a number of random bit masks meet in a shard, whose BK-tree is searched. Of the candidates
+    of a shard the cheapest spanning forest is verified on the whole shingle sets, so groups of many like texts never
+    give all their pairs. Null, empty and wordless texts are one class; texts of any length count whole; rows without
+    id take part; repeated rows are one class.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body"):
+                owner, h, s0, s1 = shingle_hashes(bodies, width)
+                wide = np.stack([_mixed(h + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64)) for k in range(WIDE // 64)], axis=1)
+                cut = np.searchsorted(owner, np.arange(len(bodies) + 1))
+                prints = np.array([majority(wide[a:b]) if b > a else np.zeros(WIDE // 64, np.uint64) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.uint64).reshape(-1, WIDE // 64)
+                yield batch_of(doc_id=rows.column("doc_id"), th=rows.column("th"), s0=s0.view(np.int64), s1=s1.view(np.int64), **{w: np.ascontiguousarray(prints[:, k]).view(np.int64) for k, w in enumerate(words)})
+
+    words = [f"f{k}" for k in range(WIDE // 64)]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("body"))
+    signed = materialize(arrow_map(source, sign, "doc_id long, th long, s0 long, s1 long, " + ", ".join(f"{w} long" for w in words)), "signatures")
+    rows = signed.groupBy("s0", "s1", "doc_id", "th").agg(F.count("*").alias("copies"), *[F.first(w).alias(w) for w in words])
+    grouped = rows.groupBy("s0", "s1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "copies")).alias("first"), *[F.first(w).alias(w) for w in words])
+    classes = materialize(grouped.select("first", *words, F.monotonically_increasing_id().alias("rep")), "text-classes")
+    total = classes.count()
+    bits, masks, radius = _wide_plan(total, similarity)
+    rng = np.random.default_rng(seed)
+    keys = []
+    for t in range(masks):
+        on = np.zeros(WIDE, np.uint8)
+        on[rng.choice(WIDE, bits, replace=False)] = 1
+        parts = np.packbits(on, bitorder="little").view(np.uint64)
+        keys.append(F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(_signed(int(m)))) for w, m in zip(words, parts, strict=True) if m]).alias("key")))
+    found = materialize(_shard_links(classes, F.array(*keys), words, radius, masks * total).distinct(), "similar-pairs")
+    linked = materialize(connected_components(_verified(found, classes, docs, id_col, text_col, width, similarity)), "similar-components")
+    discard(signed, found)
+    return classes.select("rep", "first"), linked
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose texts' shingle sets are similar. One row of each class is read again, by its id and text."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bodies in text_slices(batch, "body"):
+                owner, h, _, _ = shingle_hashes(bodies, width)
+                cut = np.searchsorted(owner, np.arange(len(bodies) + 1)).astype(np.int32)
+                yield batch_of(rep=rows.column("rep"), uses=rows.column("uses"), shingles=pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("uses"))
+    wanted = classes.join(asked, "rep").select("rep", "uses", F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.no_id").alias("no_id"), F.col("first.th").alias("th"))
+    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("body"))
+    one = given.join(wanted, ["id", "no_id", "th"]).groupBy("id", "no_id", "th").agg(F.first("body").alias("body"), F.first("rep").alias("rep"), F.first("uses").alias("uses"))
+    sets = materialize(arrow_map(one.select("rep", "uses", "body"), listed, "rep long, uses long, shingles array<long>"), "shingle-sets")
+    total = 2 * pairs.count()
+    left = salted_join(pairs.withColumnRenamed("a", "rep"), sets.withColumnRenamed("shingles", "x"), "rep", "uses", total).withColumnRenamed("rep", "a")
+    both = salted_join(left.withColumnRenamed("b", "rep"), sets.withColumnRenamed("shingles", "y"), "rep", "uses", total).withColumnRenamed("rep", "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - F.lit(1e-9)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns as they are, of which no similar text with a smaller id is in docs: one row of each group of similar_texts().
+
+    Of a group the row with the smallest id stays, rows without an id last; of rows of one id and different texts in a
+    group the text with the lowest hash; of rows equal in id and text any one.
+    """
+    classes, linked = similar_texts(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
+    grouped = classes.join(linked, classes["rep"] == linked["node"], "left").select(F.coalesce("component", "rep").alias("group"), "first")
+    i, n, t, c = (free_name(docs, x) for x in ("i", "n", "t", "c"))
+    first = grouped.groupBy("group").agg(F.min("first").alias("x"))
+    stay = materialize(first.select(F.coalesce("x.doc_id", F.lit(0)).alias(i), F.col("x.no_id").alias(n), F.col("x.th").alias(t), F.col("x.copies").alias(c)), "survivors")
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col(i)) & (F.col(id_col).isNull() == F.col(n)) & (F.xxhash64(text_col) == F.col(t))
+    single = docs.join(stay.filter(F.col(c) == 1), same, "left_semi")
+    if not stay.filter(F.col(c) > 1).head(1):
+        return single
+    several = docs.join(stay.filter(F.col(c) > 1), same).dropDuplicates([i, n, t]).drop(i, n, t, c)
+    return single.unionByName(several)

@@ -107,6 +107,78 @@ def test_bk_trees_find_all_within_radius():
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
     fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for b in base]))
     groups = (np.arange(fps.size) % 3).astype(np.int64)
-    q, m = BKForest(groups, fps).within(groups, fps, 4)
+    q, m, d = BKForest(groups, fps[:, None]).within(groups, fps[:, None], 4)
     near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 4) & (groups[:, None] == groups[None])
+    assert (np.bitwise_count(fps[q] ^ fps[m]) == d).all()
     assert set(zip(q.tolist(), m.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+
+def test_cheapest_forest():
+    from folioforge.llm.linking import spanning_edges
+
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 40, 200), rng.integers(0, 40, 200)
+    i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+    cost = rng.integers(0, 5, i.size)
+    got = spanning_edges(i, j, cost, 40)
+    up, total, count = list(range(40)), 0, 0
+    for k in np.lexsort((j, i, cost)).tolist():  # Kruskal
+        a, b = int(i[k]), int(j[k])
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            total, count = total + int(cost[k]), count + 1
+    assert got.size == count and cost[got].sum() == total
+    assert closure(40, zip(i[got].tolist(), j[got].tolist(), strict=True)) == closure(40, zip(i.tolist(), j.tolist(), strict=True))
+
+
+def plain_shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+@pytest.mark.parametrize("rows", [8192, 8])
+def test_similar_texts(spark, monkeypatch, rows):
+    """Edited copies against brute force: no pair that is alike stays apart, no group holds a text unlike all others."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for size in (12, 40, 200, 200, 700):
+        t = list(rng.choice(words, size))
+        for edits in (0, 0, 1, 1, 2, 3, 8):
+            u = list(t)
+            for at in rng.integers(0, size, edits * size // 150 + (edits > 0)):
+                u[int(at)] = "edit"
+            texts.append(" ".join(u))
+    texts += ["", None, "  ", "One two", "one TWO", "é" * 10, texts[0].upper(), "same line again " * 40 + "a b c d e f g h", "same line again " * 40 + "k l m n o p q r s t u v w x y z"]
+    ids = [None if k % 11 == 5 else int(v) for k, v in enumerate(rng.permutation(len(texts)))]
+    docs = spark.createDataFrame(list(zip(ids, texts, range(len(texts)), strict=True)) + [(ids[0], texts[0], 0)], "doc_id long, text string, n int")
+    kept = simhash.one_of_each(docs).collect()
+    sets = [plain_shingles(t) for t in texts]
+    alike = lambda a, b: sets[a] == sets[b] == set() or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    label = closure(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)])
+    groups = {}
+    for k, g in enumerate(label):
+        groups.setdefault(g, []).append((ids[k] is None, ids[k] or 0, k))
+    assert len(kept) == len(groups)
+    assert {r.n for r in kept if r.doc_id is not None} == {min(g)[2] for g in groups.values() if not min(g)[0]}
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_and_samples(spark):
+    from folioforge.llm.shared import lowest, salted_join
+    from pyspark.sql import functions as F
+
+    left = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    assert sorted(salted_join(left, right, "k", "n", 5000).select("k", "id", "m").collect()) == sorted(left.join(right, "k").select("k", "id", "m").collect())
+    rows = left.select(F.xxhash64("id").alias("h"), "id", "k")
+    assert sorted(lowest(rows, 40, ["h", "id"]).collect()) == sorted(rows.orderBy("h", "id").limit(40).collect())
+    by = lowest(rows, 10, ["h", "id"], by="k").collect()
+    want = [r for k in {r.k for r in rows.collect()} for r in rows.filter(F.col("k") == k).orderBy("h", "id").limit(10).collect()]
+    assert sorted(by) == sorted(want)
+    assert lowest(rows.limit(0), 5, ["h", "id"]).count() == 0
