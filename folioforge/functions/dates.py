@@ -96,3 +96,38 @@ def instant(d: Column) -> Column:
     """The instant of what read_date() gives."""
     shift = F.coalesce(d["seconds"], F.lit(0.0)) - F.coalesce(d["zone_minutes"], F.lit(0)) * 60
     return F.timestamp_micros(F.unix_micros(d["value"].cast("timestamp")) + F.floor(shift * 1_000_000).cast("bigint"))
+
+
+# The spoken days of a month.
+ORDINALS = (
+    "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth "
+    "twenty-first twenty-second twenty-third twenty-fourth twenty-fifth twenty-sixth twenty-seventh twenty-eighth twenty-ninth thirtieth thirty-first"
+).split()
+_SPOKEN = r"(?:\d{1,2}(?:st|nd|rd|th)?|" + "|".join(x.replace("-", "[- ]") for x in reversed(ORDINALS)) + ")"
+_DIGITS = r"\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2(?:\d{4}|\d{2})"
+WRITTEN = rf"(?<![\p{{L}}\p{{Nd}}_])(?:{_DIGITS}|{_SPOKEN}(?: of)?,? {_MONTH},? \d{{2,4}}|{_MONTH} {_SPOKEN},? \d{{2,4}})(?![\p{{L}}\p{{Nd}}_])"
+
+
+def written_dates(folded: Column, order: str = "") -> Column:
+    """array<array<int>>: the readings, as yyyymmdd, of every date that stands in a folded text.
+
+    Digits with the year in front, or behind a day and a month in `order` (dmy, mdy, or either way round), and days as digits,
+    ordinals or words beside a month's name. Years of two digits are 1969 to 2068.
+    """
+    full = lambda y: F.when(F.length(y) > 2, y.cast("int")).otherwise(y.cast("int") + F.when(y.cast("int") <= 68, 2000).otherwise(1900))
+    made = lambda y, m, d: y * 10000 + m * 100 + d
+
+    def read(t: Column) -> Column:
+        def digits(p: Column) -> Column:
+            a, b, c = (F.get(p, F.lit(k)) for k in range(3))
+            day_first, month_first = made(full(c), b.cast("int"), a.cast("int")), made(full(c), a.cast("int"), b.cast("int"))
+            behind = F.array(day_first) if order == "dmy" else F.array(month_first) if order == "mdy" else F.array(day_first, month_first)
+            return F.when(F.length(a) == 4, F.array(made(a.cast("int"), b.cast("int"), c.cast("int")))).otherwise(behind)
+
+        name = F.regexp_extract(t, rf"(?<!\p{{L}}){_MONTH}", 0)
+        month = F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(name, 1, 3)) + 2) / 3).cast("int")
+        day_text = F.regexp_extract(F.replace(t, name, F.lit("")), rf"^\s*({_SPOKEN})", 1)
+        day = F.coalesce(F.nullif(F.regexp_extract(day_text, r"^\d+", 0), F.lit("")).cast("int"), F.array_position(F.array(*[F.lit(x) for x in ORDINALS]), F.replace(day_text, F.lit(" "), F.lit("-"))).cast("int"))
+        return F.when(t.rlike(r"^\d+[-/.]\d+[-/.]\d+$"), let(F.split(t, "[-/.]"), digits)).otherwise(F.array(made(full(F.regexp_extract(t, r"(\d+)$", 1)), month, day)))
+
+    return F.transform(F.regexp_extract_all(folded, F.lit(WRITTEN), F.lit(0)), read)

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioforge.functions.expr import chain, let
+from folioforge.functions.expr import let
 
 # Code points without width or that only direct the order of text.
 ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\u2061\u2062\u2063\u2064\ufeff\u180e\u034f\u115f\u1160"
@@ -31,24 +31,43 @@ def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
 
 
 ONE, MANY = _compatibility()
-_RARE = "[" + "".join(ch for ch in MANY if ord(ch) < 0x10000) + "]"
+
+
+def _compositions() -> dict[str, str]:
+    """Canonical compositions of a letter and a combining mark of U+0300 to U+036F, from the Unicode database."""
+    made = {}
+    for cp in range(0xC0, 0x2000):
+        pair = unicodedata.normalize("NFD", chr(cp))
+        while len(pair) > 1 and "\u0300" <= pair[-1] <= "\u036f":
+            head = unicodedata.normalize("NFC", pair[:-1])
+            whole = unicodedata.normalize("NFC", head + pair[-1])
+            if len(head) == 1 and len(whole) == 1:
+                made[head + pair[-1]] = whole
+            pair = pair[:-1]
+    return made
+
+
+_RARE = "[" + "".join(ch for ch in MANY if ord(ch) < 0x10000) + r"\x{1D400}-\x{1D7FF}\x{300}-\x{36F}]"
+_FOLDS = "\x1e".join(f"{k}\x1f{v}" for k, v in (MANY | _compositions()).items())
 
 
 def canonical(c: Column) -> Column:
-    """Compatibility forms folded, every run of white space one space; not trimmed."""
+    """Compatibility forms folded, marks composed with their letters, every run of white space one space; not trimmed.
 
-    def spread(t: Column) -> Column:
-        out = t
-        for ch, to in MANY.items():
-            if ord(ch) < 0x10000:
-                out = F.replace(out, F.lit(ch), F.lit(to))
-        return F.when(t.rlike(_RARE), out).otherwise(t)
+    Only texts that hold one of the rare characters are taken apart; the table of folds is one constant.
+    """
+    table = F.str_to_map(F.lit(_FOLDS), F.lit("\x1e"), F.lit("\x1f"))
 
-    def plain_letters(t: Column) -> Column:
-        letters = F.create_map(*[F.lit(v) for kv in MANY.items() if ord(kv[0]) >= 0x10000 for v in kv])
-        return F.when(t.rlike(r"[\x{1D400}-\x{1D7FF}]"), F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")).otherwise(t)
+    def cluster(x: Column) -> Column:
+        """A character and the marks behind it, composed from left to right."""
+        head = F.substring(x, 1, 1)
+        return F.aggregate(F.split(F.substring(x, F.lit(2), F.length(x)), ""), F.coalesce(F.try_element_at(table, head), head), lambda acc, mark: F.coalesce(F.try_element_at(table, F.concat(acc, mark)), F.concat(acc, mark)))
 
-    whole = chain(F.translate(c, "".join(ONE), "".join(ONE.values())), spread, plain_letters)
+    def taken_apart(t: Column) -> Column:
+        spread = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)[^\x{300}-\x{36F}][\x{300}-\x{36F}]*|[\x{300}-\x{36F}]+"), F.lit(0)), cluster)
+        return F.when(t.rlike(_RARE), F.array_join(spread, "")).otherwise(t)
+
+    whole = let(F.translate(c, "".join(ONE), "".join(ONE.values())), taken_apart)
     return F.regexp_replace(whole, r"[\s\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+", " ")
 
 
@@ -61,15 +80,32 @@ def folded(c: Column) -> Column:
     return F.replace(F.lower(F.replace(without_ignorable(canonical(c)), F.lit("ẞ"), F.lit("ss"))), F.lit("ß"), F.lit("ss"))
 
 
-_WORD = r"[\p{L}\p{Nd}_]"
+_IN_WORD = r"\p{L}\p{Nd}_"
+_WORD = f"[{_IN_WORD}]"
+_HELD = "\uf8fe"  # stands for the literal that is searched; texts that hold it are searched by a pattern of their own
 
 
 def find_bounded(text: Column, literal: Column) -> Column:
-    """1-based place of the first occurrence of `literal` that does not cut a word at either edge; 0 if none."""
+    """1-based place of the first occurrence of `literal` that does not cut a word at either edge; 0 if none.
+
+    The literal's occurrences become one character, and constant patterns test what stands beside it. Texts in
+    which every such occurrence cuts a word are searched again by the literal's own pattern, as occurrences may overlap.
+    """
+    opens, closes = literal.rlike(f"^{_WORD}"), literal.rlike(f"{_WORD}$")
+
+    def placed(held: Column) -> Column:
+        def at(head: bool, tail: bool) -> Column:
+            before = f"(?<![{_IN_WORD}{_HELD if tail else ''}])" if head else ""
+            after = f"(?![{_IN_WORD}{_HELD if head else ''}])" if tail else ""
+            return F.regexp_instr(held, F.lit(before + _HELD + after))
+
+        spot = F.when(opens & closes, at(True, True)).when(opens, at(True, False)).when(closes, at(False, True)).otherwise(at(False, False))
+        return let(spot, lambda k: F.when(k > 0, k + (F.length(literal) - 1) * F.regexp_count(F.substring(held, F.lit(1), k - 1), F.lit(_HELD))).otherwise(0))
+
     quoted = F.regexp_replace(literal, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    head = F.when(literal.rlike(f"^{_WORD}"), rf"(?<!{_WORD})").otherwise("")
-    tail = F.when(literal.rlike(f"{_WORD}$"), rf"(?!{_WORD})").otherwise("")
-    return F.when(F.length(literal) > 0, F.regexp_instr(text, F.concat(head, quoted, tail))).otherwise(0)
+    own = F.regexp_instr(text, F.concat(F.when(opens, rf"(?<!{_WORD})").otherwise(""), quoted, F.when(closes, rf"(?!{_WORD})").otherwise("")))
+    plain = F.when(F.contains(text, F.lit(_HELD)), own).otherwise(let(placed(F.replace(text, literal, F.lit(_HELD))), lambda k: F.when(k > 0, k).otherwise(own)))
+    return F.when(F.length(literal) > 0, F.when(F.contains(text, literal), plain).otherwise(0)).otherwise(0)
 
 
 def byte_offset(text: Column, chars: Column) -> Column:
@@ -85,6 +121,15 @@ def number_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER_TOKEN), F.lit(0))
 
 
+def numbers_in(text: Column) -> Column:
+    """array<struct<t, v, before, after>>: every printed number, its readings, and up to 8 characters on either side of it, to the next numbers."""
+
+    def placed(tokens: Column) -> Column:
+        return let(F.split(text, NUMBER_TOKEN, -1), lambda gaps: F.transform(tokens, lambda t, i: F.struct(t.alias("t"), number_readings(t).alias("v"), F.right(F.get(gaps, i), F.lit(8)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(8)).alias("after"))))
+
+    return let(number_tokens(text), placed)
+
+
 def number_readings(token: Column) -> Column:
     """All values a printed number can have: the last separator as decimal point, and as grouping where groups allow it."""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from decimal import Decimal
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,11 +83,23 @@ def parse_bool(c: Column) -> Column:
     return F.when(t.isin("true", "yes", "y", "checked"), True).when(t.isin("false", "no", "n", "unchecked"), False)
 
 
+def whole_number(c: Column) -> Column:
+    """A whole number of up to 38 digits, as a decimal, from plain digits or any printed number without a fraction; NULL for all else."""
+    bare = F.trim(c)
+    return F.when(bare.rlike(r"^[+-]?\d{1,38}$"), bare.cast("decimal(38,0)")).otherwise(let(parse_number(c), lambda n: F.when(n == F.floor(n), n.cast("decimal(38,0)"))))
+
+
+def fits(n: Column, bits: Column, unsigned: Column) -> Column:
+    """Whether a whole number has a place among the integers of that width."""
+    power = lambda k: F.lit(Decimal(2) ** k).cast("decimal(38,0)")
+    top = lambda less: F.when(bits == 8, power(8 - less)).when(bits == 16, power(16 - less)).when(bits == 32, power(32 - less)).otherwise(power(64 - less))
+    return F.when(unsigned, (n >= 0) & (n < top(0))).otherwise((n >= -top(1)) & (n < top(1)))
+
+
 def parse_integer(c: Column, bits: int = 64, unsigned: bool = False) -> Column:
     """A whole number that fits the width; fractions, overflow and, if unsigned, negatives are refused."""
-    low, high = (0, 2**bits) if unsigned else (-(2 ** (bits - 1)), 2 ** (bits - 1))
     kind = "decimal(20,0)" if unsigned and bits == 64 else "bigint"
-    return let(parse_number(c), lambda n: F.when((n == F.floor(n)) & (n >= F.lit(float(low))) & (n < F.lit(float(high))), n.cast(kind)))
+    return let(whole_number(c), lambda n: F.when(fits(n, F.lit(bits), F.lit(unsigned)), n.cast(kind)))
 
 
 def normalise_currency(c: Column) -> Column:
@@ -158,7 +172,3 @@ def within(a: Column, b: Column, absolute: float = 0.01, relative: float = 0.0)
     slack = scale * 1e-12
     close = distance <= absolute + slack
     return close | (distance <= scale * relative + slack) if relative > 0 else close
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

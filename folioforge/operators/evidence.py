@@ -11,49 +11,63 @@ from pyspark.sql import functions as F
 from folioforge.functions import dates, text, values
 from folioforge.functions.expr import let
 
-MONTH_NAMES = "January February March April May June July August September October November December".split()
-
-
-def _date_forms(ts: Column) -> Column:
-    """The ways a date is commonly printed; case and spacing are folded before they are compared."""
-    d, m, y = F.dayofmonth(ts).cast("string"), F.month(ts), F.year(ts).cast("string")
-    name = F.element_at(F.array(*[F.lit(x) for x in MONTH_NAMES]), m)
-    suffix = F.when(d.isin("1", "21", "31"), "st").when(d.isin("2", "22"), "nd").when(d.isin("3", "23"), "rd").otherwise("th")
-    ordinals = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
-    spoken = F.get(F.array(*[F.lit(x) for x in ordinals]), F.dayofmonth(ts) - 1)
-    short, two = F.substring(name, 1, 3), F.substring(y, 3, 2)
-    forms = [F.concat_ws(" ", d, name, y), F.concat(d, suffix, F.lit(" "), name, F.lit(" "), y), F.concat(name, F.lit(" "), d, F.lit(", "), y), F.concat(name, F.lit(" "), d, F.lit(" "), y), F.concat_ws(" ", d, short, y), F.concat(short, F.lit(" "), d, F.lit(", "), y)]
-    forms += [F.concat(F.lit("the "), spoken, F.lit(" of "), name, F.lit(" "), y), F.concat(F.lit("the "), d, suffix, F.lit(" of "), name, F.lit(" "), y)]
-    for sep in "-/.":
-        for year in (y, two):
-            for day, month in ((d, m.cast("string")), (F.lpad(d, 2, "0"), F.lpad(m.cast("string"), 2, "0"))):
-                forms += [F.concat_ws(sep, day, month, year), F.concat_ws(sep, month, day, year)]
-        forms.append(F.concat_ws(sep, y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0")))
-    return F.array_compact(F.array_distinct(F.array(*forms)))
-
-
-def ground(fields: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds grounding (1 verbatim, 0.8 normalised, 0 not in the source, NULL where it does not apply), exact, at (1-based).
-
-    sources: doc_id, source (normalised text). A text folded once and its number tokens read once serve all fields of
-    a document.
+# Signs that stand for a currency.
+SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₦": "NGN", "₵": "GHS", "₹": "INR", "₽": "RUB", "₩": "KRW", "₪": "ILS", "₫": "VND", "₱": "PHP", "฿": "THB", "₺": "TRY", "₴": "UAH", "₸": "KZT", "R$": "BRL"}
+
+
+def _sign_in(c: Column) -> Column:
+    """The currency whose sign a text holds; NULL if none."""
+    return F.coalesce(*[F.when(F.contains(c, F.lit(k)), v) for k, v in sorted(SIGNS.items(), key=lambda kv: -len(kv[0]))])
+
+
+def _code_in(c: Column) -> Column:
+    """The currency that an amount's text names by code or sign; NULL if none."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.upper(c), r"(?<![A-Z])([A-Z]{3})(?![A-Z])", 1), F.lit("")), _sign_in(c))
+
+
+def ground(fields: DataFrame, sources: DataFrame, *, date_order: str = "", derivable: Column | None = None) -> DataFrame:
+    """Adds grounding (1 verbatim, 0.8 normalised, 0.5 derivable, 0 not in the source, NULL where it does not apply), exact, at (1-based).
+
+    sources: doc_id, source (normalised text). A text is folded once, and its numbers and dates are read once, for all
+    fields of a document. Amounts with a currency need the currency within 8 characters of the number. `derivable` holds for
+    fields that may be computed from what is there; date_order (dmy or mdy) settles dates that could be read either way.
     """
-    prepared = sources.select("doc_id", "source", text.folded(F.col("source")).alias("_folded"), F.transform(text.number_tokens(F.col("source")), lambda t: F.struct(t.alias("t"), text.number_readings(t).alias("v"))).alias("_numbers"))
+    prepared = sources.select("doc_id", "source", text.folded(F.col("source")).alias("_folded"), text.numbers_in(F.col("source")).alias("_numbers"))
+    prepared = prepared.withColumn("_dates", F.flatten(dates.written_dates(F.col("_folded"), date_order)))
     numeric, timed, flag = F.col("v_num").isNotNull(), F.col("v_ts").isNotNull(), F.col("v_bool").isNotNull()
-    plain = F.when(numeric, values.raw_text(F.col("v_num"), "double")).when(timed, F.date_format("v_ts", "yyyy-MM-dd")).otherwise(F.col("raw"))
-    literal = F.when(numeric, F.exists("_numbers", lambda n: n["t"] == F.col("_plain"))).otherwise(text.find_bounded(F.col("source"), F.col("_plain")) > 0)
+    money = (F.col("format") == "currency") & F.col("raw").rlike(r"\d")
+    midnight = F.date_format("v_ts", "HH:mm:ss") == "00:00:00"
+    plain = F.when(numeric, values.raw_text(F.col("v_num"), "double")).when(timed, F.when(midnight, F.date_format("v_ts", "yyyy-MM-dd")).otherwise(F.date_format("v_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).when(flag, F.col("v_bool").cast("string")).otherwise(F.col("raw"))
+    joined = fields.join(prepared, "doc_id", "left").withColumn("_plain", plain)
+    joined = joined.withColumn("at", F.when(numeric, F.lit(0)).otherwise(text.find_bounded(F.col("source"), F.col("_plain"))))
+    literal = F.when(numeric, F.exists("_numbers", lambda n: n["t"] == F.col("_plain"))).otherwise(F.col("at") > 0)
     spoken = F.when(F.col("v_bool"), F.array(F.lit("true"), F.lit("yes"))).otherwise(F.array(F.lit("false"), F.lit("no")))
+    same_number = lambda n, v: F.exists(n["v"], lambda x: text.nearly(x, v))
+    near_code = lambda n, code: F.coalesce(F.contains(F.upper(F.concat(n["before"], F.lit(" "), n["after"])), code), F.lit(False)) | F.coalesce( _sign_in(n["before"]) == code, F.lit(False)) | F.coalesce(_sign_in(n["after"]) == code, F.lit(False))
+    amount, code = values.parse_number(F.regexp_replace("raw", r"[^\d.,'\- ]", "")), _code_in(F.col("raw"))
     folded = (
-        F.when(numeric, F.exists("_numbers", lambda n: F.exists(n["v"], lambda v: text.nearly(v, F.col("v_num")))))
-        .when(timed, F.exists(_date_forms(F.col("v_ts")), lambda f: text.find_bounded(F.col("_folded"), text.folded(f)) > 0))
+        F.when(numeric, F.exists("_numbers", lambda n: same_number(n, F.col("v_num"))))
+        .when(money, F.exists("_numbers", lambda n: same_number(n, amount) & (code.isNull() | near_code(n, code))))
+        .when(timed, F.array_contains("_dates", F.date_format("v_ts", "yyyyMMdd").cast("int")))
         .when(flag, F.exists(spoken, lambda p: text.find_bounded(F.col("_folded"), p) > 0))
         .otherwise(text.find_bounded(F.col("_folded"), F.trim(text.folded(F.col("_plain")))) > 0)
     )
     applies = F.col("found") & ~F.col("kind").isin("object", "array") & ~values.blank(F.col("source"))
-    joined = fields.join(prepared, "doc_id", "left").withColumn("_plain", plain)
-    out = joined.withColumn("grounding", F.when(applies, F.when(literal, 1.0).when(folded, 0.8).otherwise(0.0)))
-    out = out.withColumn("exact", F.col("grounding") == 1.0).withColumn("at", F.when(F.col("exact"), F.nullif(text.find_bounded(F.col("source"), F.col("_plain")), F.lit(0))))
-    return out.drop("_folded", "_numbers", "_plain", "source")
+    lost = F.when(derivable, 0.5).otherwise(0.0) if derivable is not None else F.lit(0.0)
+    out = joined.withColumn("grounding", F.when(applies, F.when(literal, 1.0).when(folded, 0.8).otherwise(lost)))
+    out = out.withColumn("exact", F.col("grounding") == 1.0).withColumn("at", F.when(F.col("exact"), F.nullif(F.when(numeric, text.find_bounded(F.col("source"), F.col("_plain"))).otherwise(F.col("at")), F.lit(0))))
+    return out.drop("_folded", "_numbers", "_dates", "_plain", "source")
+
+
+def ground_arrays(grounded: DataFrame) -> DataFrame:
+    """Fills grounding, exact and at of arrays from their elements: the mean of those that apply, exact if all are, the first one's place."""
+    element = grounded.filter(F.col("key").rlike(r"\[\d+\]$") & F.col("grounding").isNotNull())
+    number = F.regexp_extract("key", r"\[(\d+)\]$", 1).cast("int")
+    sums = element.groupBy(F.col("doc_id").alias("_d"), F.regexp_replace("key", r"\[\d+\]$", "").alias("_k")).agg(
+        F.avg("grounding").alias("_g"), F.bool_and("exact").alias("_e"), F.min_by("at", F.when(F.col("at").isNotNull(), number)).alias("_at")
+    )
+    whole = grounded.join(sums, (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("kind") == "array"), "left")
+    return whole.withColumns({"grounding": F.coalesce("grounding", "_g"), "exact": F.coalesce("exact", "_e"), "at": F.coalesce("at", "_at")}).drop("_d", "_k", "_g", "_e", "_at")
 
 
 def same_value(a: Column, b: Column, kind: Column) -> Column:

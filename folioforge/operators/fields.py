@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import dates, values
 from folioforge.operators.schema import Field, key_of
 
-CELL = "struct<key:string,group_key:string,kind:string,format:string,required:boolean,bits:int,raw:string>"
+CELL = "struct<key:string,group_key:string,kind:string,format:string,required:boolean,bits:int,unsigned:boolean,raw:string>"
 
 
 def _member(object_: Column, name: str) -> Column:
@@ -20,7 +20,7 @@ def _member(object_: Column, name: str) -> Column:
 
 
 def _cell(f: Field, key: Column, raw: Column) -> Column:
-    return F.struct(key.alias("key"), F.lit(f.key).alias("group_key"), F.lit(f.kind).alias("kind"), F.lit(f.format).alias("format"), F.lit(f.required).alias("required"), F.lit(f.bits).alias("bits"), raw.alias("raw")).cast(CELL)
+    return F.struct(key.alias("key"), F.lit(f.key).alias("group_key"), F.lit(f.kind).alias("kind"), F.lit(f.format).alias("format"), F.lit(f.required).alias("required"), F.lit(f.bits).alias("bits"), F.lit(f.unsigned).alias("unsigned"), raw.alias("raw")).cast(CELL)
 
 
 def _walk(f: Field, key: Column, raw: Column) -> Column:
@@ -38,7 +38,7 @@ def _walk(f: Field, key: Column, raw: Column) -> Column:
 
 
 def walk(replies: DataFrame, schema: Field, *, id_col: str = "doc_id", reply_col: str = "reply") -> DataFrame:
-    """One row per schema field, array element and object of every reply: doc_id, key, group_key, kind, format, required, bits, raw, found.
+    """One row per schema field, array element and object of every reply: doc_id, key, group_key, kind, format, required, bits, unsigned, raw, found.
 
     A reply that is not a JSON object leaves every field not found. Null, missing and blank values are not found;
     false, 0 and empty arrays are.
@@ -49,26 +49,27 @@ def walk(replies: DataFrame, schema: Field, *, id_col: str = "doc_id", reply_col
 
 
 def convert(fields: DataFrame, countries: list[str], date_order: str = "") -> DataFrame:
-    """Adds v_str, v_num, v_bool, v_ts, converted and ambiguous (day_first, month_first) to walked fields."""
+    """Adds v_str, v_int (exact), v_num, v_bool, v_ts, converted and ambiguous (day_first, month_first) to walked fields."""
     raw, kind, form = F.col("raw"), F.col("kind"), F.col("format")
     timed = (kind == "time") | form.isin("date", "datetime")
-    read = fields.withColumns({"_date": F.when(timed, dates.read_date(raw, date_order)), "_number": F.when(kind.isin("int", "float"), values.parse_number(raw))})
+    read = fields.withColumns({"_date": F.when(timed, dates.read_date(raw, date_order)), "_number": F.when(kind == "float", values.parse_number(raw)), "_whole": F.when(kind == "int", values.whole_number(raw))})
     date, number = F.col("_date"), F.col("_number")
     text = (
         F.when(form == "email", values.normalise_email(raw)).when(form == "phone", values.normalise_phone(raw)).when(form == "currency", values.normalise_currency(raw))
         .when(form == "iban", values.normalise_iban(raw)).when(form == "swift", values.normalise_swift(raw, countries)).when(form == "uuid", values.normalise_uuid(raw))
         .when(form == "date", date["value"].cast("string")).when(form == "datetime", dates.instant(date).cast("string")).otherwise(raw)
     )
-    fits = (number == F.floor(number)) & (F.abs(number) <= F.pow(F.lit(2.0), F.col("bits") - 1))
+    whole = F.when((kind == "int") & values.fits(F.col("_whole"), F.col("bits"), F.col("unsigned")), F.col("_whole").cast("decimal(20,0)"))
     out = read.withColumns(
         {
             "v_str": F.when(kind == "string", text),
-            "v_num": F.when((kind == "float") | fits, number),
+            "v_int": whole,
+            "v_num": F.when(kind == "int", whole.cast("double")).otherwise(number),
             "v_bool": F.when(kind == "bool", values.parse_bool(raw)),
             "v_ts": dates.instant(date),
             "ambiguous": F.when(date["ambiguous"], F.struct(date["day_first"].alias("day_first"), date["month_first"].alias("month_first"))),
         }
-    ).drop("_date", "_number")
+    ).drop("_date", "_number", "_whole")
     answered = F.coalesce(F.col("v_str").isNotNull(), F.lit(False)) | F.col("v_num").isNotNull() | F.col("v_bool").isNotNull() | ((kind == "time") & F.col("v_ts").isNotNull())
     return out.withColumn("converted", F.col("found") & (answered | kind.isin("object", "array")))
 

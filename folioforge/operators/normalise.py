@@ -9,8 +9,12 @@ from folioforge.functions import text
 
 FINDING_KINDS = ("zero-width", "bidi", "off-page", "background-colour", "instruction")
 # Phrases that address a model; one strong phrase is a finding, or two weak ones.
-STRONG = ["ignore previous instructions", "ignore all previous", "disregard previous", "disregard the above", "ignore the above", "forget your instructions", "new instructions", "system prompt", "you are now", "override your instructions"]
-WEAK = ["you must", "respond with", "as an ai", "language model", "do not mention", "instead output", "return the following", "assistant", "json", "prompt"]
+STRONG = [
+    "ignore previous", "ignore all previous", "ignore the previous", "ignore the above", "ignore any previous", "ignore prior", "ignore your", "ignore the schema", "disregard previous", "disregard the above", "disregard all",
+    "disregard your", "forget previous", "forget everything", "previous instructions", "prior instructions", "above instructions", "new instructions", "system prompt", "you are an ai", "you are a language model", "as an ai",
+    "<|im_start|>", "<|im_end|>", "[/inst]",
+]
+WEAK = ["you must", "do not ", "respond with", "output only", "return only", "instead of", "override", "instruction", "must be set", "set the value"]
 
 
 def marker(page: Column) -> Column:
@@ -63,10 +67,36 @@ def instruction_findings(metadata: DataFrame) -> DataFrame:
     return metadata.withColumn("_v", folded).filter(hit).select("doc_id", *_finding("instruction", meta_key=safe))
 
 
-def why(kind: Column) -> Column:
-    """A sentence for a finding's kind."""
-    said = {"zero-width": "the text holds characters without width", "bidi": "the text holds characters that change its direction", "off-page": "text lies outside the page", "background-colour": "text has the colour of its background", "instruction": "the metadata address a model"}
-    out = F.lit("suspicious content")
-    for k, v in said.items():
-        out = F.when(kind == k, v).otherwise(out)
-    return out
+def why(kind: Column, page: Column, cp: Column, meta_key: Column, n: Column) -> Column:
+    """A sentence for a finding: its kind and its code point, page, count or metadata field, never text of the document."""
+    point, place = F.concat(F.lit("U+"), F.lpad(F.hex(cp), 4, "0")), F.concat(F.lit("page "), page.cast("string"))
+    times = F.concat(F.lit(", "), n.cast("string"), F.lit(" times"))
+    field = F.when(F.coalesce(meta_key, F.lit("")) != "", F.concat(F.lit(" field "), meta_key)).otherwise("")
+    at = F.coalesce(F.concat(F.lit(" on "), place), F.lit(""))
+    return (
+        F.when(kind == "zero-width", F.concat(F.lit("character without width "), point, at, times))
+        .when(kind == "bidi", F.concat(F.lit("character that changes the direction of text "), point, at, times))
+        .when(kind == "off-page", F.concat(F.lit("text outside the page"), at, times))
+        .when(kind == "background-colour", F.concat(F.lit("text in the colour of its background"), at, times))
+        .when(kind == "instruction", F.concat(F.lit("metadata"), field, F.lit(" that addresses a model")))
+        .otherwise("suspicious content")
+    )
+
+
+def background_findings(words: DataFrame, most: float = 0.06) -> DataFrame:
+    """Words (doc_id, page, box, colour and background structs) in the colour of their background, counted per page with the box around them."""
+    hidden = words.filter(near_colour(F.col("colour"), F.col("background"), most))
+    box = F.struct(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+    return hidden.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("n"), box.alias("box")).withColumn("kind", F.lit("background-colour"))
+
+
+def merge_findings(findings: DataFrame) -> DataFrame:
+    """One finding per document, kind, page, code point and metadata field: counts added, boxes united."""
+    box = F.struct(*[(F.min if k.startswith("min") else F.max)(F.col(f"box.{k}")).alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+    return findings.groupBy("doc_id", "kind", "page", "cp", "meta_key").agg(F.sum("n").cast("int").alias("n"), F.when(F.count("box") > 0, box).alias("box"))
+
+
+def suspicions(findings: DataFrame) -> DataFrame:
+    """(doc_id, suspicious, suspicions): the distinct sentences of a document's findings, sorted."""
+    said = findings.select("doc_id", why(F.col("kind"), F.col("page"), F.col("cp"), F.col("meta_key"), F.col("n")).alias("why"))
+    return said.groupBy("doc_id").agg(F.lit(True).alias("suspicious"), F.array_sort(F.collect_set("why")).alias("suspicions"))

@@ -86,7 +86,7 @@ def replay(calls: DataFrame, failures: int = FAILURES) -> DataFrame:
     """(provider, episodes, longest): runs of `failures` or more consecutive failed calls, by gaps and islands in time order.
 
     calls: provider, ts, call, failed. A run's number is the count of successes before it, so one running sum per
-    provider finds all runs.
+    provider finds all runs. It counts runs and holds no calls back; breaker_states() of the streaming package does.
     """
     from pyspark.sql import Window
 

@@ -41,6 +41,7 @@ class Field:
     elem: Field | None = None
     optional: bool = False
     bits: int = 64
+    unsigned: bool = False
 
     @property
     def required(self) -> bool:
@@ -87,9 +88,9 @@ def key_of(name: str) -> str:
     return "_".join(w.lower() for w in re.findall(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+\d*|[A-Z]+\d*|\d+", name))
 
 
-def extract(tag: str, bits: int = 64):
+def extract(tag: str, bits: int = 64, unsigned: bool = False):
     """A dataclass member with an extraction tag."""
-    return field(default=None, metadata={"extract": tag, "bits": bits})
+    return field(default=None, metadata={"extract": tag, "bits": bits, "unsigned": unsigned})
 
 
 def reflect(cls: type) -> Field:
@@ -110,10 +111,10 @@ def _object(cls: type, key: str, path: tuple, name: str, **more) -> Field:
 def _member(f: dataclasses.Field, hint, parent: str, path: tuple) -> Field:
     description, rules = parse_tag(f.metadata["extract"])
     key = f"{parent}.{key_of(f.name)}" if parent else key_of(f.name)
-    return _typed(f.name, key, hint, description, rules, path, f.metadata["bits"])
+    return _typed(f.name, key, hint, description, rules, path, f.metadata["bits"], f.metadata.get("unsigned", False))
 
 
-def _typed(name: str, key: str, hint, description: str, rules: tuple, path: tuple, bits: int) -> Field:
+def _typed(name: str, key: str, hint, description: str, rules: tuple, path: tuple, bits: int, unsigned: bool = False) -> Field:
     optional = False
     if isinstance(hint, types.UnionType) or typing.get_origin(hint) is typing.Union:
         some = [a for a in typing.get_args(hint) if a is not type(None)]
@@ -128,10 +129,10 @@ def _typed(name: str, key: str, hint, description: str, rules: tuple, path: tupl
     if kind not in ("string", "time") and form:
         raise SchemaError(f"{key}: format does not fit {kind}")
     if kind:
-        return Field(name, key, kind, bits=bits, **common)
+        return Field(name, key, kind, bits=bits, unsigned=unsigned, **common)
     if typing.get_origin(hint) is list:
         (inner,) = typing.get_args(hint)
-        return Field(name, key, "array", elem=_typed(name, key + "[]", inner, "", (), path, bits), **common)
+        return Field(name, key, "array", elem=_typed(name, key + "[]", inner, "", (), path, bits, unsigned), **common)
     if dataclasses.is_dataclass(hint):
         return _object(hint, key, path, name, **common)
     raise SchemaError(f"{key}: unsupported type {hint}")

@@ -51,7 +51,7 @@ def confidence(found: Column, present: Column) -> Column:
 
 def score(fields: DataFrame) -> DataFrame:
     """Adds confidence, signals and reasons to evidence rows; columns that are missing count as inapplicable."""
-    wanted = {"grounding": "double", "agreement": "double", "ocr_conf": "double", "cross_total": "int", "cross_passed": "int", "suspicious": "boolean"}
+    wanted = {"grounding": "double", "agreement": "double", "ocr_conf": "double", "cross_total": "int", "cross_passed": "int", "suspicious": "boolean", "suspicions": "array<string>"}
     for name, kind in wanted.items():
         if name not in fields.columns:
             fields = fields.withColumn(name, F.lit(None).cast(kind))
@@ -63,11 +63,10 @@ def score(fields: DataFrame) -> DataFrame:
         F.when(missing, "required field missing").when(F.col("found") & (F.col("grounding") == 0.0), "value not in source"),
         F.when(F.col("agreement") == 0.0, "readings disagree"),
         F.when(F.col("ambiguous").isNotNull(), "ambiguous date"),
-        F.when(~composite & F.col("suspicious"), "suspicious content"),
-        F.when(F.exists("rules", lambda r: ~r["passed"]) & F.col("found"), "validation failed"),
         F.when(F.col("found") & (F.col("confidence") < REVIEW_BELOW), "low confidence"),
     )
-    return out.withColumn("reasons", F.array_compact(reasons))
+    said = F.when(~composite & F.col("suspicious"), F.coalesce(F.col("suspicions"), F.array(F.lit("suspicious content")))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("reasons", F.concat(F.array_compact(reasons), said)).drop("suspicions")
 
 
 def with_cross_fields(fields: DataFrame, checks: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def with_cross_fields(fields: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def answer(fields: DataFrame, threshold: float = REVIEW_BELOW) -> DataFrame:
-    """One row per document: valid, confidence (required fields count once, optional ones half), needs_review, reasons, fields."""
+    """One row per document: valid, confidence (required fields count once, optional ones half), needs_review, reasons (field, why), fields."""
     scalar = ~F.col("kind").isin("object", "array")
     weight = F.when(scalar, F.when(F.col("required"), 1.0).otherwise(0.5)).otherwise(0.0)
     picked = F.struct("key", "raw", "found", "confidence", "valid", "signals", "reasons")
@@ -87,7 +86,7 @@ def answer(fields: DataFrame, threshold: float = REVIEW_BELOW) -> DataFrame:
         F.bool_and("valid").alias("valid"),
         F.sum(F.col("confidence") * weight).alias("_c"),
         F.sum(weight).alias("_w"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("reasons", lambda r: F.struct(F.col("key").alias("field"), r.alias("why"))))))).alias("reasons"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", picked.alias("value"))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))).alias("fields"),
     )
     out = out.withColumn("confidence", F.when(F.col("_w") > 0, round2(F.col("_c") / F.col("_w"))).otherwise(0.0)).drop("_c", "_w")
@@ -102,6 +101,3 @@ def explain(answers: DataFrame, key: str) -> DataFrame:
     reasons = F.transform(f["reasons"], lambda r: F.concat(F.lit("  review: "), r))
     return answers.select("doc_id", F.array_join(F.concat(F.array(head), lines, reasons), "\n").alias("explanation"))
 
-
-def weighted_sum(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)

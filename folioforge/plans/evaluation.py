@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import text
+from folioforge.plans.joins import leaf_keys
+
 BANDS = [("0.9-1.0", 0.9, 1.01), ("0.7-0.9", 0.7, 0.9), ("0.0-0.7", 0.0, 0.7)]
 
 
@@ -12,6 +15,107 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+_VALUE = "struct<type:string,text:string>"
+
+
+def flatten(expected: DataFrame, *, doc_col: str = "doc", json_col: str = "expected", depth: int = 6) -> DataFrame:
+    """(doc, key, type, text): the leaves of JSON objects under keys such as a.b[0].c; nulls are absent, empty objects and arrays are leaves.
+
+    type is string, number, bool, object or array, text the value as it is written (numbers keep their digits). Texts that are no
+    JSON object give no rows; deeper nesting than `depth` stays as the JSON text of its container.
+    """
+    raw = F.try_parse_json(F.col(json_col))
+    level = expected.select(F.col(doc_col).alias("doc"), F.lit("").alias("key"), raw.alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    shape = F.schema_of_variant("v")
+    done = None
+    for at in range(depth + 1):
+        kinds = level.withColumn("_s", shape).withColumn("_j", F.to_json(F.col("v")))
+        empty = F.col("_j").isin("{}", "[]")
+        nested = (F.col("_s").startswith("OBJECT") | F.col("_s").startswith("ARRAY")) & ~empty
+        kind = F.when(F.col("_s").startswith("OBJECT"), "object").when(F.col("_s").startswith("ARRAY"), "array").when(F.col("_s") == "STRING", "string").when(F.col("_s") == "BOOLEAN", "bool").otherwise("number")
+        leaf = kinds.filter((~nested | F.lit(at == depth)) & (F.col("_s") != "VOID") & (F.col("key") != "")).select("doc", "key", kind.alias("type"), F.when(F.col("_s") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.col("_j")).alias("text"))
+        done = leaf if done is None else done.unionByName(leaf)
+        if at == depth:
+            break
+        inner = kinds.filter(nested)
+        members = inner.filter(F.col("_s").startswith("OBJECT")).select("doc", "key", F.explode(F.from_json("_j", "map<string,variant>")).alias("k", "v")).select("doc", F.when(F.col("key") == "", F.col("k")).otherwise(F.concat("key", F.lit("."), "k")).alias("key"), "v")
+        items = inner.filter(F.col("_s").startswith("ARRAY")).select("doc", "key", F.posexplode(F.from_json("_j", "array<variant>")).alias("i", "v")).select("doc", F.concat("key", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("key"), "v")
+        level = members.unionByName(items).filter("v is not null")
+    return done
+
+
+def same_typed(want: Column, got: Column, want_type: Column, got_type: Column) -> Column:
+    """Whether an expected and a found value are equal, by type (string, number, bool, time, object, array): texts of values.
+
+    Times are equal as instants where both sides are dates in an unambiguous form. Numbers are equal to nine digits, money
+    texts in amount and currency, other texts folded; text is a number only beside a number, and never where it holds letters or a percent sign.
+    """
+    iso = lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(c))
+    plain = lambda c: F.when(~c.rlike(r"[\p{L}%]"), F.regexp_replace(F.regexp_replace(c, r"[ ,'’\x{a0}\x{2009}\x{202f}]", ""), r"[^\d.+\-]", "").try_cast("double"))
+    code = lambda c: F.regexp_extract(c, r"^(?:([A-Z]{3})\s*)?[\d.,' ]+(?:\s*([A-Z]{3}))?$", 1)
+    tail = lambda c: F.regexp_extract(c, r"^[\d.,' ]+\s*([A-Z]{3})$", 1)
+    money = lambda c: F.nullif(F.concat(code(c), tail(c)), F.lit(""))
+    amount = lambda c: plain(F.regexp_replace(c, "[A-Z]", ""))
+    numeric = (want_type == "number") | (got_type == "number")
+    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs(a), F.abs(b)))
+    return F.coalesce(
+        F.when(iso(want).isNotNull() | (got_type == "time"), iso(want) == iso(got))
+        .when((want_type == "bool") | (got_type == "bool"), (want_type == got_type) & (want == got))
+        .when(numeric, near(plain(want), plain(got)))
+        .when(want_type.isin("object", "array") | got_type.isin("object", "array"), (want_type == got_type) & (want == got))
+        .when(money(want).isNotNull(), (money(want) == money(got)) & (amount(want) == amount(got)))
+        .otherwise(F.trim(text.folded(want)) == F.trim(text.folded(got))),
+        F.lit(False),
+    )
+
+
+META = ("source", "licence", "redacted", "difficulty", "language")
+
+
+def load(spark: SparkSession, root: str, categories: list[str]) -> DataFrame:
+    """(category, name, source, licence, redacted, difficulty, language, pages, exclude, expected) of a corpus folder, one row per document.
+
+    root/category/name.meta.yaml holds `key: value` lines, an `exclude` list in brackets or in lines behind dashes, and name.expected.json the
+    expected values. Loading is strict: a document without ground truth, source, licence or difficulty raises when its row is read.
+    """
+    name = F.regexp_extract("path", r"([^/]+)\.(?:meta\.yaml|expected\.json)$", 1)
+    category = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    files = lambda glob: spark.read.text([f"{root}/{c}" for c in categories], wholetext=True, pathGlobFilter=glob).withColumn("path", F.input_file_name()).select(category.alias("category"), name.alias("name"), "value")
+    member = lambda k: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{k}:[ \t]*[\"']?([^\"'\n#]*)", 1)), F.lit(""))
+    listed = F.regexp_extract("value", r"(?m)^exclude:[ \t]*\[(.*)\][ \t]*$", 1)
+    lines = F.regexp_extract_all(F.regexp_extract("value", r"(?m)^exclude:[ \t]*\n((?:[ \t]*-[^\n]*\n?)*)", 1), F.lit(r"(?m)^[ \t]*-[ \t]*([^\n]+)$"), F.lit(1))
+    exclude = F.filter(F.transform(F.concat(F.split(listed, ","), lines), lambda x: F.regexp_replace(F.trim(x), "[\"']", "")), lambda x: x != "")
+    meta = files("*.meta.yaml").select("category", "name", *[member(k).alias(k) for k in META], member("pages").cast("int").alias("pages"), exclude.alias("exclude"))
+    both = meta.join(files("*.expected.json").withColumnRenamed("value", "expected"), ["category", "name"], "full")
+    lacks = F.filter(F.array(*[F.when(F.col(k).isNull(), k) for k in ("source", "licence", "difficulty", "expected")]), lambda x: x.isNotNull())
+    checked = F.when(F.size(lacks) == 0, F.col("expected")).otherwise(F.raise_error(F.concat(F.col("category"), F.lit("/"), F.col("name"), F.lit(" lacks "), F.array_join(lacks, ", "))).cast("string"))
+    return both.withColumn("expected", checked)
+
+
+def without_excluded(judgements: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Judgements with `excluded` set for the keys that a document's metadata exclude (corpus: doc, exclude); report() drops and counts them."""
+    named = corpus.select("doc", F.explode("exclude").alias("key")).distinct().withColumn("excluded", F.lit(True))
+    return judgements.drop("excluded").join(named, ["doc", "key"], "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+
+
+def observe(answers: DataFrame) -> DataFrame:
+    """(doc, key, got, got_type, confidence, flagged): the leaf fields of answers (doc_id, needs_review, fields), for judge()."""
+    each = answers.select(F.col("doc_id").alias("doc"), "needs_review", F.explode("fields").alias("key", "f")).filter("f.found")
+    kept = leaf_keys(each.select("doc", "key"))
+    return each.join(kept, ["doc", "key"]).select("doc", "key", F.col("f.raw").alias("got"), F.lit("string").alias("got_type"), F.col("f.confidence").alias("confidence"), F.col("needs_review").alias("flagged"))
+
+
+def render(report: DataFrame) -> DataFrame:
+    """(line): a report as a Markdown table, its groups in order, with two decimals; a ratio without cases reads 0.00 (0/0)."""
+    shown = lambda c, a, b: F.format_string("%.2f (%d/%d)", c, a, b)
+    c = F.col
+    right = c("correct") + c("wrong")
+    cells = [F.coalesce(c(k), F.lit("all")) for k in ("category", "difficulty", "field")] + [
+        shown(c("exact"), c("correct"), c("expected")), shown(c("precision"), c("correct"), c("produced")), shown(c("recall"), right, c("expected")), shown(c("fabrication"), c("fabricated"), c("absent")),
+    ]
+    return report.orderBy("level", "category", "difficulty", "field").select(F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |")).alias("line"))
+
+
 def judge(expected: DataFrame, observed: DataFrame, same: Column | None = None) -> DataFrame:
     """Expected (doc, key, want) full-outer-joined with observed (doc, key, got, confidence, flagged): one row per leaf key.
 
@@ -41,7 +145,7 @@ def with_metrics(df: DataFrame) -> DataFrame:
 def report(judgements: DataFrame, category: str, difficulty: str) -> DataFrame:
     """Metrics overall, by category, by category and difficulty, by category and field, in one pass over the judgements."""
     cols = [F.col(category).alias("category"), F.col(difficulty).alias("difficulty"), "field", "wanted", "produced", "correct"]
-    base = judgements.select(*cols)
+    base = (judgements.filter("not excluded") if "excluded" in judgements.columns else judgements).select(*cols)
     grouped = base.groupingSets([[], ["category"], ["category", "difficulty"], ["category", "field"]], "category", "difficulty", "field").agg(F.grouping_id().cast("int").alias("level"), *tallies())
     return with_metrics(grouped)
 

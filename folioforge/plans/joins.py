@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import values
+from folioforge.operators import evidence
+
 
 def interval(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
     """Points with the half-open spans that hold them: an equi-join on buckets of `width`, then the exact test.
@@ -39,7 +42,25 @@ def leaf_keys(keys: DataFrame) -> DataFrame:
     return keys.join(prefixes, ["doc", "key"], "left_anti")
 
 
-def candidates(readings: DataFrame) -> DataFrame:
-    """(doc_id, key, best, distinct_values, agreed) of N readings: best has the highest confidence, then the lowest reading."""
-    first = F.max_by("raw", F.struct("confidence", -F.col("reading")))
-    return readings.groupBy("doc_id", "key").agg(first.alias("best"), F.count_distinct("raw").alias("distinct_values"), (F.count_distinct("raw") == 1).alias("agreed"))
+def members(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of left whose key right holds, and the others; a NULL key is held by nothing."""
+    held = right.select(key)
+    return left.join(held, key, "left_semi"), left.join(held, key, "left_anti")
+
+
+def candidates(readings: DataFrame, kind: Column | None = None) -> DataFrame:
+    """(doc_id, key, best, missing, distinct_values, agreed) of N readings (doc_id, key, reading, raw, confidence).
+
+    best has the highest confidence, then the lowest reading. missing lists the readings without a value. Readings agree
+    when every pair of them means the same, as same_value() says for `kind` (text by default); NULL for fewer than two.
+    """
+    given = readings.withColumn("_kind", kind if kind is not None else F.lit("string")).withColumn("_some", ~values.blank(F.col("raw")))
+    texts = F.array_sort(F.collect_set(F.when(F.col("_some"), F.col("raw"))))
+    first = F.max_by("raw", F.when(F.col("_some"), F.struct("confidence", -F.col("reading"))))
+    one = given.groupBy("doc_id", "key").agg(first.alias("best"), F.array_sort(F.collect_list(F.when(~F.col("_some"), F.col("reading")))).alias("missing"), texts.alias("_t"), F.count_if("_some").alias("_n"), F.first("_kind").alias("_kind"))
+    pairs = F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    same = one.select("doc_id", "key", F.explode(F.when(F.size("_t") > 1, pairs)).alias("p"), "_kind").select("doc_id", "key", evidence.same_value(F.col("p.a"), F.col("p.b"), F.col("_kind")).alias("s"))
+    judged = same.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.bool_and("s").alias("_s"))
+    joined = one.join(judged, (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    agreed = F.when(F.col("_n") > 1, F.when(F.size("_t") < 2, True).otherwise(F.col("_s")))
+    return joined.select("doc_id", "key", "best", "missing", F.size("_t").cast("long").alias("distinct_values"), agreed.alias("agreed"))

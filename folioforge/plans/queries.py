@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions import dates, text, values
-from folioforge.operators import evidence, fields, layout, normalise, schema, scoring
+from folioforge.operators import acquire, evidence, fields, layout, normalise, schema, scoring
 from folioforge.plans import evaluation, joins
+from folioforge.streaming import events
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,7 +113,7 @@ def norm_canonical(spark, sf_dir):
 
 def gnd_literal(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    probe = F.regexp_extract("text", r"\s(\p{L}+)", 1)
+    probe = F.regexp_extract("text", r"(?s)^.*(?<![\p{L}\p{Nd}_])(\p{L}+)(?![\p{L}\p{Nd}_])", 1)  # the last word, sought from the beginning
     return d.select("doc_id", probe.alias("probe"), text.find_bounded(F.col("text"), probe).alias("at"))
 
 
@@ -135,18 +136,19 @@ def val_rules(spark, sf_dir):
 def gnd_fields(spark, sf_dir):
     r = order_replies(spark, sf_dir)
     g = evidence.ground(_order_fields(spark, sf_dir), r.select("doc_id", "source"))
-    return g.filter("key in ('number', 'issued', 'total')").groupBy("key", "grounding").agg(F.count("*").alias("n"))
+    return g.groupBy("key", "grounding").agg(F.count("*").alias("n"))
 
 
 def score_answers(spark, sf_dir):
     r = order_replies(spark, sf_dir)
-    f = evidence.ground(_order_fields(spark, sf_dir).filter("key in ('number', 'total')"), r.select("doc_id", "source"))
-    return scoring.answer(scoring.score(f)).select("doc_id", "valid", "confidence", "needs_review", F.array_join("reasons", ";").alias("reasons"))
+    f = evidence.ground(_order_fields(spark, sf_dir), r.select("doc_id", "source"))
+    said = F.array_join(F.transform("reasons", lambda x: F.concat(x["field"], F.lit(": "), x["why"])), ";")
+    return scoring.answer(scoring.score(f)).select("doc_id", "valid", "confidence", "needs_review", said.alias("reasons"))
 
 
 def explain_field(spark, sf_dir):
     r = order_replies(spark, sf_dir)
-    f = evidence.ground(_order_fields(spark, sf_dir).filter("key = 'number'"), r.select("doc_id", "source"))
+    f = evidence.ground(_order_fields(spark, sf_dir), r.select("doc_id", "source"))
     return scoring.explain(scoring.answer(scoring.score(f)), "number")
 
 
@@ -231,7 +233,7 @@ def words_of_documents(spark, sf_dir):
 
 def ocr_reading_order(spark, sf_dir):
     w = words_of_documents(spark, sf_dir).withColumn("k", F.pmod(F.xxhash64("i"), F.lit(1000)))
-    return layout.reading_order(w, 792.0, "i").filter("page = 1").groupBy("doc_id").agg(F.max("order").alias("last"), F.sum(F.col("order") * F.col("i")).alias("mix"))
+    return layout.reading_order(w, 792.0, "i").groupBy("doc_id", "page").agg(F.max("order").alias("last"), F.sum(F.col("order") * F.col("i")).alias("mix"))
 
 
 def norm_lines(spark, sf_dir):
@@ -264,16 +266,16 @@ def finding_off_page(spark, sf_dir):
 
 def join_interval(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    spans = o.filter("o_orderkey % 50 = 0").select((F.col("o_orderkey") * 3).alias("start"), (F.col("o_orderkey") * 3 + F.col("o_custkey") % 40).alias("end"), "o_orderkey")
+    spans = o.select((F.col("o_orderkey") * 3).alias("start"), (F.col("o_orderkey") * 3 + F.col("o_custkey") % 40).alias("end"), "o_orderkey")
     points = li.select((F.col("l_partkey") * 7 + F.col("l_linenumber")).alias("at"), "l_orderkey", "l_linenumber")
     return joins.interval(points, spans, "at", "start", "end", 64).groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
 def join_as_of(spark, sf_dir):
+    """For every event, the user's latest event an hour or more before it."""
     e = table(spark, sf_dir, "events")
-    left = e.filter("event_type = 'purchase' OR event_id % 10 = 0").select("user_id", "event_id", "ts")
-    right = e.filter("event_id % 3 = 0").select("user_id", "ts", F.col("event_id").alias("seen"))
-    return joins.as_of(left, right, "user_id", "ts", "seen")
+    left = e.select("user_id", "event_id", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    return joins.as_of(left, e.select("user_id", "ts", F.col("event_id").alias("seen")), "user_id", "ts", "seen")
 
 
 def join_spatial(spark, sf_dir):
@@ -284,30 +286,112 @@ def join_spatial(spark, sf_dir):
 
 
 def join_anti_semi(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_anti").select("c_custkey", F.lit("unclaimed").alias("side")).unionByName(c.filter("c_nationkey < 3").join(o, "c_custkey", "left_semi").select("c_custkey", F.lit("claimed").alias("side")))
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    claimed, unclaimed = joins.members(c, o, "c_custkey")
+    return unclaimed.withColumn("side", F.lit("unclaimed")).unionByName(claimed.withColumn("side", F.lit("claimed")))
 
 
 def agree_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("key"), F.col("value").alias("confidence"), F.floor(F.col("value") / 50).cast("string").alias("raw"), F.col("event_id").alias("reading"))
-    return joins.candidates(e).select("doc_id", "key", "best", "distinct_values", "agreed")
+    """Readings of one amount, printed with and without separators, some of them blank."""
+    amount = F.floor(F.col("value") / 100) * 1000
+    shown = F.when(F.col("event_id") % 11 == 0, " ").when(F.col("event_id") % 2 == 0, F.format_number(amount, 0)).otherwise(amount.cast("string"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("key"), F.col("value").alias("confidence"), shown.alias("raw"), F.col("event_id").alias("reading"))
+    return joins.candidates(e, F.lit("float")).select("doc_id", "key", "best", F.size("missing").alias("missing"), "distinct_values", "agreed")
 
 
-def otel_metrics(spark, sf_dir):
+def _stage_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    slot = F.least(F.floor(F.col("value") / 25), F.lit(9)).cast("int")
-    return e.groupBy("event_type", slot.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op"), F.col("event_type").alias("provider"), F.when(F.col("event_id") % 3 == 0, "timeout").alias("err_kind"), F.col("event_id").alias("tokens"), F.col("value").alias("duration"))
+
+
+def otel_metrics(spark, sf_dir):
+    h = events.duration_histogram(table(spark, sf_dir, "events"), "event_type", "value", 25.0, 10)
+    return h.select("event_type", "bucket", "n", F.round("total", 3).alias("total"))
 
 
 def otel_spans(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.floor(F.col("value") * 1000).cast("bigint")).alias("start_us"), F.unix_micros(F.col("ts").cast("timestamp")).alias("end_us"))
+    return events.spans(table(spark, sf_dir, "events"), F.col("value") * 1000).select("event_id", "start_us", "end_us")
 
 
 def events_window(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return w.select(F.col("w.start").cast("string").alias("start"), "event_type", "n")
+    m = events.stage_metrics(_stage_events(spark, sf_dir), "1 hour")
+    return m.select(F.col("start").cast("string").alias("start"), "op", "n", "errors", "tokens", F.round("seconds", 3).alias("seconds"))
+
+
+def events_outages(spark, sf_dir):
+    o = events.outages(_stage_events(spark, sf_dir), "2 hours")
+    return o.groupBy("provider").agg(F.count("*").alias("outages"), F.sum("failures").alias("failures"), F.max("failures").alias("most"))
+
+
+_KINDS = ["pdf", "docx", "png", "csv", "tiff", "xlsx", "jpeg"]
+
+
+def acquire_route(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("c_custkey") % 7 + 1).cast("int")).alias("kind"), F.when(F.col("c_custkey") % 10 == 0, "malformed").alias("error"))
+    made = [acquire.route(files, m, acquire.Providers(ocr=m != "text")).select("doc_id", F.lit(m).alias("mode"), "route", "error") for m in ("auto", "text", "vision")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def _document_pages(spark, sf_dir):
+    from folioforge.sources import pdf
+
+    pages = words_of_documents(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars"))
+    return pages.select("doc_id", "page", pdf.unusable(F.col("chars"), F.lit(0), F.lit(0), F.lit(612.0), F.lit(7920.0)).alias("why"))
+
+
+def acquire_pages(spark, sf_dir):
+    r = acquire.read_pages(_document_pages(spark, sf_dir), "auto", acquire.Providers(ocr=True))
+    return r.groupBy("doc_id").agg(F.count_if(F.col("reading") == "text").alias("text"), F.count_if(F.col("reading") == "ocr").alias("ocr"))
+
+
+def acquire_unread(spark, sf_dir):
+    r = acquire.read_pages(_document_pages(spark, sf_dir), "text", acquire.Providers(vision=False))
+    return acquire.unread(r).select("doc_id", F.size("pages").alias("lost"), "error")
+
+
+def acquire_second(spark, sf_dir):
+    r = acquire.read_pages(_document_pages(spark, sf_dir), "both", acquire.Providers())
+    return acquire.second(acquire.primary(r), "both").select("doc_id", "reading", "second")
+
+
+def acquire_usage(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("input_tokens"), F.when(F.col("event_id") % 2 == 0, 5).alias("output_tokens"), F.lit(1).alias("pages"))
+    return acquire.usage(calls)
+
+
+def _order_json(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("items"))
+    buyer = F.struct(F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("tier"))
+    tree = F.struct(buyer.alias("buyer"), F.coalesce("items", F.array().cast("array<struct<l_linenumber:int,l_quantity:double>>")).alias("items"), F.lit(True).alias("open"))
+    return o.join(lines, "o_orderkey", "left").select(F.col("o_orderkey").alias("doc"), F.to_json(tree, {"ignoreNullFields": "false"}).alias("expected"))
+
+
+def ev_flatten(spark, sf_dir):
+    f = evaluation.flatten(_order_json(spark, sf_dir))
+    return f.select("doc", "key", "type", F.when(F.col("type") == "number", F.col("text").cast("double").cast("string")).otherwise(F.col("text")).alias("text"))
+
+
+def ev_equal(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    made = [
+        ("total", F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"), F.format_number("o_totalprice", 2), "number", "string"),
+        ("day", F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'"), "string", "time"),
+        ("priority", F.upper("o_orderpriority"), F.concat(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 4 == 0, "x").otherwise(" ")), "string", "string"),
+        ("money", F.lit("100 USD"), F.when(F.col("o_orderkey") % 3 == 0, "USD 100").otherwise("100 EUR"), "string", "string"),
+        ("code", F.lit("007"), F.lit("7"), "string", "string"),
+        ("flag", F.lit("true"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("yes"), "bool", "bool"),
+    ]
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), w.alias("want"), g.alias("got"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, w, g, a, b in made])
+    each = o.select("o_orderkey", F.explode(cells).alias("c")).select("o_orderkey", "c.*")
+    return each.select("o_orderkey", "key", evaluation.same_typed(F.col("want"), F.col("got"), F.col("a"), F.col("b")).alias("same"))
+
+
+def ev_excluded(spark, sf_dir):
+    j = _judgements(spark, sf_dir)
+    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.when(F.col("doc_id") % 6 == 0, F.array(F.lit("a[0].q"))).otherwise(F.array().cast("array<string>")).alias("exclude"))
+    r = evaluation.report(evaluation.without_excluded(j, corpus), "lang", "difficulty")
+    return r.filter("level = 7").select("expected", "absent", "produced", "correct", "wrong", "missed", "fabricated")
 
 
 def breaker_replay(spark, sf_dir):
@@ -374,7 +458,8 @@ FUNCTIONS = (
     src_detect, src_csv, src_pdf, norm_map, prompt_requests,
     conv_number, conv_bool_int, date_parse, date_order, date_clock, fmt_iban, fmt_phone, fmt_email, fmt_codes, norm_canonical, gnd_literal, gnd_numbers, asm_walk, val_rules, gnd_fields, score_answers, explain_field, cmp_readings, xf_rules,
     ev_report, ev_calibration, ev_bands, ev_risk, ev_risk_at, ev_review, ev_cost, ev_compare, ev_leaf_keys, ocr_reading_order, norm_lines, norm_median_height, norm_regions, finding_table, finding_instructions, finding_off_page,
-    join_interval, join_as_of, join_spatial, join_anti_semi, agree_pairs, otel_metrics, otel_spans, events_window, breaker_replay, scheme_types,
+    join_interval, join_as_of, join_spatial, join_anti_semi, agree_pairs, otel_metrics, otel_spans, events_window, events_outages, breaker_replay, scheme_types,
+    acquire_route, acquire_pages, acquire_unread, acquire_second, acquire_usage, ev_flatten, ev_equal, ev_excluded,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -417,12 +502,18 @@ ORACLE_SQL = {
     "val_rules": """SELECT 'number' AS key, 'required' AS rule, count(*) AS n, 0 AS failed FROM orders UNION ALL SELECT 'issued', 'required', count(*), 0 FROM orders UNION ALL SELECT 'issued', 'format=date', count(*), 0 FROM orders
         UNION ALL SELECT 'status', 'enum=O|F', count(*), count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) FROM orders UNION ALL SELECT 'total', 'required', count(*), 0 FROM orders
         UNION ALL SELECT 'total', 'max=300000', count(*), count(*) FILTER (round(o_totalprice, 2) > 300000) FROM orders""",
-    "gnd_fields": """SELECT 'number' AS key, 0.8::DOUBLE AS grounding, count(*) AS n FROM orders UNION ALL SELECT 'issued', 1.0::DOUBLE, count(*) FROM orders
+    "gnd_fields": r"""WITH o AS (SELECT *, 'Order n-' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ' total ' || CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE format('{:,.2f}', o_totalprice) END || ' status ' || o_orderstatus AS src FROM orders), g AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN regexp_matches(' ' || src || ' ', '[^\p{L}\p{Nd}_]' || o_custkey || '[^\p{L}\p{Nd}_]') THEN 1.0 ELSE 0.0 END AS gc FROM o)
+        SELECT 'number' AS key, 0.8::DOUBLE AS grounding, count(*) AS n FROM orders UNION ALL SELECT 'issued', 1.0::DOUBLE, count(*) FROM orders UNION ALL SELECT 'status', 1.0::DOUBLE, count(*) FROM orders
+        UNION ALL SELECT 'customer', gc::DOUBLE, count(*) FROM g GROUP BY gc
         UNION ALL SELECT 'total', CASE WHEN o_orderkey % 3 = 0 THEN 0.0 WHEN round(o_totalprice, 2) < 1000 THEN 1.0 ELSE 0.8 END, count(*) FROM orders GROUP BY 2""",
-    "score_answers": """WITH f AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS lost, round(o_totalprice, 2) > 300000 AS big, round(o_totalprice, 2) < 1000 AS small FROM orders),
-        s AS (SELECT *, CASE WHEN lost AND big THEN floor((0.15 * 0.5 / 0.45) * 100 + 0.5) / 100 WHEN lost THEN 0.33 WHEN big THEN 0.40 WHEN small THEN 1.0 ELSE 0.87 END AS c FROM f)
-        SELECT o_orderkey AS doc_id, NOT big AS valid, floor((0.87 + c) / 2 * 100 + 0.5) / 100 AS confidence, lost OR big AS needs_review,
-        array_to_string(list_filter([CASE WHEN lost OR big THEN 'low confidence' END, CASE WHEN big THEN 'validation failed' END, CASE WHEN lost THEN 'value not in source' END], lambda x: x IS NOT NULL), ';') AS reasons FROM s""",
+    "score_answers": r"""WITH o AS (SELECT *, 'Order n-' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ' total ' || CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE format('{:,.2f}', o_totalprice) END || ' status ' || o_orderstatus AS src FROM orders), g AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN regexp_matches(' ' || src || ' ', '[^\p{L}\p{Nd}_]' || o_custkey || '[^\p{L}\p{Nd}_]') THEN 1.0 ELSE 0.0 END AS gc FROM o),
+        f AS (SELECT *, o_orderkey % 3 = 0 AS lost, round(o_totalprice, 2) > 300000 AS big, round(o_totalprice, 2) < 1000 AS small, o_orderstatus NOT IN ('O', 'F') AS odd FROM g),
+        s AS (SELECT *, CASE WHEN lost AND big THEN floor((0.15 * 0.5 / 0.45) * 100 + 0.5) / 100 WHEN lost THEN 0.33 WHEN big THEN 0.40 WHEN small THEN 1.0 ELSE 0.87 END AS ct, CASE WHEN odd THEN 0.40 ELSE 1.0 END AS cs,
+          CASE WHEN gc IS NULL THEN 0.0 WHEN gc = 1 THEN 1.0 ELSE 0.33 END AS cc FROM f)
+        SELECT o_orderkey AS doc_id, NOT (big OR odd) AS valid, floor((0.87 + 1.0 + ct + 0.5 * cs + 0.5 * cc) / 4 * 100 + 0.5) / 100 AS confidence,
+        big OR odd OR lost OR coalesce(gc = 0, false) OR floor((0.87 + 1.0 + ct + 0.5 * cs + 0.5 * cc) / 4 * 100 + 0.5) / 100 < 0.7 AS needs_review,
+        array_to_string(list_filter([CASE WHEN gc = 0 THEN 'customer: low confidence' END, CASE WHEN gc = 0 THEN 'customer: value not in source' END, CASE WHEN odd THEN 'status: low confidence' END,
+          CASE WHEN lost OR big THEN 'total: low confidence' END, CASE WHEN lost THEN 'total: value not in source' END], lambda x: x IS NOT NULL), ';') AS reasons FROM s""",
     "explain_field": "SELECT o_orderkey AS doc_id, 'number: N-' || o_orderkey || ' (confidence 0.87, valid)' || chr(10) || '  grounding 0.80 x 0.30' || chr(10) || '  schema 1.00 x 0.15' AS explanation FROM orders",
     "cmp_readings": "SELECT o_orderkey, o_orderkey % 4 <> 0 AS number, true AS day, true AS words FROM orders",
     "xf_rules": """SELECT 'items' AS rule, count(*) FILTER (ok) AS applicable, count(*) FILTER (ok AND doc % 7 <> 0) AS passed FROM (SELECT l_orderkey AS doc, max(l_linenumber) = count(DISTINCT l_linenumber) AND count(*) = count(DISTINCT l_linenumber) AS ok FROM lineitem GROUP BY 1)
@@ -442,23 +533,45 @@ ORACLE_SQL = {
     "ev_compare": f"""WITH {_J}, t AS (SELECT lang AS category, difficulty, {_T} FROM j GROUP BY 1, 2), m AS (SELECT category, difficulty, {_M} FROM t), u AS (UNPIVOT m ON exact, precision, recall, fabrication INTO NAME metric VALUE v)
         SELECT a.category, a.metric, a.v AS before, b.v AS after, b.v - a.v AS change, CASE WHEN a.metric = 'fabrication' THEN b.v < a.v ELSE b.v > a.v END AS better FROM u a JOIN u b ON a.category = b.category AND a.metric = b.metric AND a.difficulty = 'short' AND b.difficulty = 'long'""",
     "ev_leaf_keys": "SELECT 1 AS doc, 'r' || n_regionkey || '.n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '[0]' ELSE '' END AS key FROM nation",
+    "gnd_literal": r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+') AS t FROM documents), p AS (SELECT *, coalesce(list_filter(t, lambda x: regexp_full_match(x, '\p{L}+'))[-1], '') AS probe FROM t)
+        SELECT doc_id, probe, CAST(CASE WHEN probe = '' THEN 0 ELSE 1 + length(array_to_string(t[1:list_position(t, probe) - 1], '')) END AS INTEGER) AS at FROM p""",
+    "norm_canonical": r"""SELECT doc_id, md5(c) AS digest, CAST(length(c) AS INTEGER) AS n FROM (SELECT doc_id, 'fi 1⁄2 2 ' || regexp_replace(ltrim(nfc_normalize(text), E' \t\n\r'), '\s+', ' ', 'g') AS c FROM documents)""",
+    "events_outages": """WITH f AS (SELECT event_type AS provider, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE event_id % 3 = 0),
+        g AS (SELECT provider, sum(fresh) OVER (PARTITION BY provider ORDER BY ts) AS s FROM f), n AS (SELECT provider, s, count(*) AS n FROM g GROUP BY 1, 2)
+        SELECT provider, count(*) AS outages, CAST(sum(n) AS BIGINT) AS failures, max(n) AS most FROM n GROUP BY 1""",
+    "acquire_route": """SELECT doc_id, mode, CASE WHEN bad THEN NULL WHEN kind IN ('docx', 'csv', 'xlsx') THEN 'office' WHEN kind = 'pdf' AND mode <> 'vision' THEN 'text' WHEN mode = 'vision' THEN 'vision' WHEN mode = 'auto' THEN 'ocr' END AS route,
+        CASE WHEN bad THEN 'malformed' WHEN mode = 'text' AND kind IN ('png', 'tiff', 'jpeg') THEN 'no_provider' END AS error
+        FROM (SELECT c_custkey AS doc_id, ['pdf', 'docx', 'png', 'csv', 'tiff', 'xlsx', 'jpeg'][c_custkey % 7 + 1] AS kind, c_custkey % 10 = 0 AS bad FROM customer), (VALUES ('auto'), ('text'), ('vision')) m(mode)""",
+    "acquire_pages": f"""WITH {_W}, pg AS (SELECT doc_id, page, sum(length(text)) AS chars FROM w GROUP BY 1, 2), y AS (SELECT *, chars > 0 AND chars / (612.0 * 7920 / 5184) >= 0.5 AS ok, bool_or(chars > 0 AND chars / (612.0 * 7920 / 5184) >= 0.5) OVER (PARTITION BY doc_id) AS some FROM pg) SELECT doc_id, count(*) FILTER (ok) AS text, count(*) FILTER (NOT ok) AS ocr FROM y GROUP BY 1""",
+    "acquire_unread": f"""WITH {_W}, pg AS (SELECT doc_id, page, sum(length(text)) AS chars FROM w GROUP BY 1, 2), y AS (SELECT *, chars > 0 AND chars / (612.0 * 7920 / 5184) >= 0.5 AS ok, bool_or(chars > 0 AND chars / (612.0 * 7920 / 5184) >= 0.5) OVER (PARTITION BY doc_id) AS some FROM pg) SELECT doc_id, CAST(count(*) FILTER (NOT ok) AS INTEGER) AS lost, CASE WHEN count(*) FILTER (ok) = 0 THEN 'no_content' END AS error FROM y GROUP BY 1""",
+    "acquire_second": f"""WITH {_W}, pg AS (SELECT doc_id, page, sum(length(text)) AS chars FROM w GROUP BY 1, 2), y AS (SELECT *, chars > 0 AND chars / (612.0 * 7920 / 5184) >= 0.5 AS ok, bool_or(chars > 0 AND chars / (612.0 * 7920 / 5184) >= 0.5) OVER (PARTITION BY doc_id) AS some FROM pg) SELECT doc_id, CASE WHEN min_by(ok, page) THEN 'text' ELSE 'vision' END AS reading, CASE WHEN min_by(ok, page) THEN 'vision' END AS second FROM y GROUP BY 1""",
+    "acquire_usage": "SELECT user_id AS doc_id, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(5 * count(*) FILTER (event_id % 2 = 0) AS BIGINT) AS output_tokens, count(*) AS pages FROM events GROUP BY 1",
+    "ev_flatten": """SELECT o_orderkey AS doc, 'buyer.key' AS key, 'number' AS type, (o_custkey::DOUBLE)::VARCHAR AS text FROM orders UNION ALL SELECT o_orderkey, 'buyer.tier', 'string', o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0
+        UNION ALL SELECT o_orderkey, 'open', 'bool', 'true' FROM orders UNION ALL SELECT o_orderkey, 'items', 'array', '[]' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+        UNION ALL SELECT l_orderkey, 'items[' || (row_number() OVER w - 1) || '].' || k, 'number', (CASE k WHEN 'l_quantity' THEN l_quantity ELSE l_linenumber::DOUBLE END)::VARCHAR
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey, (VALUES ('l_linenumber'), ('l_quantity')) x(k) WINDOW w AS (PARTITION BY l_orderkey, k ORDER BY l_linenumber, l_quantity)""",
+    "ev_equal": """SELECT o_orderkey, key, CASE key WHEN 'priority' THEN o_orderkey % 4 <> 0 WHEN 'money' THEN o_orderkey % 3 = 0 WHEN 'code' THEN false WHEN 'flag' THEN o_orderkey % 2 = 0 ELSE true END AS same
+        FROM orders, (VALUES ('total'), ('day'), ('priority'), ('money'), ('code'), ('flag')) k(key)""",
+    "ev_excluded": f"WITH {_J} SELECT {_T} FROM j WHERE doc % 6 <> 0",
     "gnd_numbers": None,
     "norm_median_height": f"WITH {_W}, r AS (SELECT doc_id, length(text) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY length(text)) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM w WHERE length(text) > 0) SELECT doc_id, h::DOUBLE AS height FROM r WHERE k = n // 2 + 1",
     "norm_regions": f"WITH {_W}, l AS (SELECT doc_id, page, line, max(minx + 5.0 * length(text)) AS r FROM w GROUP BY 1, 2, 3) SELECT doc_id, count(*) AS lines, round(sum(r), 3)::DOUBLE AS \"right\" FROM l GROUP BY 1",
-    "ocr_reading_order": f"WITH {_W}, o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY floor(miny / (792.0 / 64)), minx, i) AS ord FROM w WHERE page = 1) SELECT doc_id, CAST(max(ord) AS INTEGER) AS last, CAST(sum(ord * i) AS BIGINT) AS mix FROM o GROUP BY 1",
+    "ocr_reading_order": f"WITH {_W}, o AS (SELECT doc_id, page, i, row_number() OVER (PARTITION BY doc_id, page ORDER BY floor(miny / (792.0 / 64)), minx, i) AS ord FROM w) SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(max(ord) AS INTEGER) AS last, CAST(sum(ord * i) AS BIGINT) AS mix FROM o GROUP BY 1, 2",
     "finding_table": """SELECT doc_id, 'zero-width' AS kind, 8203 AS cp, 2 AS n FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'bidi', 8238, 1 FROM documents WHERE doc_id % 4 = 0""",
     "finding_instructions": "SELECT p_partkey AS doc_id, 'instruction' AS kind, 'Title' AS meta_key FROM part WHERE p_size > 40",
     "finding_off_page": f"WITH {_W} SELECT doc_id, count(*) AS n FROM w WHERE i % 97 = 0 GROUP BY 1",
-    "join_interval": """SELECT o_orderkey, count(*) AS n FROM (SELECT l_partkey * 7 + l_linenumber AS p FROM lineitem) JOIN (SELECT o_orderkey, o_orderkey * 3 AS s, o_orderkey * 3 + o_custkey % 40 AS e FROM orders WHERE o_orderkey % 50 = 0) ON p >= s AND p < e GROUP BY 1""",
-    "join_as_of": """SELECT l.user_id, l.event_id, l.ts, max_by(r.event_id, (r.ts, r.event_id)) AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase' OR event_id % 10 = 0) l
-        LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) r ON l.user_id = r.user_id AND r.ts <= l.ts GROUP BY 1, 2, 3""",
+    "join_interval": """SELECT o_orderkey, count(*) AS n FROM (SELECT l_partkey * 7 + l_linenumber AS p FROM lineitem) JOIN (SELECT o_orderkey, o_orderkey * 3 AS s, o_orderkey * 3 + o_custkey % 40 AS e FROM orders) ON p >= s AND p < e GROUP BY 1""",
+    "join_as_of": """SELECT l.user_id, l.event_id, l.ts - INTERVAL 1 HOUR AS ts, max_by(r.event_id, (r.ts, r.event_id)) AS seen FROM events l
+        LEFT JOIN events r ON l.user_id = r.user_id AND r.ts <= l.ts - INTERVAL 1 HOUR GROUP BY 1, 2, 3""",
     "join_spatial": """SELECT s_suppkey, count(*) AS n FROM part JOIN supplier ON p_size >= s_suppkey % 50 AND p_size <= s_suppkey % 50 + 8 AND p_retailprice >= s_nationkey * 100.0 AND p_retailprice <= s_nationkey * 100.0 + 150 GROUP BY 1""",
-    "join_anti_semi": """SELECT c_custkey, 'unclaimed' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'claimed' FROM customer WHERE c_nationkey < 3 AND c_custkey IN (SELECT o_custkey FROM orders)""",
-    "agree_pairs": """SELECT user_id AS doc_id, event_type AS key, arg_max(CAST(floor(value / 50) AS BIGINT)::VARCHAR, (value, -event_id)) AS best, count(DISTINCT floor(value / 50)) AS distinct_values, count(DISTINCT floor(value / 50)) = 1 AS agreed FROM events GROUP BY 1, 2""",
+    "join_anti_semi": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'claimed' ELSE 'unclaimed' END AS side FROM customer",
+    "agree_pairs": """WITH e AS (SELECT *, CAST(floor(value / 100) * 1000 AS BIGINT) AS a, event_id % 11 = 0 AS blank FROM events), r AS (SELECT *, CASE WHEN blank THEN NULL WHEN event_id % 2 = 0 THEN format('{:,}', a) ELSE a::VARCHAR END AS raw FROM e)
+        SELECT user_id AS doc_id, event_type AS key, arg_max(raw, (value, -event_id)) FILTER (raw IS NOT NULL) AS best, CAST(count(*) FILTER (blank) AS INTEGER) AS missing, count(DISTINCT raw) AS distinct_values,
+        CASE WHEN count(raw) > 1 THEN count(DISTINCT a) FILTER (NOT blank) = 1 END AS agreed FROM r GROUP BY 1, 2""",
     "otel_metrics": "SELECT event_type, CAST(least(floor(value / 25), 9) AS INTEGER) AS bucket, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "otel_spans": "SELECT event_id, epoch_us(ts) - CAST(floor(value * 1000) AS BIGINT) AS start_us, epoch_us(ts) AS end_us FROM events",
     "breaker_replay": """WITH r AS (SELECT event_type AS provider, (event_id * 7919) % 100 < 70 AS failed, sum(CASE WHEN (event_id * 7919) % 100 < 70 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM events),
         n AS (SELECT provider, run, count(*) AS n FROM r WHERE failed GROUP BY 1, 2) SELECT provider, count(*) FILTER (n >= 5) AS episodes, max(n) AS longest FROM n GROUP BY 1""",
-    "events_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "events_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS op, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS errors, CAST(sum(event_id) AS BIGINT) AS tokens, round(sum(value), 3) AS seconds FROM events GROUP BY 1, 2",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators.providers import COOLDOWN, FAILURES
@@ -32,6 +32,18 @@ def stage_metrics(events: DataFrame, every: str = "5 minutes", wait: str = "10 m
     return out.select(F.col("w.start").alias("start"), "op", "n", "errors", "tokens", "seconds")
 
 
+def duration_histogram(events: DataFrame, by: str, value: str, width: float, bins: int) -> DataFrame:
+    """(by, bucket, n, total): counts and sums of a duration in `bins` buckets of `width`, what lies beyond in the last; batch or stream."""
+    slot = F.least(F.floor(F.col(value) / width), F.lit(bins - 1)).cast("int")
+    return events.groupBy(by, slot.alias("bucket")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def spans(events: DataFrame, micros: Column) -> DataFrame:
+    """events with start_us and end_us: an event is told at its end, and its span began `micros` microseconds before."""
+    end = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.withColumns({"start_us": end - F.floor(micros).cast("bigint"), "end_us": end})
+
+
 def outages(events: DataFrame, gap: str = "30 seconds", wait: str = "10 minutes") -> DataFrame:
     """(provider, start, end, failures): runs of failures closer together than `gap`."""
     failed = events.filter("err_kind is not null").withWatermark("ts", wait)

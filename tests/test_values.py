@@ -74,3 +74,32 @@ def test_bounded_search(spark):
 def test_number_tokens(spark):
     got = each(spark, ["pay 1 234,50 or 1.234 now", "A4 x_5 7", "12 -3"], lambda c: F.transform(text.number_tokens(c), text.number_readings))
     assert got["pay 1 234,50 or 1.234 now"] == [[1234.5], [1.234, 1234.0]] and got["A4 x_5 7"] == [[7.0]] and got["12 -3"] == [[12.0], [-3.0]]
+
+
+def test_marks_compose(spark):
+    cases = {"é": "é", "École": "École", "ấ": "ấ", "x́y": "x́y", "q̣̇": "q̣̇", "́a": "́a", "ﬁñ": "fiñ", "𝐀è": "Aè"}
+    assert each(spark, cases, text.canonical) == cases
+
+
+def test_bounded_search_of_overlaps(spark):
+    rows = [("xa a a", "a a", 4), ("abab ab", "ab", 6), ("-- a --", "--", 1), ("a.b a.b", "a.b", 1), ("aaa aa", "aa", 5), (" ab", "ab", 3), ("éa a", "a", 4), ("total 1,234.56", "234", 9)]
+    df = spark.createDataFrame(rows, "t string, v string, want int")
+    assert [(r.t, r.got) for r in df.select("t", "want", text.find_bounded(F.col("t"), F.col("v")).alias("got")).collect()] == [(t, w) for t, _, w in rows]
+
+
+def test_written_dates(spark):
+    cases = {
+        "on 3rd march 2026.": [20260303], "march 3, 2026": [20260303], "the third of march 2026": [20260303], "3-3-26": [20260303, 20260303], "2026/03/04": [20260304], "04/03/2026 and 1 jan 70": [20260304, 20260403, 19700101],
+        "twenty-first of may 68": [20680521], "x3 march 2026": [], "12345-1-2": [], "2026-03/04": [],
+    }
+    got = each(spark, cases, lambda c: F.flatten(dates.written_dates(c)))
+    assert got == cases
+    assert each(spark, ["04/03/2026"], lambda c: F.flatten(dates.written_dates(c, "dmy"))) == {"04/03/2026": [20260304]}
+
+
+def test_integer_widths(spark):
+    cases = {"127": 127, "128": None, "-128": -128, "-129": None, "1.5": None}
+    assert each(spark, cases, lambda c: values.parse_integer(c, 8)) == cases
+    wide = {"9007199254740993": 9007199254740993, "9223372036854775807": 2**63 - 1, "9223372036854775808": None, "-9223372036854775808": -(2**63)}
+    assert each(spark, wide, values.parse_integer) == wide
+    assert each(spark, {"255": 1, "256": 1, "-1": 1}, lambda c: values.parse_integer(c, 8, True)) == {"255": 255, "256": None, "-1": None}
