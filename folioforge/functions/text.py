@@ -47,7 +47,9 @@ def _compositions() -> dict[str, str]:
     return made
 
 
-_RARE = "[" + "".join(ch for ch in MANY if ord(ch) < 0x10000) + r"\x{1D400}-\x{1D7FF}\x{300}-\x{36F}]"
+_MARKS = r"\x{300}-\x{36F}"
+_RARE = "[" + "".join(ch for ch in MANY if ord(ch) < 0x10000) + r"\x{1D400}-\x{1D7FF}" + _MARKS + "]"
+_PIECES = f"(?s)(?:(?!{_RARE}).)+(?![{_MARKS}])|[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+"  # plain runs as they are, rare characters with the marks behind them
 _FOLDS = "\x1e".join(f"{k}\x1f{v}" for k, v in (MANY | _compositions()).items())
 
 
@@ -64,8 +66,8 @@ def canonical(c: Column) -> Column:
         return F.aggregate(F.split(F.substring(x, F.lit(2), F.length(x)), ""), F.coalesce(F.try_element_at(table, head), head), lambda acc, mark: F.coalesce(F.try_element_at(table, F.concat(acc, mark)), F.concat(acc, mark)))
 
     def taken_apart(t: Column) -> Column:
-        spread = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)[^\x{300}-\x{36F}][\x{300}-\x{36F}]*|[\x{300}-\x{36F}]+"), F.lit(0)), cluster)
-        return F.when(t.rlike(_RARE), F.array_join(spread, "")).otherwise(t)
+        pieces = F.transform(F.regexp_extract_all(t, F.lit(_PIECES), F.lit(0)), lambda x: F.when(x.rlike(_RARE), cluster(x)).otherwise(x))
+        return F.when(t.rlike(_RARE), F.array_join(pieces, "")).otherwise(t)
 
     whole = let(F.translate(c, "".join(ONE), "".join(ONE.values())), taken_apart)
     return F.regexp_replace(whole, r"[\s\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+", " ")
