@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import dates, text, values
 from folioforge.functions.expr import let
+from folioforge.operators import mapping
 
 # Signs that stand for a currency.
 SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₦": "NGN", "₵": "GHS", "₹": "INR", "₽": "RUB", "₩": "KRW", "₪": "ILS", "₫": "VND", "₱": "PHP", "฿": "THB", "₺": "TRY", "₴": "UAH", "₸": "KZT", "R$": "BRL"}
@@ -25,13 +27,24 @@ def _code_in(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.upper(c), r"(?<![A-Z])([A-Z]{3})(?![A-Z])", 1), F.lit("")), _sign_in(c))
 
 
+MASK = "\ue000"  # stands for the characters of a page marker; no value holds it and no fold removes it
+
+
+def without_markers(source: Column, pages: Column) -> Column:
+    """The text with every character of the page markers masked, so that nothing matches in or across them; offsets stay."""
+    return F.array_join(F.transform(pages, lambda p: F.concat(F.repeat(F.lit(MASK), p["body_start"] - p["marker_start"]), mapping.page_text(source, p))), "")
+
+
 def ground(fields: DataFrame, sources: DataFrame, *, date_order: str = "", derivable: Column | None = None) -> DataFrame:
-    """Adds grounding (1 verbatim, 0.8 normalised, 0.5 derivable, 0 not in the source, NULL where it does not apply), exact, at (1-based).
+    """Adds grounding (1 verbatim, 0.8 normalised, 0.5 derivable, 0 not in the source, NULL where it does not apply), exact, at (1-based), size (characters of the exact match).
 
-    sources: doc_id, source (normalised text). A text is folded once, and its numbers and dates are read once, for all
+    sources: doc_id, source (normalised text), and pages where the text holds page markers, which are not the document: no
+    value is found in them. A text is folded once, and its numbers and dates are read once, for all
     fields of a document. Amounts with a currency need the currency within 8 characters of the number. `derivable` holds for
     fields that may be computed from what is there; date_order (dmy or mdy) settles dates that could be read either way.
     """
+    if "pages" in sources.columns:
+        sources = sources.withColumn("source", F.when(F.size("pages") > 0, without_markers(F.col("source"), F.col("pages"))).otherwise(F.col("source")))
     prepared = sources.select("doc_id", "source", text.folded(F.col("source")).alias("_folded"), text.numbers_in(F.col("source")).alias("_numbers"))
     prepared = prepared.withColumn("_dates", F.flatten(dates.written_dates(F.col("_folded"), date_order)))
     numeric, timed, flag = F.col("v_num").isNotNull(), F.col("v_ts").isNotNull(), F.col("v_bool").isNotNull()
@@ -56,7 +69,23 @@ def ground(fields: DataFrame, sources: DataFrame, *, date_order: str = "", deriv
     lost = F.when(derivable, 0.5).otherwise(0.0) if derivable is not None else F.lit(0.0)
     out = joined.withColumn("grounding", F.when(applies, F.when(literal, 1.0).when(folded, 0.8).otherwise(lost)))
     out = out.withColumn("exact", F.col("grounding") == 1.0).withColumn("at", F.when(F.col("exact"), F.nullif(F.when(numeric, text.find_bounded(F.col("source"), F.col("_plain"))).otherwise(F.col("at")), F.lit(0))))
-    return out.drop("_folded", "_numbers", "_dates", "_plain", "source")
+    return out.withColumn("size", F.when(F.col("at").isNotNull(), F.length("_plain"))).drop("_folded", "_numbers", "_dates", "_plain", "source")
+
+
+def hits(grounded: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds page, regions and box of exact matches: the page of their first character, a box for each line they touch, and the box around those on that page.
+
+    texts: doc_id, segments, pages, as normalise_words() gives them. Without a match, or without placed words, they are NULL
+    or empty. A text's segments are joined to the fields of its document, never exploded.
+    """
+    start = F.col("at") - 1
+    placed = grounded.join(texts.select("doc_id", "segments", "pages"), "doc_id", "left")
+    placed = placed.withColumn("regions", F.when(F.col("at").isNotNull(), mapping.regions_of(F.col("segments"), start, start + F.col("size"))))
+    placed = placed.withColumn("page", F.when(F.col("at").isNotNull(), mapping.page_at(F.col("pages"), start)))
+    own = F.filter("regions", lambda r: r["page"] == F.col("page"))
+    side = lambda name, pick: pick(F.transform("_own", lambda r: r["box"][name])).alias(name)
+    box = F.struct(side("minx", F.array_min), side("miny", F.array_min), side("maxx", F.array_max), side("maxy", F.array_max))
+    return placed.withColumn("_own", own).withColumn("box", F.when(F.size("_own") > 0, box)).drop("_own", "segments", "pages")
 
 
 def ground_arrays(grounded: DataFrame) -> DataFrame:
@@ -101,7 +130,7 @@ def agree(fields: DataFrame, second: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CrossRule:
-    """name, the group keys it touches, and kind: sum (total = parts), items (total = sum of products of leaves), before."""
+    """name, and kind: sum (total = parts), items (total = sum of products of leaves), before (total is the earlier date)."""
 
     name: str
     kind: str
@@ -110,17 +139,42 @@ class CrossRule:
     absolute: float = 0.01
     relative: float = 0.0
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        """The fields that a verdict concerns: for items the total and the array."""
+        return (self.total, *dict.fromkeys(p.split("[]")[0] for p in self.parts)) if self.kind == "items" else (self.total, *self.parts)
+
+
+@dataclass(frozen=True)
+class CrossFunction:
+    """A rule of the caller's own: check(value) gets value(key), a struct of v_num and v_ts and of the other v_ columns and raw that the fields have, NULL
+    where the field did not convert, and returns a boolean Column; NULL means that the rule does not apply."""
+
+    name: str
+    keys: tuple[str, ...]
+    check: Callable[[Callable[[str], Column]], Column]
+    message: str = ""
+
+
+MESSAGES = {"sum": "the parts do not add up", "items": "the items do not add up", "before": "the dates are in the wrong order"}
+
 
-def cross_check(fields: DataFrame, rules: list[CrossRule]) -> DataFrame:
-    """(doc_id, rule, keys, applicable, passed, message) for every document and rule, in one aggregation.
+def cross_check(fields: DataFrame, rules: list[CrossRule | CrossFunction]) -> DataFrame:
+    """(doc_id, n, rule, keys, applicable, passed, message) for every document and rule, n counting rules, in one aggregation.
 
-    A rule does not apply where a value it needs is missing, or where there are no items.
+    A rule does not apply where a value it needs is missing, or where there are no items. Messages never state amounts.
     """
     num = lambda key: F.max(F.when(F.col("key") == key, F.col("v_num")))
     when = lambda key: F.max(F.when(F.col("key") == key, F.col("v_ts")))
+    known = [c for c in fields.columns if c in ("v_num", "v_ts", "v_bool", "v_str", "v_int", "raw")]
+    some = reduce(lambda x, y: x | y, [F.col(c).isNotNull() for c in known if c != "raw"], F.lit(False))
+    value = lambda key: F.max(F.when((F.col("key") == key) & some, F.struct(*known)))
     made = []
-    for r in rules:
-        if r.kind == "before":
+    for n, r in enumerate(rules):
+        if isinstance(r, CrossFunction):
+            passed = r.check(value)
+            applicable = passed.isNotNull()
+        elif r.kind == "before":
             a, b = when(r.total), when(r.parts[0])
             applicable, passed = a.isNotNull() & b.isNotNull(), a <= b
         elif r.kind == "sum":
@@ -138,5 +192,6 @@ def cross_check(fields: DataFrame, rules: list[CrossRule]) -> DataFrame:
             applicable = num(r.total).isNotNull() & F.coalesce(count > 0, F.lit(False)) & F.coalesce(whole, F.lit(False))
             passed = values.within(num(r.total), total, r.absolute, r.relative)
         ok = F.coalesce(applicable, F.lit(False))
-        made.append(F.struct(F.lit(r.name).alias("rule"), F.array(*[F.lit(k) for k in (r.total, *r.parts)]).alias("keys"), ok.alias("applicable"), F.when(ok, passed).alias("passed"), F.when(ok & ~passed, F.lit(f"{r.name} does not hold")).alias("message")))
+        said = r.message if isinstance(r, CrossFunction) else MESSAGES[r.kind]
+        made.append(F.struct(F.lit(n).alias("n"), F.lit(r.name).alias("rule"), F.array(*[F.lit(k) for k in r.keys]).alias("keys"), ok.alias("applicable"), F.when(ok, passed).alias("passed"), F.when(ok & ~passed, F.lit(said)).alias("message")))
     return fields.groupBy("doc_id").agg(F.array(*made).alias("r")).select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.*")

@@ -209,6 +209,24 @@ def locate(segments: Column, start: Column, end: Column) -> Column:
     return F.transform(hit, cut)
 
 
+BOX = ("minx", "miny", "maxx", "maxy")
+REGIONS = "array<struct<page:int,line:int,box:struct<minx:double,miny:double,maxx:double,maxy:double>>>"
+
+
+def regions_of(segments: Column, start: Column, end: Column) -> Column:
+    """array<struct<page, line, box>>: a box around the placed words of a span for each run of one page and line, in order."""
+    placed = F.filter(segments, lambda s: (s["end"] > start) & (s["start"] < end) & (s["word"] >= 0) & s["minx"].isNotNull())
+
+    def joined(made: Column, s: Column) -> Column:
+        last, own = F.element_at(made, -1), F.struct(*[s[b].alias(b) for b in BOX])
+        same = (F.size(made) > 0) & (F.try_element_at(made, F.lit(-1))["page"] == s["page"]) & (F.try_element_at(made, F.lit(-1))["line"] == s["line"])
+        wider = F.struct(*[(F.least if b.startswith("min") else F.greatest)(last["box"][b], s[b]).alias(b) for b in BOX])
+        grown = F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(F.struct(s["page"].alias("page"), s["line"].alias("line"), wider.alias("box"))))
+        return F.when(same, grown).otherwise(F.concat(made, F.array(F.struct(s["page"].alias("page"), s["line"].alias("line"), own.alias("box"))))).cast(REGIONS)
+
+    return F.aggregate(placed, F.array().cast(REGIONS), joined)
+
+
 def page_at(pages: Column, offset: Column) -> Column:
     """The page whose marker or body holds an offset."""
     return F.get(F.filter(pages, lambda p: (p["marker_start"] <= offset) & (offset < p["end"])), F.lit(0))["page"]

@@ -173,6 +173,40 @@ def xf_rules(spark, sf_dir):
     return checks.groupBy("rule").agg(F.count_if("applicable").alias("applicable"), F.count_if("passed").alias("passed"))
 
 
+def xf_sum(spark, sf_dir):
+    """Net and tax against the total, and a rule of the caller's own: no tax above a thousand."""
+    o = table(spark, sf_dir, "orders")
+    tax = F.round(F.col("o_totalprice") / 100)
+    net = F.col("o_totalprice") - tax + F.when(F.col("o_orderkey") % 9 == 0, 0.5).otherwise(0.0)
+    cells = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k).alias("group_key"), v.alias("v_num")) for k, v in (("net", net), ("tax", F.when(F.col("o_orderkey") % 4 != 0, tax)), ("total", F.col("o_totalprice")))])
+    long = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", "c.*", F.lit(None).cast("timestamp").alias("v_ts"))
+    rules = [evidence.CrossRule("sum", "sum", "total", ("net", "tax")), evidence.CrossFunction("low tax", ("tax",), lambda value: value("tax")["v_num"] <= 1000, "the tax is high")]
+    return evidence.cross_check(long, rules).select("doc_id", "rule", F.array_join("keys", ",").alias("keys"), "applicable", "passed", "message")
+
+
+def asm_cross_field(spark, sf_dir):
+    """Validated orders scored with a cross-field rule over two of their fields."""
+    f = _order_fields(spark, sf_dir)
+    rule = evidence.CrossFunction("even", ("customer", "total"), lambda value: value("customer")["v_str"].cast("long") % 2 == 0, "the customer is odd")
+    s = scoring.score(scoring.with_cross_fields(f, evidence.cross_check(f, [rule])))
+    return s.select("doc_id", "key", "confidence", "valid", F.array_join("reasons", ";").alias("reasons"), F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("signals"))
+
+
+def gnd_hit(spark, sf_dir):
+    """Page, lines and box of the 26 words from the sixth of every document, up to the end of shorter ones."""
+    from pyspark.sql import Window
+
+    w = words_of_documents(spark, sf_dir)
+    end = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - 1
+    segment = F.struct((F.col("e") - F.length("text")).cast("int").alias("start"), F.col("e").cast("int").alias("end"), F.lit(0).alias("src_start"), F.length("text").alias("src_end"), "page", F.col("i").alias("word"), "line", "minx", "miny", "maxx", "maxy", F.lit(True).alias("verbatim"))
+    made = w.withColumn("e", end).select("doc_id", segment.alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("segments"), F.min(F.when(F.col("s.word") == 5, F.col("s.start"))).alias("a"), F.max(F.when(F.col("s.word").between(5, 30), F.col("s.end"))).alias("b"))
+    body = F.transform(F.sequence(F.lit(1), F.element_at("segments", -1)["page"]), lambda p: F.filter("segments", lambda s: s["page"] == p))
+    pages = F.transform(body, lambda b: F.struct(F.get(b, F.lit(0))["page"].alias("page"), F.get(b, F.lit(0))["start"].alias("marker_start"), F.get(b, F.lit(0))["start"].alias("body_start"), (F.element_at(b, -1)["end"] + 1).alias("end")))
+    texts = made.withColumn("pages", pages)
+    h = evidence.hits(texts.select("doc_id", (F.col("a") + 1).alias("at"), (F.col("b") - F.col("a")).alias("size")), texts)
+    return h.select("doc_id", "page", F.size("regions").alias("lines"), *[F.round(F.col(f"box.{k}"), 3).alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+
+
 def _judgements(spark, sf_dir):
     l, d = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     want = l.select(F.col("doc_id").alias("doc"), F.lit("a[0].q").alias("key"), F.when(F.col("doc_id") % 9 != 0, F.col("quality").cast("string")).alias("want"))
@@ -423,20 +457,35 @@ def src_csv(spark, sf_dir):
     return office.read_words(files).groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]), "|").alias("cells"))
 
 
-def src_pdf(spark, sf_dir):
-    from folioforge.sources import pdf
-
-    body = F.concat(F.lit("BT /F1 10 Tf 50 700 Td ("), F.col("n_name"), F.lit(" nation) Tj 0 -20 Td (of region "), F.col("n_regionkey").cast("string"), F.lit(") Tj ET"))
+def _nation_pdfs(spark, sf_dir, body):
+    """Files of one page each, whose content is `body`."""
     made = F.concat(
         F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Kids[3 0 R]/MediaBox[0 0 600 800]>> endobj\n3 0 obj <</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>> endobj\n4 0 obj <</Length "),
         F.length(body).cast("string"), F.lit(">> stream\n"), body, F.lit("\nendstream endobj\n5 0 obj <</Type/Font/Subtype/Type1/Encoding/WinAnsiEncoding>> endobj\ntrailer <</Root 1 0 R>>"),
     )
-    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit("pdf").alias("kind"), made.cast("binary").alias("content"))
-    words = pdf.read_words(files)
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit("pdf").alias("kind"), made.cast("binary").alias("content"))
+
+
+def src_pdf(spark, sf_dir):
+    from folioforge.sources import pdf
+
+    body = F.concat(F.lit("BT /F1 10 Tf 50 700 Td ("), F.col("n_name"), F.lit(" nation) Tj 0 -20 Td (of region "), F.col("n_regionkey").cast("string"), F.lit(") Tj ET"))
+    words = pdf.read_words(_nation_pdfs(spark, sf_dir, body))
     lines = F.array_join(F.transform("words", lambda w: F.concat(w["line"].cast("string"), F.lit(":"), w["text"])), " ")
     return words.select("doc_id", "page", "width", "height", "chars", lines.alias("words"), pdf.unusable(F.col("chars"), F.col("replaced"), F.col("undecoded"), F.col("width"), F.col("height")).alias("unusable"))
 
 
+def finding_background(spark, sf_dir):
+    """Pages on white, on a grey of their region, half painted or mostly painted paper, with two words in that grey and two in black."""
+    from folioforge.sources import pdf
+
+    grey = (F.col("n_regionkey") * 0.1 + 0.4).cast("decimal(3,1)").cast("string")
+    paper = F.element_at(F.array(*[F.lit(p) for p in ("", " 0 0 600 800 re f", " 0 0 600 400 re f", " 0 0 600 500 re f", " 0 0 300 800 re 300 0 300 800 re f")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    body = F.concat(grey, F.lit(" g"), paper, F.lit(" BT /F1 10 Tf 50 700 Td (two words) Tj 0 -20 Td 0 g (more here) Tj ET"))
+    found = normalise.background_findings(pdf.page_words(pdf.read_words(_nation_pdfs(spark, sf_dir, body))))
+    return found.select("doc_id", "kind", "page", "n", F.round("box.minx", 3).alias("minx"))
+
+
 def norm_map(spark, sf_dir):
     from folioforge.operators import mapping
 
@@ -455,8 +504,8 @@ def prompt_requests(spark, sf_dir):
 
 
 FUNCTIONS = (
-    src_detect, src_csv, src_pdf, norm_map, prompt_requests,
-    conv_number, conv_bool_int, date_parse, date_order, date_clock, fmt_iban, fmt_phone, fmt_email, fmt_codes, norm_canonical, gnd_literal, gnd_numbers, asm_walk, val_rules, gnd_fields, score_answers, explain_field, cmp_readings, xf_rules,
+    src_detect, src_csv, src_pdf, finding_background, norm_map, prompt_requests,
+    conv_number, conv_bool_int, date_parse, date_order, date_clock, fmt_iban, fmt_phone, fmt_email, fmt_codes, norm_canonical, gnd_literal, gnd_numbers, asm_walk, val_rules, gnd_fields, score_answers, explain_field, cmp_readings, xf_rules, xf_sum, asm_cross_field, gnd_hit,
     ev_report, ev_calibration, ev_bands, ev_risk, ev_risk_at, ev_review, ev_cost, ev_compare, ev_leaf_keys, ocr_reading_order, norm_lines, norm_median_height, norm_regions, finding_table, finding_instructions, finding_off_page,
     join_interval, join_as_of, join_spatial, join_anti_semi, agree_pairs, otel_metrics, otel_spans, events_window, events_outages, breaker_replay, scheme_types,
     acquire_route, acquire_pages, acquire_unread, acquire_second, acquire_usage, ev_flatten, ev_equal, ev_excluded,
@@ -518,6 +567,18 @@ ORACLE_SQL = {
     "cmp_readings": "SELECT o_orderkey, o_orderkey % 4 <> 0 AS number, true AS day, true AS words FROM orders",
     "xf_rules": """SELECT 'items' AS rule, count(*) FILTER (ok) AS applicable, count(*) FILTER (ok AND doc % 7 <> 0) AS passed FROM (SELECT l_orderkey AS doc, max(l_linenumber) = count(DISTINCT l_linenumber) AND count(*) = count(DISTINCT l_linenumber) AS ok FROM lineitem GROUP BY 1)
         UNION ALL SELECT 'order', count(*), count(*) FILTER (a = b) FROM (SELECT min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_orderkey) UNION ALL SELECT 'gone', 0, 0""",
+    "finding_background": "SELECT n_nationkey::BIGINT AS doc_id, 'background-colour' AS kind, 1 AS page, 2 AS n, 50.0::DOUBLE AS minx FROM nation WHERE n_nationkey % 5 IN (1, 4)",
+    "xf_sum": """WITH o AS (SELECT o_orderkey AS doc_id, round(o_totalprice / 100) AS tax, o_orderkey % 4 <> 0 AS told, o_orderkey % 9 <> 0 AS fits FROM orders)
+        SELECT doc_id, 'sum' AS rule, 'total,net,tax' AS keys, told AS applicable, CASE WHEN told THEN fits END AS passed, CASE WHEN told AND NOT fits THEN 'the parts do not add up' END AS message FROM o
+        UNION ALL SELECT doc_id, 'low tax', 'tax', told, CASE WHEN told THEN tax <= 1000 END, CASE WHEN told AND tax > 1000 THEN 'the tax is high' END FROM o""",
+    "asm_cross_field": """WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 <> 0 AS told, o_custkey % 2 = 0 AS even, o_orderstatus IN ('O', 'F') AS known, round(o_totalprice, 2) > 300000 AS big FROM orders), r AS (SELECT *, CASE WHEN told AND NOT even THEN 'cross-field rule failed: even' ELSE '' END AS odd, CASE WHEN told THEN ',crossfield' ELSE '' END AS more FROM o)
+        SELECT doc_id, 'number' AS key, 1.0::DOUBLE AS confidence, true AS valid, '' AS reasons, 'schema' AS signals FROM r UNION ALL SELECT doc_id, 'issued', 1.0, true, '', 'schema,format' FROM r
+        UNION ALL SELECT doc_id, 'status', CASE WHEN known THEN 1.0 ELSE 0.0 END, known, CASE WHEN known THEN '' ELSE 'low confidence' END, 'schema' FROM r
+        UNION ALL SELECT doc_id, 'customer', CASE WHEN NOT told THEN 0.0 WHEN even THEN 1.0 ELSE 0.75 END, NOT told OR even, odd, CASE WHEN told THEN 'schema,crossfield' ELSE '' END FROM r
+        UNION ALL SELECT doc_id, 'total', CASE WHEN big THEN CASE WHEN told AND NOT even THEN floor(0.15::DOUBLE * 0.5::DOUBLE / (0.15::DOUBLE + 0.05::DOUBLE) * 100 + 0.5) / 100 ELSE 0.40 END WHEN told AND NOT even THEN 0.75 ELSE 1.0 END, NOT big AND (NOT told OR even),
+          CASE WHEN big AND odd <> '' THEN 'low confidence;' || odd WHEN big THEN 'low confidence' ELSE odd END, CASE WHEN big THEN 'schema,capped:rule' ELSE 'schema' END || more FROM r""",
+    "gnd_hit": f"""WITH {_W}, h AS (SELECT * FROM w WHERE i BETWEEN 5 AND 30 AND length(text) > 0), l AS (SELECT doc_id, count(DISTINCT (page, line)) AS n, min(page) AS page FROM h GROUP BY 1), b AS (SELECT doc_id, min(minx) AS x, min(miny) AS y, max(minx + 5.0 * length(text)) AS xx, max(miny + 10) AS yy FROM h GROUP BY 1)
+        SELECT d.doc_id, CAST(page AS INTEGER) AS page, CAST(n AS INTEGER) AS lines, round(x, 3)::DOUBLE AS minx, round(y, 3)::DOUBLE AS miny, round(xx, 3)::DOUBLE AS maxx, round(yy, 3)::DOUBLE AS maxy FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN b USING (doc_id)""",
     "ev_report": f"""WITH {_J}, t AS (SELECT lang AS category, CASE WHEN g IN (1, 2) THEN difficulty END AS difficulty, field, level, expected, absent, produced, correct, wrong, missed, fabricated FROM (
         SELECT lang, difficulty, field, 0 AS g, CAST(grouping(lang, difficulty, field) AS INTEGER) AS level, {_T} FROM j GROUP BY GROUPING SETS ((), (lang), (lang, difficulty), (lang, field))))
         SELECT category, d AS difficulty, field, level, expected, absent, produced, correct, wrong, missed, fabricated, {_M} FROM (SELECT t.*, NULL AS d FROM t WHERE level <> 1

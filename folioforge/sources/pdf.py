@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.sources import paint
 from folioforge.sources.detect import Budget, LimitError, Limits, Malformed, inflate
 
 WORD_GAP, LINE_SHIFT, ASCENT, MAX_STACK, MAX_OPERANDS = 0.16, 0.3, 0.88, 256, 64
 MIN_DENSITY, MAX_REPLACED, MIN_DECODED = 0.5, 0.02, 0.90
-PAGE_SCHEMA = "doc_id long, page int, width double, height double, chars int, replaced int, undecoded int, words array<struct<text:string,minx:double,miny:double,maxx:double,maxy:double,line:int>>, error string"
+PAGE_SCHEMA = "doc_id long, page int, width double, height double, chars int, replaced int, undecoded int, words array<struct<text:string,minx:double,miny:double,maxx:double,maxy:double,line:int,colour:struct<r:double,g:double,b:double>>>, background struct<r:double,g:double,b:double>, error string"
 
 
 class Name(str):
@@ -489,6 +490,7 @@ class PageReader:
         self.held: list = []
         self.line, self.baseline, self.end = 0, None, None
         self.fonts: dict[int, Font] = {}
+        self.paper = paint.Paper(self.box)
 
     def read(self) -> PageReader:
         contents = self.doc.get(self.page.get("Contents"))
@@ -506,14 +508,19 @@ class PageReader:
             text = "".join(h[0] for h in self.held)
             if text.strip():
                 xs, ys = [p[0] for h in self.held for p in h[1]], [p[1] for h in self.held for p in h[1]]
-                self.words.append((text, min(xs), min(ys), max(xs), max(ys), self.line))
+                self.words.append((text, min(xs), min(ys), max(xs), max(ys), self.line, self.held[0][2]))
             self.held = []
 
-    def run(self, data: bytes, resources: dict, matrix: tuple, depth: int) -> None:
+    def run(self, data: bytes, resources: dict, matrix: tuple, depth: int, ink: tuple = (paint.BLACK, paint.Space(1), paint.EVERYWHERE, True)) -> None:
         doc, lexer, stack, saved = self.doc, Lexer(data), [], []
         font, size, char, word, scale, leading, rise = Font(), 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
         text = start = (1, 0, 0, 1, 0, 0)
-        colour: tuple = ()
+        colour, space, clip, exact = ink
+        path, clipping = paint.Outline(self.box), False
+
+        def at(x: float, y: float) -> tuple[float, float]:
+            m = _times((1, 0, 0, 1, x, y), matrix)
+            return m[4], m[5]
 
         def show(raw: bytes) -> None:
             nonlocal text
@@ -551,13 +558,39 @@ class PageReader:
             n = [float(x) for x in stack if isinstance(x, int | float)]
             try:
                 if t == "q" and len(saved) < MAX_STACK:
-                    saved.append((matrix, font, size, char, word, scale, leading, rise, colour))
+                    saved.append((matrix, font, size, char, word, scale, leading, rise, colour, space, clip, exact))
                 elif t == "Q" and saved:
-                    matrix, font, size, char, word, scale, leading, rise, colour = saved.pop()
+                    matrix, font, size, char, word, scale, leading, rise, colour, space, clip, exact = saved.pop()
                 elif t == "cm":
                     matrix = _times(tuple(n[-6:]), matrix)
-                elif t in ("g", "rg", "k", "sc", "scn"):
-                    colour = tuple(n)
+                elif t in ("g", "rg", "k"):
+                    space = paint.Space({"g": 1, "rg": 3, "k": 4}[t])
+                    colour = space.colour(n)
+                elif t == "cs":
+                    space = paint.read_space(doc, stack[-1], resources, doc.decode)
+                    colour = space.start()
+                elif t in ("sc", "scn"):
+                    colour = space.colour(n)
+                elif t in ("m", "l"):
+                    path.point(at(*n[-2:]), t == "m")
+                elif t in ("c", "v", "y"):
+                    for k in range(0, len(n), 2):
+                        path.point(at(n[k], n[k + 1]))
+                elif t == "re":
+                    x, y, w, h = n[-4:]
+                    path.rectangle([at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)])
+                elif t == "h":
+                    path.close()
+                elif t in ("W", "W*"):
+                    clipping = True
+                elif t in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
+                    if t[0] in "fFBb" and not self.chars:
+                        self.paper.lay(path, clip, exact, colour)
+                    if clipping and path.box:
+                        clip, exact = paint.common(clip, path.box), exact and path.upright
+                    path, clipping = paint.Outline(self.box), False
+                elif t == "sh" and not self.chars:
+                    self.paper.cover(clip, clip)
                 elif t == "BT":
                     self.flush()
                     text = start = (1, 0, 0, 1, 0, 0)
@@ -602,8 +635,12 @@ class PageReader:
                     form = doc.get((doc.get(resources.get("XObject")) or {}).get(stack[-1]))
                     if isinstance(form, Stream) and doc.get(form.info.get("Subtype")) == "Form" and depth < 12:
                         own = tuple(float(doc.get(x)) for x in doc.get(form.info.get("Matrix")) or (1, 0, 0, 1, 0, 0))
-                        self.run(doc.decode(form), doc.get(form.info.get("Resources")) or resources, _times(own, matrix), depth + 1)
+                        self.run(doc.decode(form), doc.get(form.info.get("Resources")) or resources, _times(own, matrix), depth + 1, (colour, space, clip, exact))
+                    elif isinstance(form, Stream) and doc.get(form.info.get("Subtype")) == "Image" and not self.chars:
+                        self.paper.cover(paint.around([at(0, 0), at(1, 0), at(0, 1), at(1, 1)]), clip)
                 elif t == "BI":
+                    if not self.chars:
+                        self.paper.cover(paint.around([at(0, 0), at(1, 0), at(0, 1), at(1, 1)]), clip)
                     end = re.compile(rb"[ \t\r\n]EI(?=[ \t\r\n]|$)").search(data, lexer.at)
                     lexer.at = end.end() if end else len(data)
             except (IndexError, TypeError, ValueError):
@@ -621,20 +658,25 @@ def read_words(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """PAGE_SCHEMA rows of files (doc_id, kind, content) of kind pdf; a file that cannot be read gives one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "page", "width", "height", "chars", "replaced", "undecoded", "words", "error"]
+        columns = ["doc_id", "page", "width", "height", "chars", "replaced", "undecoded", "words", "background", "error"]
         for pdf in batches:
             for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
                 try:
-                    rows = [(doc, k, p.width, p.height, p.chars, p.replaced, p.undecoded, p.words, None) for k, p in enumerate(read_pages(content, limits), 1)]
+                    rows = [(doc, k, p.width, p.height, p.chars, p.replaced, p.undecoded, p.words, p.paper.colour(), None) for k, p in enumerate(read_pages(content, limits), 1)]
                 except LimitError as e:
-                    rows = [(doc, None, None, None, None, None, None, None, str(e))]
+                    rows = [(doc, *[None] * 8, str(e))]
                 except (Malformed, RecursionError, ValueError, TypeError, AttributeError, KeyError, IndexError) as e:
-                    rows = [(doc, None, None, None, None, None, None, None, "encrypted" if str(e) == "encrypted" else "malformed")]
+                    rows = [(doc, *[None] * 8, "encrypted" if str(e) == "encrypted" else "malformed")]
                 yield pd.DataFrame(rows, columns=columns)
 
     return files.filter("kind = 'pdf'").select("doc_id", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
+def page_words(pages: DataFrame) -> DataFrame:
+    """One row per word of PAGE_SCHEMA rows: doc_id, page, i, text, its box, line and colour, and the page's background, as the findings take them."""
+    return pages.select("doc_id", "page", "background", F.posexplode("words").alias("i", "w")).select("doc_id", "page", "i", "w.*", "background")
+
+
 def unusable(chars: Column, replaced: Column, undecoded: Column, width: Column, height: Column) -> Column:
     """Why a page's text layer cannot be used, tested in this order; NULL if it can."""
     density = chars / (width * height / 5184)

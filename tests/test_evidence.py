@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import values
-from folioforge.operators import acquire, evidence, fields, normalise, schema
+from folioforge.operators import acquire, evidence, fields, mapping, normalise, schema, scoring
 from folioforge.plans import evaluation, joins
 
 ITEM = schema.Field("amounts", "amounts", "array", elem=schema.Field("", "amounts[]", "float"))
@@ -102,3 +102,45 @@ def test_acquire(spark):
     lost = {r.doc_id: (r.pages, r.error) for r in acquire.unread(acquire.read_pages(pages, "text", acquire.Providers(vision=False))).collect()}
     assert lost == {1: ([2], None), 2: ([1], "no_content")}
     assert {r.doc_id: r.second for r in acquire.second(acquire.primary(read), "both", acquire.Providers(ocr=True)).collect()} == {1: "vision", 2: "ocr"}
+
+
+PLACED = [(1, [("Total", 10.0, 10.0, 50.0, 20.0, 0), ("two", 55.0, 10.0, 80.0, 20.0, 0), ("pages", 10.0, 30.0, 50.0, 40.0, 1)]), (2, [("End", 10.0, 10.0, 40.0, 20.0, 0)])]
+MADE = mapping.normalise([(n, 600.0, 800.0, [mapping.Box(i, *w, 1.0) for i, w in enumerate(words)]) for n, words in PLACED])
+
+
+def hit_fields(spark, replies):
+    """Grounded fields price and count of replies over MADE's text, with their places."""
+    texts = spark.createDataFrame([(k, MADE["text"], MADE["segments"], MADE["pages"]) for k in range(len(replies))], f"doc_id long, source string, segments array<{mapping.SEGMENT}>, pages array<struct<page:int,marker_start:int,body_start:int,end:int>>")
+    plain = schema.Field("x", "", "object", fields=(schema.Field("word", "word", "string"), schema.Field("count", "count", "int", bits=32)))
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(replies)], "doc_id long, reply string")
+    f = fields.convert(fields.walk(df, plain), values.country_codes(spark))
+    return {(r.doc_id, r.key): r for r in evidence.hits(evidence.ground(f, texts.select("doc_id", "source", "pages")), texts).collect()}
+
+
+def test_page_markers_are_not_the_document(spark):
+    got = hit_fields(spark, [{"word": "page", "count": 2}, {"word": "pages End"}, {"word": "End"}])
+    assert got[0, "word"].grounding == 0.0 and got[0, "count"].grounding == 0.0 and got[1, "word"].grounding == 0.0
+    assert got[2, "word"].grounding == 1.0 and MADE["text"][got[2, "word"].at - 1 :].startswith("End")
+
+
+def test_places_of_a_match(spark):
+    got = hit_fields(spark, [{"word": "two\npages"}, {"word": "End"}, {"word": "none"}])
+    two, end, none = (got[k, "word"] for k in range(3))
+    assert two.page == 1 and [(r.line, tuple(r.box)) for r in two.regions] == [(0, (55, 10, 80, 20)), (1, (10, 30, 50, 40))] and tuple(two.box) == (10, 10, 80, 40)
+    assert end.page == 2 and tuple(end.box) == (10, 10, 40, 20)
+    assert none.page is None and none.regions is None and none.box is None
+
+
+def test_rules_and_scorers_of_callers(spark):
+    rows = [(1, "a", "a", 1.0), (1, "b", "b", 2.0), (2, "a", "a", 3.0), (2, "b", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, key string, group_key string, v_num double").withColumns({"v_ts": F.lit(None).cast("timestamp"), "kind": F.lit("float"), "format": F.lit(""), "required": F.lit(False), "found": F.col("v_num").isNotNull(), "converted": F.col("v_num").isNotNull(), "valid": F.lit(True), "ambiguous": F.lit(None).cast("struct<d:date>"), "rules": F.array().cast("array<struct<rule:string,passed:boolean,message:string>>")})
+    rule = evidence.CrossFunction("a above b", ("a", "b"), lambda value: value("a")["v_num"] > value("b")["v_num"], "a is not above b")
+    checks = evidence.cross_check(df, [rule, evidence.CrossRule("sum", "sum", "b", ("a",), absolute=1.0)])
+    assert {(r.doc_id, r.rule): (r.applicable, r.passed, r.message) for r in checks.collect()} == {(1, "a above b"): (True, False, "a is not above b"), (1, "sum"): (True, True, None), (2, "a above b"): (False, None, None), (2, "sum"): (False, None, None)}
+    crossed = scoring.with_cross_fields(df, checks)
+    got = {(r.doc_id, r.key): r for r in scoring.score(crossed).collect()}
+    assert got[1, "a"].confidence == got[1, "b"].confidence == 0.8 and [s.name for s in got[1, "b"].signals] == ["schema", "crossfield", "crossfield"]  # (0.15 + 0 + 0.05) / 0.25
+    assert got[1, "a"].reasons == ["cross-field rule failed: a above b"] and not got[1, "a"].valid and got[2, "a"].valid and got[2, "a"].confidence == 1.0
+    half = scoring.score(crossed, lambda found, said: F.struct(F.when(found, 0.5).otherwise(0.0).alias("confidence"), F.transform(said, lambda s: s.withField("value", F.lit(0.5))).alias("signals")))
+    own = {(r.doc_id, r.key): r for r in half.collect()}
+    assert own[2, "a"].confidence == 0.5 and own[2, "a"].reasons == ["low confidence"] and own[1, "a"].confidence == 0.5  # (0.075 + 0.05) / 0.25

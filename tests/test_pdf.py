@@ -70,3 +70,42 @@ def test_object_streams_and_broken_files():
     with pytest.raises(detect.LimitError):
         pdf.read_pages(build(b" " * 5000 + CONTENT), detect.Limits(stream=1000))
     assert texts(build(CONTENT)[:-300]) and pdf.Document(build(CONTENT, trailer="/Info 6 0 R", more=b"6 0 obj <</Title(T\\351)/Author<FEFF0041>>> endobj\n")).metadata() == {"Title": "Té", "Author": "A"}
+
+
+def ink(content, **more):
+    """Text and colour of every word, and the paper's colour."""
+    (page,) = pdf.read_pages(build(content, **more))
+    return [(w[0], w[6]) for w in page.words], page.paper.colour()
+
+
+SHOW = b" BT /F1 9 Tf 50 50 Td (x) Tj ET"
+FULL = b"0 0 600 800 re f"
+
+
+@pytest.mark.parametrize(
+    ("before", "colour", "paper"),
+    [
+        (b"", (0, 0, 0), (1, 1, 1)), (b"1 g", (1, 1, 1), (1, 1, 1)), (b"0 0 1 rg", (0, 0, 1), (1, 1, 1)), (b"0 1 1 0 k", (1, 0, 0), (1, 1, 1)), (b"/DeviceRGB cs 2 -1 0.5 sc", (1, 0, 0.5), (1, 1, 1)),
+        (b"/Pattern cs /P1 scn", None, (1, 1, 1)), (b"[/Indexed /DeviceRGB 1 <000000ff8000>] pop /I cs 1 sc", (1, 128 / 255, 0), (1, 1, 1)), (b"/C cs 0.25 sc", (0.25,) * 3, (1, 1, 1)), (b"/S cs 1 scn", None, (1, 1, 1)),
+        (b"0 g " + FULL + b" 1 g", (1, 1, 1), (0, 0, 0)), (b"0 g 0 0 600 400 re 0 400 600 400 re f 1 g", (1, 1, 1), (0, 0, 0)), (b"0 g " + FULL + b" 1 0 0 rg " + FULL, (1, 0, 0), (1, 0, 0)),
+        (b"q 0 0 100 100 re W n 0 g " + FULL + b" Q 1 g", (1, 1, 1), (1, 1, 1)), (b"0.5 g 0 0 600 300 re f", (0.5,) * 3, (1, 1, 1)), (b"0.5 g 0 0 600 500 re f", (0.5,) * 3, None), (b"0 0 m 600 800 l 601 800 l f", (0, 0, 0), (1, 1, 1)),
+        (b"300 0 m 600 400 l 300 800 l 0 400 l h f", (0, 0, 0), (1, 1, 1)), (b"q 600 0 0 800 0 0 cm /X Do Q", (0, 0, 0), None), (b"q 60 0 0 80 0 0 cm /X Do Q", (0, 0, 0), (1, 1, 1)), (b"/Pattern cs /P1 scn " + FULL + b" 0 g", (0, 0, 0), None),
+        (b"/Sh sh", (0, 0, 0), None), (b"q 0.7 0.7 -0.7 0.7 0 0 cm " + FULL + b" Q", (0, 0, 0), None), (b"q 0.2 0.2 -0.2 0.2 300 0 cm " + FULL + b" Q", (0, 0, 0), (1, 1, 1)), (b"BT /F1 9 Tf (y) Tj ET " + FULL, (0, 0, 0), (1, 1, 1)), (b"q 1 g 0 0 300 800 re S Q", (0, 0, 0), (1, 1, 1)),
+    ],
+)
+def test_colours(before, colour, paper):
+    extra = "/ColorSpace<</I[/Indexed/DeviceRGB 1 <000000ff8000>]/C[/ICCBased 8 0 R]/S[/Separation/Spot/DeviceCMYK 8 0 R]>>/XObject<</X 7 0 R>>"
+    more = b"7 0 obj <</Subtype/Image/Width 1/Height 1/Length 1>> stream\nx\nendstream endobj\n8 0 obj <</N 1/Length 1>> stream\nx\nendstream endobj\n"
+    words, under = ink(before + SHOW, extra=extra, more=more)
+    assert (words[-1][1] is None) == (colour is None) and words[-1][1] == (pytest.approx(colour) if colour else None) and under == (pytest.approx(paper) if paper else None)
+
+
+def test_text_in_the_colour_of_the_paper(spark):
+    from pyspark.sql import functions as F
+
+    from folioforge.operators import normalise
+
+    made = [b"1 g" + SHOW + b" 0 g" + SHOW, b"0.96 g" + SHOW, b"0.9 g" + SHOW, b"0 g " + FULL + SHOW, b"/Pattern cs /P1 scn" + SHOW]
+    files = spark.createDataFrame([(k, bytearray(build(c))) for k, c in enumerate(made)], "doc_id long, content binary").withColumn("kind", F.lit("pdf"))
+    got = normalise.background_findings(pdf.page_words(pdf.read_words(files)))
+    assert sorted((r.doc_id, r.page, r.n) for r in got.collect()) == [(0, 1, 1), (1, 1, 1), (3, 1, 1)]

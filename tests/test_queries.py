@@ -10,7 +10,7 @@ import pytest
 from folioforge.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
-QUICK = ["gnd_literal", "norm_canonical", "gnd_fields", "score_answers", "explain_field", "join_anti_semi", "agree_pairs", "events_window", "events_outages", "otel_metrics", "otel_spans", "acquire_route", "acquire_pages", "acquire_unread", "acquire_second", "acquire_usage", "ev_flatten", "ev_equal", "ev_excluded", "conv_bool_int", "val_rules", "cmp_readings", "conv_number", "date_parse", "fmt_phone", "fmt_email", "asm_walk", "xf_rules", "ev_report", "ev_calibration", "ev_risk", "ev_compare", "ev_leaf_keys", "ocr_reading_order", "norm_regions", "join_interval", "join_as_of", "join_spatial", "breaker_replay", "src_detect", "src_csv", "src_pdf"]
+QUICK = ["gnd_literal", "norm_canonical", "gnd_fields", "score_answers", "explain_field", "join_anti_semi", "agree_pairs", "events_window", "events_outages", "otel_metrics", "otel_spans", "acquire_route", "acquire_pages", "acquire_unread", "acquire_second", "acquire_usage", "ev_flatten", "ev_equal", "ev_excluded", "conv_bool_int", "val_rules", "cmp_readings", "conv_number", "date_parse", "fmt_phone", "fmt_email", "asm_walk", "xf_rules", "xf_sum", "asm_cross_field", "gnd_hit", "ev_report", "ev_calibration", "ev_risk", "ev_compare", "ev_leaf_keys", "ocr_reading_order", "norm_regions", "join_interval", "join_as_of", "join_spatial", "breaker_replay", "src_detect", "src_csv", "src_pdf", "finding_background"]
 
 
 @pytest.fixture(scope="module")
