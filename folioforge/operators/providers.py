@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,6 +83,65 @@ def generate(requests: DataFrame, provider: Callable[[str], str], parallel: int)
     return requests.select("doc_id", "request").repartition(parallel).mapInPandas(run, "doc_id long, reply string, error string")
 
 
+WORDS = "doc_id long, page int, i int, text string, minx double, miny double, maxx double, maxy double, line int, conf double, provider string, error string"
+
+
+@dataclass(frozen=True)
+class Ocr:
+    """A provider of OCR: page(image) gives a page's words as (text, minx, miny, maxx, maxy, line, conf) in points from the top left, in
+    reading order; document(content), for those that read whole files, gives such a list for every page, in order."""
+
+    name: str
+    page: Callable[[bytes], list[tuple]] | None = None
+    document: Callable[[bytes], list[list[tuple]]] | None = None
+
+
+def chained_ocr(providers: list[Ocr]) -> Ocr:
+    """Providers in order; whole documents go to those that read them. The name is that of the chain."""
+    of = lambda calls: chained(calls) if calls else None
+    return Ocr("+".join(p.name for p in providers), of([p.page for p in providers if p.page]), of([p.document for p in providers if p.document]))
+
+
+def guarded(provider: Ocr, failures: int = FAILURES, cooldown: float = COOLDOWN, clock: Callable[[], float] = time.monotonic) -> Ocr:
+    """A provider behind one breaker for both of its calls."""
+    breaker = Breaker(lambda call: call[0](call[1]), failures, cooldown, clock)
+    of = lambda call: (lambda request: breaker((call, request))) if call else None
+    return Ocr(provider.name, of(provider.page), of(provider.document))
+
+
+def recognise(pages: DataFrame, provider: Ocr, parallel: int) -> DataFrame:
+    """WORDS rows of page images (doc_id, page, image), one call per page, at most `parallel` at a time; a page that fails is one row with its error."""
+    return _words(pages.select("doc_id", "page", "image"), provider.name, (lambda image: [provider.page(image)]) if provider.page else None, parallel)
+
+
+def recognise_documents(files: DataFrame, provider: Ocr, parallel: int) -> DataFrame:
+    """WORDS rows of whole files (doc_id, content); a file that fails, or of which nothing is read, is one row with its error."""
+    return _words(files.select("doc_id", F.lit(1).alias("page"), "content"), provider.name, provider.document, parallel)
+
+
+def _words(given: DataFrame, name: str, read: Callable | None, parallel: int) -> DataFrame:
+    columns = [part.split()[0] for part in WORDS.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, first, content in pdf.itertuples(index=False):
+                rows = []
+                try:
+                    if read is None:
+                        raise ProviderError("unsupported")
+                    for k, words in enumerate(read(bytes(content))):
+                        rows += [(doc, int(first) + k, i, *w, name, None) for i, w in enumerate(words or [])]
+                    if not rows:
+                        raise ProviderError("no_content")
+                except ProviderError as e:
+                    rows = [(doc, int(first), *[None] * 8, name, e.kind)]
+                except Exception:  # a provider's own failure is this row's
+                    rows = [(doc, int(first), *[None] * 8, name, "internal")]
+                yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("page", "i", "line")} | {c: "float64" for c in ("minx", "miny", "maxx", "maxy", "conf")})
+
+    return given.repartition(parallel).mapInPandas(run, WORDS)
+
+
 def replay(calls: DataFrame, failures: int = FAILURES) -> DataFrame:
     """(provider, episodes, longest): runs of `failures` or more consecutive failed calls, by gaps and islands in time order.
 

@@ -5,8 +5,9 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from folioforge.operators import layout, providers
+from folioforge.operators import hooks, layout, providers
 from folioforge.sources import detect, ocr, office
 
 
@@ -118,3 +119,61 @@ def test_chain_and_breaker(spark):
         providers.chained([refused, lambda r: r])("x")
     rows = providers.generate(spark.createDataFrame([(1, "a"), (2, "boom"), (3, "")], "doc_id long, request string"), lambda r: json.dumps({"v": 1 // (len(r) % 4)}) if r else "", 2).collect()
     assert {r.doc_id: (r.reply, r.error) for r in rows} == {1: ('{"v": 1}', None), 2: (None, "internal"), 3: (None, "bad_response")}
+
+
+def test_google_lines(spark):
+    v = lambda x: {"vertices": [{"x": x, "y": 0}, {"x": x + 5, "y": 5}]}
+    word = lambda t, x, stop=None, own=None: {"boundingBox": v(x), "symbols": [{"text": c, **({"property": {"detectedBreak": {"type": stop}}} if stop and c is t[-1] else {})} for c in t], **({"property": {"detectedBreak": {"type": own}}} if own else {})}
+    g = {"pages": [{"width": 99, "height": 99, "confidence": 1, "blocks": [{"paragraphs": [{"words": [word("b", 20, "SPACE"), word("a", 10, "LINE_BREAK"), word("c", 0, "HYPHEN"), word("d", 30, own="EOL_SURE_SPACE")]}, {"words": [word("e", 0), {"boundingBox": v(9)}]}]}]}]}
+    rows = ocr.google_words(spark.createDataFrame([(1, json.dumps(g)), (2, None)], "doc_id long, reply string"), 72).orderBy("order").collect()
+    assert [(r.text, r.line, r.joined) for r in rows] == [("a", 0, False), ("b", 0, False), ("c", 1, True), ("d", 1, False), ("e", 2, False)]
+
+
+def test_azure_centres_and_replies(spark):
+    box = lambda x, y, w=1, h=1: [x, y, x + w, y, x + w, y + h, x, y + h]
+    a = {"pages": [{"pageNumber": 1, "unit": "inch", "words": [{"content": c, "polygon": box(*at), "span": {"offset": 90, "length": 1}} for c, at in (("in", (2, 5)), ("out", (7, 9)))], "lines": [{"content": "x", "polygon": box(0, 0, 9, 1), "spans": []}, {"content": "y", "polygon": box(0, 4.8, 9, 1.4), "spans": []}]}]}
+    df = spark.createDataFrame([(1, json.dumps(a), 1), (2, json.dumps(a), 2), (3, json.dumps(a).replace("inch", "pixel"), 1), (4, "no", 1)], "doc_id long, reply string, pages int")
+    assert [(r.text, r.line) for r in ocr.azure_words(df.filter("doc_id = 1")).orderBy("i").collect()] == [("in", 1), ("out", 3)]
+    assert {tuple(r) for r in ocr.azure_problems(df).collect()} == {(2, "bad_response"), (3, "unsupported"), (4, "bad_response")}
+
+
+def test_whole_documents_are_refused_rather_than_read_in_part(spark):
+    rows = [("pdf", 5, 9), ("pdf", 6, 9), ("tiff", 1, 9), ("pdf", 1, 0)]
+    df = spark.createDataFrame(rows, "kind string, pages int, size int")
+    said = lambda service, **more: [r.e for r in df.select(ocr.refused(service, F.col("kind"), F.col("pages"), F.col("size"), **more).alias("e")).collect()]
+    assert said("google") == [None, "unsupported", "unsupported", "no_content"] and said("azure") == [None, None, "unsupported", "no_content"]
+    assert said("textract") == ["unsupported", "unsupported", None, "no_content"] and said("textract", stored=F.lit(True)) == [None, None, None, "no_content"]
+
+
+def test_jobs():
+    replies = {None: [{"JobStatus": "IN_PROGRESS"}, {"JobStatus": "SUCCEEDED", "Blocks": [1], "NextToken": "a"}], "a": [{"Blocks": [2], "NextToken": "b"}], "b": [{"Blocks": [3]}]}
+    waits = []
+    assert ocr.textract_job(lambda: "j", lambda job, token: replies[token].pop(0), lambda: waits.append(1)) == [1, 2, 3] and len(waits) == 1
+    for reply, kind in (({"JobStatus": "PARTIAL_SUCCESS"}, "bad_response"), ({"JobStatus": "IN_PROGRESS"}, "timeout"), ({"JobStatus": "SUCCEEDED", "NextToken": "x"}, "bad_response")):
+        with pytest.raises(providers.ProviderError) as e:
+            ocr.textract_job(lambda: "j", lambda job, token, r=reply: r, lambda: None, 3)
+        assert e.value.kind == kind
+
+
+def test_recognition_hooks_and_chains(spark):
+    def bad(content):
+        raise providers.ProviderError("unavailable")
+
+    good = lambda content: [(w, 0.0, 0.0, 1.0, 1.0, 0, 0.5) for w in content.decode().split()]
+    both = providers.chained_ocr([providers.Ocr("a", bad, bad), providers.Ocr("b", good), providers.Ocr("c", None, lambda content: [good(p) for p in content.split(b"|")])])
+    df = spark.createDataFrame([(1, 1, bytearray(b"x y")), (2, 3, bytearray(b""))], "doc_id long, page int, image binary")
+    seen = []
+    stages = hooks.Stages(seen.append)
+    rows = stages.watch(providers.recognise(df, both, 2), "ocr", F.col("error").isNotNull()).collect()
+    stages.report()
+    assert sorted((r.doc_id, r.page, r.text, r.provider, r.error) for r in rows if r.text) == [(1, 1, "x", "a+b+c", None), (1, 1, "y", "a+b+c", None)] and [(r.doc_id, r.page, r.error) for r in rows if not r.text] == [(2, 3, "no_content")]
+    assert seen == [hooks.Event("ocr", 3, 1)]
+    whole = df.withColumn("content", F.lit("p q|r").cast("binary"))
+    assert sorted((r.doc_id, r.page, r.text) for r in providers.recognise_documents(whole, both, 2).collect()) == [(d, *w) for d in (1, 2) for w in ((1, "p"), (1, "q"), (2, "r"))]
+    assert {r.error for r in providers.recognise_documents(whole, providers.Ocr("b", good), 1).collect()} == {"unsupported"}
+    calls = []
+    shut = providers.guarded(providers.Ocr("d", lambda c: calls.append(1) or bad(c), bad), 2, 30.0, lambda: 0.0)
+    for _ in range(4):
+        with pytest.raises(providers.ProviderError):
+            shut.page(b"")
+    assert len(calls) == 2
