@@ -99,10 +99,10 @@ def without_excluded(judgements: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def observe(answers: DataFrame) -> DataFrame:
-    """(doc, key, got, got_type, confidence, flagged): the leaf fields of answers (doc_id, needs_review, fields), for judge()."""
-    each = answers.select(F.col("doc_id").alias("doc"), "needs_review", F.explode("fields").alias("key", "f")).filter("f.found")
+    """(doc, key, got, got_type, confidence, flagged): the leaf fields of answers (doc_id, fields), for judge(); got is NULL where none was found, flagged where the field itself has a reason for review."""
+    each = answers.select(F.col("doc_id").alias("doc"), F.explode("fields").alias("key", "f"))
     kept = leaf_keys(each.select("doc", "key"))
-    return each.join(kept, ["doc", "key"]).select("doc", "key", F.col("f.raw").alias("got"), F.lit("string").alias("got_type"), F.col("f.confidence").alias("confidence"), F.col("needs_review").alias("flagged"))
+    return each.join(kept, ["doc", "key"]).select("doc", "key", F.when(F.col("f.found"), F.col("f.raw")).alias("got"), F.lit("string").alias("got_type"), F.col("f.confidence").alias("confidence"), (F.size("f.reasons") > 0).alias("flagged"))
 
 
 def render(report: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions import dates, text, values
-from folioforge.operators import acquire, evidence, fields, layout, normalise, schema, scoring
+from folioforge.operators import acquire, evidence, fields, layout, normalise, prompt, schema, scoring
 from folioforge.plans import evaluation, joins
 from folioforge.streaming import events
 
@@ -357,6 +357,12 @@ def events_outages(spark, sf_dir):
     return o.groupBy("provider").agg(F.count("*").alias("outages"), F.sum("failures").alias("failures"), F.max("failures").alias("most"))
 
 
+def breaker_states(spark, sf_dir):
+    """When each provider's breaker opens and closes: five failures in a row, half an hour shut, one trial call."""
+    told = events.breaker_states(_stage_events(spark, sf_dir).withColumn("err_kind", F.when((F.col("tokens") * 7919) % 100 < 70, "timeout")), 5, 1800.0)
+    return told.select("provider", F.unix_micros("ts").alias("at"), "state")
+
+
 _KINDS = ["pdf", "docx", "png", "csv", "tiff", "xlsx", "jpeg"]
 
 
@@ -436,8 +442,18 @@ def breaker_replay(spark, sf_dir):
 
 
 def scheme_types(spark, sf_dir):
-    node = schema.json_schema_text(ORDER)
-    return spark.createDataFrame([(f.key, f.kind, T.StructType.jsonValue(schema.spark_type(ORDER))["fields"][k]["name"], len(node)) for k, f in enumerate(ORDER.fields)], "key string, kind string, name string, size int")
+    """Replies parsed with the schema's own Spark type: what each member is, and how many values of that type the replies hold."""
+    shape = schema.spark_type(ORDER)
+    parsed = order_replies(spark, sf_dir).select(F.from_json("reply", shape).alias("r"))
+    told = parsed.agg(*[F.count(f"r.{m.name}").alias(m.name) for m in shape.fields])
+    cells = F.array(*[F.struct(F.lit(m.metadata["key"]).alias("key"), F.lit(m.dataType.simpleString()).alias("type"), F.lit(";".join(m.metadata["rules"])).alias("rules"), F.col(m.name).alias("n")) for m in shape.fields])
+    return told.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def ev_observe(spark, sf_dir):
+    """What validated orders are observed to hold, field by field."""
+    seen = evaluation.observe(scoring.answer(scoring.score(_order_fields(spark, sf_dir))))
+    return seen.select("doc", "key", "got", "confidence", "flagged")
 
 
 def src_detect(spark, sf_dir):
@@ -487,28 +503,27 @@ def finding_background(spark, sf_dir):
 
 
 def norm_map(spark, sf_dir):
+    """Documents set in words of one width, so that a page is one block: the text, and whether its segments lie end to end over it."""
     from folioforge.operators import mapping
 
-    w = words_of_documents(spark, sf_dir).withColumn("conf", F.lit(1.0))
+    w = words_of_documents(spark, sf_dir).withColumn("maxx", F.col("minx") + 42).withColumn("conf", F.lit(1.0))
     made = mapping.normalise_words(w)
-    last = F.element_at("segments", -1)["end"]
-    return made.select("doc_id", F.size("pages").alias("pages"), (last == F.length("text")).alias("tiled"))
+    gaps = F.size(F.filter("segments", lambda s: s["end"] <= s["start"])) + F.size(F.filter(F.transform("segments", lambda s, k: F.when(k > 0, F.get("segments", k - 1)["end"]).otherwise(F.lit(0)) - s["start"]), lambda d: d != 0))
+    return made.select("doc_id", F.size("pages").alias("pages"), F.md5("text").alias("digest"), ((gaps == 0) & (F.element_at("segments", -1)["end"] == F.length("text"))).alias("tiled"))
 
 
 def prompt_requests(spark, sf_dir):
-    from folioforge.operators import prompt
-
-    pages = order_replies(spark, sf_dir).select("doc_id", F.array("source").alias("bodies"))
+    pages = order_replies(spark, sf_dir).select("doc_id", F.array("source", F.concat(F.lit("page two of "), "doc_id")).alias("bodies"))
     r = prompt.requests(pages, ORDER)
-    return r.select("doc_id", (F.length("request") - F.length(F.replace("request", F.lit("Order n-"), F.lit("")))).alias("held"), F.col("error").isNull().alias("bounded"))
+    return r.select("doc_id", F.md5("request").alias("digest"), F.length("request").alias("size"), "error")
 
 
 FUNCTIONS = (
     src_detect, src_csv, src_pdf, finding_background, norm_map, prompt_requests,
     conv_number, conv_bool_int, date_parse, date_order, date_clock, fmt_iban, fmt_phone, fmt_email, fmt_codes, norm_canonical, gnd_literal, gnd_numbers, asm_walk, val_rules, gnd_fields, score_answers, explain_field, cmp_readings, xf_rules, xf_sum, asm_cross_field, gnd_hit,
     ev_report, ev_calibration, ev_bands, ev_risk, ev_risk_at, ev_review, ev_cost, ev_compare, ev_leaf_keys, ocr_reading_order, norm_lines, norm_median_height, norm_regions, finding_table, finding_instructions, finding_off_page,
-    join_interval, join_as_of, join_spatial, join_anti_semi, agree_pairs, otel_metrics, otel_spans, events_window, events_outages, breaker_replay, scheme_types,
-    acquire_route, acquire_pages, acquire_unread, acquire_second, acquire_usage, ev_flatten, ev_equal, ev_excluded,
+    join_interval, join_as_of, join_spatial, join_anti_semi, agree_pairs, otel_metrics, otel_spans, events_window, events_outages, breaker_replay, breaker_states, scheme_types,
+    acquire_route, acquire_pages, acquire_unread, acquire_second, acquire_usage, ev_flatten, ev_equal, ev_excluded, ev_observe,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -524,14 +539,19 @@ _M = """coalesce(correct / nullif(expected, 0)::DOUBLE, 0) AS exact, coalesce(co
 _W = r"""w AS (SELECT doc_id, i, t AS text, i // 480 + 1 AS page, (i // 12) % 40 AS line, (i % 12) * 45.0 + 20 AS minx, ((i // 12) % 40) * 18.0 + 30 AS miny
   FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS t, unnest(range(len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')))) AS i FROM documents))"""
 
+_P = r"""l AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY i) AS t FROM w GROUP BY 1, 2, 3), p AS (SELECT doc_id, page, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY 1, 2),
+  j AS (SELECT doc_id, page, regexp_replace(regexp_replace(regexp_replace(t, '(\p{L})[-\x{2010}\x{2011}\x{2012}]\n(\p{Ll})', '\1\2', 'g'), '\x{ad}\n(\p{L})', '\1', 'g'), '(\p{L}[-\x{2010}\x{2011}\x{2012}])\n(\p{Lu})', '\1\2', 'g') AS t FROM p),
+  x AS (SELECT doc_id, count(*) AS pages, string_agg('[page ' || page || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY page) AS text FROM j GROUP BY 1)"""
+
 ORACLE_SQL = {
     "src_detect": """SELECT n_nationkey::BIGINT AS doc_id, ['png', 'jpeg', 'tiff', 'webp', 'pdf', 'csv', NULL][n_nationkey % 7 + 1] AS kind, [1, 1, 0, 1, 0, 0, 0][n_nationkey % 7 + 1] AS pages,
         ['image/png', 'image/jpeg', 'image/tiff', 'image/webp', 'application/pdf', 'text/csv', NULL][n_nationkey % 7 + 1] AS media, CASE WHEN n_nationkey % 7 = 6 THEN 'unsupported' END AS error FROM nation""",
     "src_csv": """SELECT n_regionkey::BIGINT AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name || ',"N, ' || n_nationkey || '"') AS INTEGER) AS line, n_name || '|N, ' || n_nationkey AS cells FROM nation""",
     "src_pdf": """SELECT n_nationkey::BIGINT AS doc_id, 1 AS page, 600.0::DOUBLE AS width, 800.0::DOUBLE AS height, length(n_name) + 7 + 11 AS chars,
         '0:' || replace(n_name, ' ', ' 0:') || ' 0:nation 1:of 1:region 1:' || n_regionkey AS words, CASE WHEN (length(n_name) + 18) / (600 * 800 / 5184.0) < 0.5 THEN 'too little text' END AS unusable FROM nation""",
-    "norm_map": r"SELECT doc_id, CAST((len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) - 1) // 480 + 1 AS INTEGER) AS pages, true AS tiled FROM documents",
-    "prompt_requests": "SELECT o_orderkey AS doc_id, 8 AS held, true AS bounded FROM orders",
+    "prompt_requests": f"""WITH o AS (SELECT o_orderkey AS doc_id, 'Order n-' || o_orderkey || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ' total ' || CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE format('{{:,.2f}}', o_totalprice) END || ' status ' || o_orderstatus AS src, substr(sha256(o_orderkey || '/content/0'), 1, 32) AS b FROM orders),
+        r AS (SELECT doc_id, '{prompt.instruction(ORDER)}' || chr(10) || chr(10) || 'BEGIN ' || b || ' page 1' || chr(10) || src || chr(10) || 'END ' || b || chr(10) || chr(10) || 'BEGIN ' || b || ' page 2' || chr(10) || 'page two of ' || doc_id || chr(10) || 'END ' || b AS request FROM o)
+        SELECT doc_id, md5(request) AS digest, CAST(length(request) AS INTEGER) AS size, NULL AS error FROM r""",
     "conv_number": "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber % 4 = 2 THEN -l_extendedprice ELSE l_extendedprice END, 2) AS value FROM lineitem",
     "conv_bool_int": """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS flag, CAST(l_quantity AS BIGINT) AS quantity,
         CASE WHEN round_even(l_extendedprice, 0) < 32768 THEN CAST(round_even(l_extendedprice, 0) AS BIGINT) END AS price16 FROM lineitem""",
@@ -568,6 +588,17 @@ ORACLE_SQL = {
     "xf_rules": """SELECT 'items' AS rule, count(*) FILTER (ok) AS applicable, count(*) FILTER (ok AND doc % 7 <> 0) AS passed FROM (SELECT l_orderkey AS doc, max(l_linenumber) = count(DISTINCT l_linenumber) AND count(*) = count(DISTINCT l_linenumber) AS ok FROM lineitem GROUP BY 1)
         UNION ALL SELECT 'order', count(*), count(*) FILTER (a = b) FROM (SELECT min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_orderkey) UNION ALL SELECT 'gone', 0, 0""",
     "finding_background": "SELECT n_nationkey::BIGINT AS doc_id, 'background-colour' AS kind, 1 AS page, 2 AS n, 50.0::DOUBLE AS minx FROM nation WHERE n_nationkey % 5 IN (1, 4)",
+    "scheme_types": """SELECT 'number' AS key, 'string' AS type, 'required' AS rules, count(*) AS n FROM orders UNION ALL SELECT 'issued', 'date', 'required;format=date', count(*) FILTER (o_orderkey % 2 = 0) FROM orders
+        UNION ALL SELECT 'status', 'string', 'enum=O|F', count(*) FROM orders UNION ALL SELECT 'total', 'double', 'required;max=300000', 0 FROM orders GROUP BY 1 UNION ALL SELECT 'customer', 'string', '', count(*) FILTER (o_orderkey % 5 <> 0) FROM orders""",
+    "ev_observe": """SELECT o_orderkey AS doc, 'number' AS key, 'N-' || o_orderkey AS got, 1.0::DOUBLE AS confidence, false AS flagged FROM orders
+        UNION ALL SELECT o_orderkey, 'issued', CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%-d %B %Y') END, 1.0, false FROM orders
+        UNION ALL SELECT o_orderkey, 'status', o_orderstatus, CASE WHEN o_orderstatus IN ('O', 'F') THEN 1.0 ELSE 0.0 END, o_orderstatus NOT IN ('O', 'F') FROM orders
+        UNION ALL SELECT o_orderkey, 'total', format('{:,.2f}', o_totalprice), CASE WHEN round(o_totalprice, 2) > 300000 THEN 0.4 ELSE 1.0 END, round(o_totalprice, 2) > 300000 FROM orders
+        UNION ALL SELECT o_orderkey, 'customer', CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey::VARCHAR END, CASE WHEN o_orderkey % 5 <> 0 THEN 1.0 ELSE 0.0 END, false FROM orders""",
+    "norm_lines": f"WITH {_W}, {_P} SELECT doc_id, md5(text) AS digest FROM x",
+    "norm_map": f"WITH {_W}, {_P} SELECT doc_id, CAST(pages AS INTEGER) AS pages, md5(text) AS digest, true AS tiled FROM x",
+    "gnd_numbers": r"""WITH g AS (SELECT doc_id, regexp_replace(text, '(\d)[ ''\x{a0}\x{2009}\x{202f}\x{2019}](\d\d\d)(\D|$)', '\1·\2\3', 'g') AS t FROM documents), h AS (SELECT doc_id, regexp_replace(t, '(\d)[ ''\x{a0}\x{2009}\x{202f}\x{2019}](\d\d\d)(\D|$)', '\1·\2\3', 'g') AS t FROM g),
+        n AS (SELECT doc_id, unnest(regexp_extract_all(t, '(^|[^\p{L}_\d.,])([-\x{2212}]?\d+(?:[.,·]\d+)*)', 2)) AS token FROM h) SELECT doc_id, count(*) AS tokens, CAST(max(length(token)) AS INTEGER) AS longest FROM n GROUP BY 1""",
     "xf_sum": """WITH o AS (SELECT o_orderkey AS doc_id, round(o_totalprice / 100) AS tax, o_orderkey % 4 <> 0 AS told, o_orderkey % 9 <> 0 AS fits FROM orders)
         SELECT doc_id, 'sum' AS rule, 'total,net,tax' AS keys, told AS applicable, CASE WHEN told THEN fits END AS passed, CASE WHEN told AND NOT fits THEN 'the parts do not add up' END AS message FROM o
         UNION ALL SELECT doc_id, 'low tax', 'tax', told, CASE WHEN told THEN tax <= 1000 END, CASE WHEN told AND tax > 1000 THEN 'the tax is high' END FROM o""",
@@ -614,7 +645,6 @@ ORACLE_SQL = {
     "ev_equal": """SELECT o_orderkey, key, CASE key WHEN 'priority' THEN o_orderkey % 4 <> 0 WHEN 'money' THEN o_orderkey % 3 = 0 WHEN 'code' THEN false WHEN 'flag' THEN o_orderkey % 2 = 0 ELSE true END AS same
         FROM orders, (VALUES ('total'), ('day'), ('priority'), ('money'), ('code'), ('flag')) k(key)""",
     "ev_excluded": f"WITH {_J} SELECT {_T} FROM j WHERE doc % 6 <> 0",
-    "gnd_numbers": None,
     "norm_median_height": f"WITH {_W}, r AS (SELECT doc_id, length(text) AS h, row_number() OVER (PARTITION BY doc_id ORDER BY length(text)) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM w WHERE length(text) > 0) SELECT doc_id, h::DOUBLE AS height FROM r WHERE k = n // 2 + 1",
     "norm_regions": f"WITH {_W}, l AS (SELECT doc_id, page, line, max(minx + 5.0 * length(text)) AS r FROM w GROUP BY 1, 2, 3) SELECT doc_id, count(*) AS lines, round(sum(r), 3)::DOUBLE AS \"right\" FROM l GROUP BY 1",
     "ocr_reading_order": f"WITH {_W}, o AS (SELECT doc_id, page, i, row_number() OVER (PARTITION BY doc_id, page ORDER BY floor(miny / (792.0 / 64)), minx, i) AS ord FROM w) SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(max(ord) AS INTEGER) AS last, CAST(sum(ord * i) AS BIGINT) AS mix FROM o GROUP BY 1, 2",

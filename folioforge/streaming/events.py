@@ -51,30 +51,50 @@ def outages(events: DataFrame, gap: str = "30 seconds", wait: str = "10 minutes"
 
 
 def breaker_states(events: DataFrame, failures: int = FAILURES, cooldown: float = COOLDOWN) -> DataFrame:
-    """(provider, ts, state) whenever a provider's breaker opens or closes, by event time: a stateful operator keyed by provider.
+    """(provider, ts, state) whenever a provider's breaker opens or closes, by event time; batch or stream.
 
-    State per provider: consecutive failures, and when it opened. Events of a batch are taken in time order.
+    State per provider: consecutive failures, and when it opened. In a stream it is kept between batches, whose events
+    are taken in time order. Over a table a provider's events pass one task in time order, an Arrow batch in memory at a time:
+    what a breaker does depends on all that it did before.
     """
 
+    def advance(pdf: pd.DataFrame, count: int, opened: float) -> tuple[list, int, float]:
+        rows = []
+        for provider, at, bad in pdf[["provider", "ts", "bad"]].itertuples(index=False):
+            now = at.timestamp()
+            if opened >= 0 and now - opened < cooldown:
+                continue
+            if bad:
+                count += 1
+                if opened >= 0 or count >= failures:
+                    opened = now
+                    rows.append((provider, at, "open"))
+            else:
+                if opened >= 0:
+                    rows.append((provider, at, "closed"))
+                count, opened = 0, -1.0
+        return rows, count, opened
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         count, opened = state.get if state.exists else (0, -1.0)
-        rows = []
+        made = []
         for pdf in frames:
-            for at, bad in pdf.sort_values("ts")[["ts", "bad"]].itertuples(index=False):
-                now = at.timestamp()
-                if opened >= 0 and now - opened < cooldown:
-                    continue
-                if bad:
-                    count += 1
-                    if opened >= 0 or count >= failures:
-                        opened = now
-                        rows.append((key[0], at, "open"))
-                else:
-                    if opened >= 0:
-                        rows.append((key[0], at, "closed"))
-                    count, opened = 0, -1.0
+            rows, count, opened = advance(pdf.assign(provider=key[0]).sort_values("ts"), count, opened)
+            made += rows
         state.update((count, opened))
-        yield pd.DataFrame(rows, columns=["provider", "ts", "state"])
+        yield pd.DataFrame(made, columns=columns)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, count, opened = None, 0, -1.0
+        for pdf in frames:
+            for provider, part in pdf.groupby("provider", sort=False, dropna=False):
+                if provider != last:
+                    last, count, opened = provider, 0, -1.0
+                rows, count, opened = advance(part, count, opened)
+                yield pd.DataFrame(rows, columns=columns)
 
+    columns, made = ["provider", "ts", "state"], "provider string, ts timestamp, state string"
     marked = events.select("provider", "ts", F.col("err_kind").isin("unavailable", "rate_limited", "timeout").alias("_b")).select("provider", "ts", F.coalesce("_b", F.lit(False)).alias("bad"))
-    return marked.groupBy("provider").applyInPandasWithState(step, "provider string, ts timestamp, state string", "count int, opened double", "append", "NoTimeout")
+    if not events.isStreaming:
+        return marked.repartition("provider").sortWithinPartitions("provider", "ts").mapInPandas(walk, made)
+    return marked.groupBy("provider").applyInPandasWithState(step, made, "count int, opened double", "append", "NoTimeout")
