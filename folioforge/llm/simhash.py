@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.linking import BKForest, spanning_edges
-from folioforge.llm.shared import arrow_map, batch_of, connected_components, counted_words, discard, free_name, materialize, salted_join, text_slices
+from folioforge.llm.shared import arrow_map, batch_of, connected_components, counted_words, discard, free_name, materialize, salted_join, slices, text_slices
 
 SHARD_ROWS = 8192  # fingerprints of one shard that one task holds; larger shards are split into pairs of chunks
 FRONTIER = 4_000_000  # query-member pairs that a batch of queries could reach at most
@@ -178,7 +178,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 WIDE = 256  # bits of the fingerprints that similar texts are searched by
-UNSEEN = 0.005  # share of pairs at the least similarity that agree on no mask, or differ in more bits than the radius
+UNSEEN = 0.005  # share of pairs at the least similarity that agree on no mask, or differ in more bits than the radius; the prefixes find these
+ORDER_TEXTS = 8000  # rows, about, whose shingles tell which ones are common
+SKETCH = 256  # bins that a set's shingles are counted in, up to 255 each
+TASK_SHINGLES = 500_000  # shingles of prefixes that are searched together
+DEALT_TEXTS = 4000  # texts whose prefixes are dealt together
+ORDER_SHINGLES = 200_000  # common shingles that are broadcast, 16 bytes each
 
 
 def shingle_hashes(bodies: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -236,25 +241,34 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Fingerprints of WIDE bits, a bit set in over half of a text's distinct shingles' hashes, find candidates: texts
     that agree on one of a number of random bit masks meet in a shard, whose BK-tree is searched. Of the candidates
     of a shard the cheapest spanning forest is verified on the whole shingle sets, so groups of many like texts never
-    give all their pairs. Null, empty and wordless texts are one class; texts of any length count whole; rows without
-    id take part; repeated rows are one class.
+    give all their pairs. What this leaves apart is searched exactly: similar sets share a shingle of their prefixes
+    (_prefixes), and every pair of texts of different groups that does, and whose sizes and places allow it, is verified
+    as well. So no link is lost, and groups are the components of all links. Null, empty and wordless texts are one
+    class; texts of any length count whole; rows without id take part; repeated rows are one class.
     """
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, text_col, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen = TaskContext.get().partitionId() << 33
         for batch in batches:
             for rows, bodies in text_slices(batch, "body"):
                 owner, h, s0, s1 = shingle_hashes(bodies, width)
+                prefix, size = _prefixes(owner, h, len(bodies), similarity, *common.value)
+                row = np.arange(seen, seen + len(bodies))
+                seen += len(bodies)
                 wide = np.stack([_mixed(h + np.uint64((k + 1) * 0xA0761D6478BD642F % 2**64)) for k in range(WIDE // 64)], axis=1)
                 cut = np.searchsorted(owner, np.arange(len(bodies) + 1))
                 prints = np.array([majority(wide[a:b]) if b > a else np.zeros(WIDE // 64, np.uint64) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.uint64).reshape(-1, WIDE // 64)
-                yield batch_of(doc_id=rows.column("doc_id"), th=rows.column("th"), s0=s0.view(np.int64), s1=s1.view(np.int64), **{w: np.ascontiguousarray(prints[:, k]).view(np.int64) for k, w in enumerate(words)})
+                yield batch_of(doc_id=rows.column("doc_id"), th=rows.column("th"), row=row, size=size, prefix=prefix, sketch=_sketches(owner, h, len(bodies)), s0=s0.view(np.int64), s1=s1.view(np.int64), **{w: np.ascontiguousarray(prints[:, k]).view(np.int64) for k, w in enumerate(words)})
 
     words = [f"f{k}" for k in range(WIDE // 64)]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("body"))
-    signed = materialize(arrow_map(source, sign, "doc_id long, th long, s0 long, s1 long, " + ", ".join(f"{w} long" for w in words)), "signatures")
-    rows = signed.groupBy("s0", "s1", "doc_id", "th").agg(F.count("*").alias("copies"), *[F.first(w).alias(w) for w in words])
-    grouped = rows.groupBy("s0", "s1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "copies")).alias("first"), *[F.first(w).alias(w) for w in words])
-    classes = materialize(grouped.select("first", *words, F.monotonically_increasing_id().alias("rep")), "text-classes")
+    signed = materialize(arrow_map(source, sign, "doc_id long, th long, row long, size long, prefix array<long>, sketch binary, s0 long, s1 long, " + ", ".join(f"{w} long" for w in words)), "signatures")
+    rows = signed.groupBy("s0", "s1", "doc_id", "th").agg(F.count("*").alias("copies"), F.min("row").alias("rep"), *[F.first(w).alias(w) for w in words])
+    grouped = rows.groupBy("s0", "s1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "copies")).alias("first"), F.min("rep").alias("rep"), *[F.first(w).alias(w) for w in words])
+    classes = materialize(grouped.select("first", *words, "rep"), "text-classes")
     total = classes.count()
     bits, masks, radius = _wide_plan(total, similarity)
     rng = np.random.default_rng(seed)
@@ -266,10 +280,163 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         keys.append(F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.col(w).bitwiseAND(F.lit(_signed(int(m)))) for w, m in zip(words, parts, strict=True) if m]).alias("key")))
     found = materialize(_shard_links(classes, F.array(*keys), words, radius, masks * total).distinct(), "similar-pairs")
     linked = materialize(connected_components(_verified(found, classes, docs, id_col, text_col, width, similarity)), "similar-components")
-    discard(signed, found)
+    apart = materialize(_prefix_pairs(signed, classes, linked, similarity), "apart-pairs")
+    rest = materialize(_possible(apart, signed, similarity), "possible-pairs")
+    if rest.head(1):
+        more = _verified(rest, classes, docs, id_col, text_col, width, similarity)
+        before, linked = linked, materialize(connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "similar-components")
+        discard(before)
+    discard(signed, found, apart, rest)
     return classes.select("rep", "first"), linked
 
 
+def _common_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and counts) of shingles that 3 or more of about ORDER_TEXTS rows hold, ORDER_SHINGLES of them at most. They order prefixes; any list gives the same links."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, bodies in text_slices(batch, "body"):
+                h, c = np.unique(shingle_hashes(bodies, width)[1], return_counts=True)
+                yield batch_of(h=h.view(np.int64), c=c.astype(np.int64))
+
+    share = min(1.0, ORDER_TEXTS / max(1, docs.count()))
+    some = docs.select(F.col(text_col).alias("body")).filter(F.rand(17) < share)
+    counts = arrow_map(some, shingles, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter("c >= 3")
+    rows = counts.orderBy(F.desc("c"), "h").limit(ORDER_SHINGLES).toArrow()
+    h = rows["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows["c"].to_numpy()[order]
+
+
+def _prefixes(owner: np.ndarray, h: np.ndarray, texts: int, similarity: float, keys: np.ndarray, counts: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+    """(prefixes, sizes) of the texts' sorted shingle sets (owner, h): the first size - ceil(similarity * size) + 1, by their count in (keys, counts), then by hash.
+
+    Two sets of that Jaccard similarity share ceil(similarity * size) of the larger one's shingles or more, so their
+    prefixes in one order have a shingle in common.
+    """
+    size = np.bincount(owner, minlength=texts).astype(np.int64)
+    if keys.size and h.size:
+        at = np.minimum(np.searchsorted(keys, h), keys.size - 1)
+        often = np.where(keys[at] == h, counts[at], 0)
+        if often.any():
+            h = h[np.lexsort((often, owner))]  # stable: equal counts stay in the order of their hashes
+    most = np.where(size > 0, size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1, 0)
+    place = np.arange(h.size) - np.repeat(np.cumsum(size) - size, size)
+    kept = h[place < most[owner]]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]).astype(np.int32)), pa.array(kept.view(np.int64))), size
+
+
+def _prefix_pairs(signed: DataFrame, classes: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of classes of different groups in `linked` that share a shingle of their prefixes and may be similar by their sizes and its places.
+
+    Texts of one group are never paired, so the many shingles that like texts share cost no pairs. Shingles are dealt by
+    hash to groups of about TASK_SHINGLES, as binary columns: 21 million rows of 0.5 GB of texts filled 3 GB of disk.
+    """
+
+    def pairs_of(h: np.ndarray, group: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        run = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])])) - 1
+        begin = np.cumsum(np.bincount(run))[run]  # after the row's own group, to the end of its shingle
+        n = np.cumsum(np.bincount(bucket))[bucket] - begin
+        for a, b in slices(n.tolist(), FRONTIER):
+            i = np.repeat(np.arange(a, b), n[a:b])
+            j = np.arange(i.size) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + np.repeat(begin[a:b], n[a:b])
+            x, y = size[i], size[j]
+            most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(x - pos[i], y - pos[j]) - 1  # shingles before and after this one that both may hold
+            may = np.minimum(most, np.minimum(x, y)) >= similarity / (1 + similarity) * (x + y) - 1e-6
+            low, high = np.minimum(rep[i[may]], rep[j[may]]), np.maximum(rep[i[may]], rep[j[may]])
+            if low.size:
+                both = np.unique(np.stack([low, high], axis=1), axis=0)
+                yield batch_of(a=np.ascontiguousarray(both[:, 0]), b=np.ascontiguousarray(both[:, 1]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in (batch.slice(a, DEALT_TEXTS) for a in range(0, batch.num_rows, DEALT_TEXTS)):
+                prefix = rows.column("prefix")
+                bounds = prefix.offsets.to_numpy().astype(np.int64)
+                if bounds[0] == bounds[-1]:  # texts without words
+                    continue
+                many = np.diff(bounds)
+                text = np.repeat(np.arange(many.size), many)
+                h = prefix.values.to_numpy()[bounds[0] : bounds[-1]]
+                place = np.arange(h.size) - np.repeat(bounds[:-1] - bounds[0], many)
+                task = (_mixed(h.view(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+                order = np.argsort(task, kind="stable")
+                to, cut = np.unique(task[order], return_index=True)
+                rep, grp, size = (rows.column(c).to_numpy() for c in ("rep", "grp", "size"))
+                whole = {"h": h, "rep": rep[text], "grp": (grp ^ rep)[text], "size": size[text].astype(np.int32), "pos": place.astype(np.int32)}  # shuffled compressed: texts without a group give zeros
+                sorted_ = {c: x[order] for c, x in whole.items()}
+                ends = np.append(cut[1:], h.size)
+                yield batch_of(task=to.astype(np.int32), **{c: pa.array([x[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()) for c, x in sorted_.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = lambda c, kind: np.concatenate([np.frombuffer(b"".join(x.column(c).to_pylist()), kind) for x in held])
+            h = read("h", np.int64)
+            order = np.argsort(h)
+            h, rep = h[order], read("rep", np.int64)[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            some = ~(new & np.append(new[1:], True))  # what one text alone holds goes first
+            order, h, rep = order[some], h[some], rep[some]
+            if not h.size:
+                return
+            group = rep ^ read("grp", np.int64)[order]
+            place = np.lexsort((group, h))
+            h, rep, group, order = h[place], rep[place], group[place], order[place]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            last = np.append(first[1:], h.size) - 1
+            some = np.repeat(group[first] != group[last], last - first + 1)
+            if some.any():
+                yield from pairs_of(h[some], group[some], rep[some], *(read(c, np.int32)[order][some].astype(np.int64) for c in ("size", "pos")))
+
+        held, at = [], None
+        for batch in batches:
+            task = batch.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), task.size] if task.size else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and at != task[a]:
+                    yield from search(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                at = task[a]
+        if held:
+            yield from search(held)
+
+    groups = classes.join(linked, classes["rep"] == linked["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp"))
+    rows = signed.select("row", "size", "prefix").join(groups, F.col("row") == F.col("rep")).select("rep", "grp", "size", "prefix")
+    total = signed.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    tasks = max(1, -(-total // TASK_SHINGLES))
+    parts = "h binary, rep binary, grp binary, size binary, pos binary"
+    work = arrow_map(rows, deal, f"task int, {parts}").repartition(tasks, "task").sortWithinPartitions("task")
+    return arrow_map(work, run, "a long, b long").distinct()
+
+
+def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> pa.Array:
+    """Of each text, how many of its shingles fall into each of SKETCH bins, a byte each, 255 for more."""
+    bins = owner * SKETCH + (_mixed(h) % np.uint64(SKETCH)).astype(np.int64)
+    raw = np.minimum(np.bincount(bins, minlength=texts * SKETCH), 255).astype(np.uint8).tobytes()
+    return pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(np.arange(0, SKETCH * (texts + 1), SKETCH, dtype=np.int32)), pa.py_buffer(raw)])
+
+
+def _possible(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity: sets differ in as many shingles as their bins' counts do, or more. Spares the reading of most pairs' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("x", "y"))
+                both = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+                may = (both - np.abs(x - y).sum(axis=1, dtype=np.int64)) / 2 >= similarity / (1 + similarity) * both - 1e-6
+                yield batch_of(a=batch.column("a").to_numpy()[may], b=batch.column("b").to_numpy()[may])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("uses"))
+    each = signed.select(F.col("row").alias("rep"), "size", "sketch").join(asked, "rep")
+    total = 2 * pairs.count()
+    left = salted_join(pairs.withColumnRenamed("a", "rep"), each.select("rep", "uses", F.col("size").alias("n"), F.col("sketch").alias("x")), "rep", "uses", total).withColumnRenamed("rep", "a")
+    both = salted_join(left.withColumnRenamed("b", "rep"), each.select("rep", "uses", F.col("size").alias("m"), F.col("sketch").alias("y")), "rep", "uses", total).withColumnRenamed("rep", "b")
+    return arrow_map(both, run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose texts' shingle sets are similar. One row of each class is read again, by its id and text."""
 

@@ -169,6 +169,27 @@ def test_similar_texts(spark, monkeypatch, rows):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_of_families(spark, monkeypatch):
+    """Families around the threshold, where the nearest fingerprints are often not those of similar sets: every link counts, also without any proposed pair."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for size in rng.integers(14, 60, 25).tolist():
+        base = list(rng.choice(words, size))
+        for _ in range(12):
+            u = list(base)
+            for at in rng.integers(0, size, int(rng.integers(0, 4))):
+                u[int(at) if rng.random() < 0.3 else int(at) % 3 - (int(at) % 2) * 3] = str(rng.choice(words))
+            texts.append(" ".join(u + ["a line that many of the texts end with"] * (len(texts) % 2)))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [plain_shingles(t) for t in texts]
+    label = closure(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    firsts = {k for k, g in enumerate(label) if k == g}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == firsts
+    monkeypatch.setattr(simhash, "_shard_links", lambda prints, *_: prints.selectExpr("rep as a", "rep as b").limit(0))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == firsts
+
+
 def test_hot_keys_and_samples(spark):
     from folioforge.llm.shared import lowest, salted_join
     from pyspark.sql import functions as F
