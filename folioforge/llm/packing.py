@@ -33,12 +33,16 @@ def combinations_of(slots: int, depth: int = 3) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Least squares of a x = b over x >= 0, by the active-set method of Lawson and Hanson."""
+    """Least squares of a x = b over x >= 0, by the active-set method of Lawson and Hanson.
+
+    Products of columns are formed for the passive ones only, no more than a has rows, as those of all pairs would fill
+    250 MB for the combinations of 256 bins.
+    """
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gram, right = a.T @ a, a.T @ b
+    right = a.T @ b
     slack = 1e-9 * max(1.0, np.abs(right).max(initial=0))
     for _ in range(rounds):
-        gradient = right - gram @ x
+        gradient = right - a.T @ (a @ x)
         gradient[passive] = -np.inf
         best = int(gradient.argmax())
         if gradient[best] <= slack:
@@ -46,7 +50,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         passive[best] = True
         while True:
             on = np.flatnonzero(passive)
-            s = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=None)[0]
+            s = np.linalg.lstsq(a[:, on].T @ a[:, on], right[on], rcond=None)[0]
             if (s > 0).all():
                 x[:] = 0
                 x[on] = s
@@ -97,12 +101,12 @@ def plan(histogram: np.ndarray, depth: int = 3) -> Plan:
         take((window,), int(left[window]))
     combos = [c for c in combinations_of(window, depth) if len(c) > 1 and all(left[s] for s in c)]
     if combos:
+        weight = np.sqrt(np.arange(window + 1) / window + 0.05)
         a = np.zeros((window + 1, len(combos)))
         for k, c in enumerate(combos):
             for s in c:
-                a[s, k] += 1
-        weight = np.sqrt(np.arange(window + 1) / window + 0.05)
-        repeats = nnls(a * weight[:, None], left * weight)
+                a[s, k] += weight[s]
+        repeats = nnls(a, left * weight)
         for k in np.argsort(-repeats, kind="stable"):
             c = combos[k]
             times = min(int(repeats[k] + 1e-6), *(int(left[s] // c.count(s)) for s in set(c)))

@@ -1,5 +1,6 @@
 """Token ids, packing and id files against the tokenizers library and round trips."""
 
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -60,6 +61,15 @@ def test_nnls_against_projected_gradient():
     assert (x >= 0).all() and (gradient > -1e-7).all() and abs(gradient @ x) < 1e-7
 
 
+def test_plan_of_all_bins_is_small():
+    """All combinations of 256 bins: 16 MB a copy of the matrix; products of all their pairs would fill 250 MB of the driver."""
+    tracemalloc.start()
+    made = packing.plan(np.array([0, *np.random.default_rng(3).integers(1, 2000, 256)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.sequences > 0 and peak < 60e6
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=17, max_size=17))
 def test_plan_deals_every_piece_once(counts):
