@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,6 +184,8 @@ ORDER_TEXTS = 8000  # rows, about, whose shingles tell which ones are common
 SKETCH = 256  # bins that a set's shingles are counted in, up to 255 each
 TASK_SHINGLES = 500_000  # shingles of prefixes that are searched together
 DEALT_TEXTS = 4000  # texts whose prefixes are dealt together
+FEW = 20  # texts of a shingle that are compared before their sketches are read
+SKETCH_PAIRS = 20_000  # pairs whose sketches are compared together
 ORDER_SHINGLES = 200_000  # common shingles that are broadcast, 16 bytes each
 
 
@@ -242,7 +245,7 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     that agree on one of a number of random bit masks meet in a shard, whose BK-tree is searched. Of the candidates
     of a shard the cheapest spanning forest is verified on the whole shingle sets, so groups of many like texts never
     give all their pairs. What this leaves apart is searched exactly: similar sets share a shingle of their prefixes
-    (_prefixes), and every pair of texts of different groups that does, and whose sizes and places allow it, is verified
+    (_prefixes), and every pair of texts of different groups that does, and whose sizes, places and sketches allow it, is verified
     as well. So no link is lost, and groups are the components of all links. Null, empty and wordless texts are one
     class; texts of any length count whole; rows without id take part; repeated rows are one class.
     """
@@ -281,12 +284,11 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = materialize(_shard_links(classes, F.array(*keys), words, radius, masks * total).distinct(), "similar-pairs")
     linked = materialize(connected_components(_verified(found, classes, docs, id_col, text_col, width, similarity)), "similar-components")
     apart = materialize(_prefix_pairs(signed, classes, linked, similarity), "apart-pairs")
-    rest = materialize(_possible(apart, signed, similarity), "possible-pairs")
-    if rest.head(1):
-        more = _verified(rest, classes, docs, id_col, text_col, width, similarity)
+    if apart.head(1):
+        more = _verified(apart, classes, docs, id_col, text_col, width, similarity)
         before, linked = linked, materialize(connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "similar-components")
         discard(before)
-    discard(signed, found, apart, rest)
+    discard(signed, found, apart)
     return classes.select("rep", "first"), linked
 
 
@@ -327,13 +329,16 @@ def _prefixes(owner: np.ndarray, h: np.ndarray, texts: int, similarity: float, k
 
 
 def _prefix_pairs(signed: DataFrame, classes: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of classes of different groups in `linked` that share a shingle of their prefixes and may be similar by their sizes and its places.
+    """Distinct pairs (a, b) of classes of different groups in `linked` that share a shingle of their prefixes and may be similar by their sizes, its places and their sketches.
 
     Texts of one group are never paired, so the many shingles that like texts share cost no pairs. Shingles are dealt by
-    hash to groups of about TASK_SHINGLES, as binary columns: 21 million rows of 0.5 GB of texts filled 3 GB of disk.
+    hash to groups of about TASK_SHINGLES, as binary columns: 21 million rows of 0.5 GB of texts filled 3 GB of disk. Of
+    each group the texts that may have a partner, a row each, get their sketches and meet again. Pairs leave a task only
+    where the sketches allow the similarity: texts of like sizes that share some lines gave pairs by the square of their number.
     """
 
-    def pairs_of(h: np.ndarray, group: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def meetings(h: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) of rows, sorted by shingle and group, that share a shingle h, not a group, and may be similar."""
         bucket = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
         run = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])])) - 1
         begin = np.cumsum(np.bincount(run))[run]  # after the row's own group, to the end of its shingle
@@ -344,10 +349,7 @@ def _prefix_pairs(signed: DataFrame, classes: DataFrame, linked: DataFrame, simi
             x, y = size[i], size[j]
             most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(x - pos[i], y - pos[j]) - 1  # shingles before and after this one that both may hold
             may = np.minimum(most, np.minimum(x, y)) >= similarity / (1 + similarity) * (x + y) - 1e-6
-            low, high = np.minimum(rep[i[may]], rep[j[may]]), np.maximum(rep[i[may]], rep[j[may]])
-            if low.size:
-                both = np.unique(np.stack([low, high], axis=1), axis=0)
-                yield batch_of(a=np.ascontiguousarray(both[:, 0]), b=np.ascontiguousarray(both[:, 1]))
+            yield i[may], j[may]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,38 +371,75 @@ def _prefix_pairs(signed: DataFrame, classes: DataFrame, linked: DataFrame, simi
                 ends = np.append(cut[1:], h.size)
                 yield batch_of(task=to.astype(np.int32), **{c: pa.array([x[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()) for c, x in sorted_.items()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read = lambda c, kind: np.concatenate([np.frombuffer(b"".join(x.column(c).to_pylist()), kind) for x in held])
-            h = read("h", np.int64)
-            order = np.argsort(h)
-            h, rep = h[order], read("rep", np.int64)[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            some = ~(new & np.append(new[1:], True))  # what one text alone holds goes first
-            order, h, rep = order[some], h[some], rep[some]
-            if not h.size:
-                return
-            group = rep ^ read("grp", np.int64)[order]
-            place = np.lexsort((group, h))
-            h, rep, group, order = h[place], rep[place], group[place], order[place]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            last = np.append(first[1:], h.size) - 1
-            some = np.repeat(group[first] != group[last], last - first + 1)
-            if some.any():
-                yield from pairs_of(h[some], group[some], rep[some], *(read(c, np.int32)[order][some].astype(np.int64) for c in ("size", "pos")))
-
-        held, at = [], None
-        for batch in batches:
-            task = batch.column("task").to_numpy()
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), task.size] if task.size else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and at != task[a]:
-                    yield from search(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                at = task[a]
-        if held:
-            yield from search(held)
+    def by_task(search: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, at = [], None
+            for batch in batches:
+                task = batch.column("task").to_numpy()
+                cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), task.size] if task.size else [0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if held and at != task[a]:
+                        yield from search(at, held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+                    at = task[a]
+            if held:
+                yield from search(at, held)
+
+        return run
+
+    def met(task: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text that shares a shingle with another group: the numbers of such shingles and its places."""
+        read = lambda c, kind: np.concatenate([np.frombuffer(b"".join(x.column(c).to_pylist()), kind) for x in held])
+        h = read("h", np.int64)
+        order = np.argsort(h)
+        h, rep = h[order], read("rep", np.int64)[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        some = ~(new & np.append(new[1:], True))  # what one text alone holds goes first
+        order, h, rep = order[some], h[some], rep[some]
+        if not h.size:
+            return
+        group = rep ^ read("grp", np.int64)[order]
+        place = np.lexsort((group, h))
+        h, rep, group, order = h[place], rep[place], group[place], order[place]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        rows = np.diff(np.append(first, h.size))
+        some = np.repeat(group[first] != group[first + rows - 1], rows)
+        if not some.any():
+            return
+        few = np.repeat(rows <= FEW, rows)[some]
+        h, rep, group, order = h[some], rep[some], group[some], order[some]
+        size, pos = (read(c, np.int32)[order].astype(np.int64) for c in ("size", "pos"))
+        keep = ~few  # all texts of a shingle of many, so that the time of this pass follows the shingles
+        if few.any():
+            own = np.flatnonzero(few)
+            for i, j in meetings(h[few], group[few], size[few], pos[few]):
+                keep[own[i]] = keep[own[j]] = True
+        if not keep.any():
+            return
+        bucket = np.unique(h, return_inverse=True)[1][keep]
+        rep, group, size, pos = rep[keep], group[keep], size[keep], pos[keep]
+        order = np.lexsort((bucket, rep))
+        start = np.flatnonzero(np.concatenate([[True], rep[order][1:] != rep[order][:-1]]))
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(np.append(start, order.size).astype(np.int32)), pa.array(x[order].astype(np.int32)))
+        one = order[start]
+        yield batch_of(task=pa.array(np.full(one.size, task, np.int32)), rep=rep[one], grp=group[one], size=size[one], buckets=listed(bucket), places=listed(pos))
+
+    def paired(_: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep, group, size = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("rep", "grp", "size"))
+        sketch = np.concatenate([np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8) for x in held]).reshape(-1, SKETCH)
+        bucket, pos = (np.concatenate([x.column(c).flatten().to_numpy() for x in held]).astype(np.int64) for c in ("buckets", "places"))
+        text = np.repeat(np.arange(rep.size), np.concatenate([pc.list_value_length(x.column("buckets")).to_numpy() for x in held]))
+        order = np.lexsort((group[text], bucket))
+        text = text[order]
+        for i, j in meetings(bucket[order], group[text], size[text], pos[order]):
+            both = np.unique(np.minimum(text[i], text[j]) * rep.size + np.maximum(text[i], text[j]))
+            for at in range(0, both.size, SKETCH_PAIRS):
+                i, j = np.divmod(both[at : at + SKETCH_PAIRS], rep.size)
+                may = _sketches_allow(sketch[i], sketch[j], size[i] + size[j], similarity)
+                if may.any():
+                    a, b = rep[i[may]], rep[j[may]]
+                    yield batch_of(a=np.minimum(a, b), b=np.maximum(a, b))
 
     groups = classes.join(linked, classes["rep"] == linked["node"], "left").select("rep", F.coalesce("component", "rep").alias("grp"))
     rows = signed.select("row", "size", "prefix").join(groups, F.col("row") == F.col("rep")).select("rep", "grp", "size", "prefix")
@@ -408,7 +447,9 @@ def _prefix_pairs(signed: DataFrame, classes: DataFrame, linked: DataFrame, simi
     tasks = max(1, -(-total // TASK_SHINGLES))
     parts = "h binary, rep binary, grp binary, size binary, pos binary"
     work = arrow_map(rows, deal, f"task int, {parts}").repartition(tasks, "task").sortWithinPartitions("task")
-    return arrow_map(work, run, "a long, b long").distinct()
+    texts = arrow_map(work, by_task(met), "task int, rep long, grp long, size long, buckets array<int>, places array<int>")
+    known = texts.join(signed.select(F.col("row").alias("rep"), "sketch"), "rep").repartition(tasks, "task").sortWithinPartitions("task")
+    return arrow_map(known, by_task(paired), "a long, b long").distinct()
 
 
 def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> pa.Array:
@@ -418,23 +459,10 @@ def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(np.arange(0, SKETCH * (texts + 1), SKETCH, dtype=np.int32)), pa.py_buffer(raw)])
 
 
-def _possible(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sketches allow the similarity: sets differ in as many shingles as their bins' counts do, or more. Spares the reading of most pairs' texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("x", "y"))
-                both = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-                may = (both - np.abs(x - y).sum(axis=1, dtype=np.int64)) / 2 >= similarity / (1 + similarity) * both - 1e-6
-                yield batch_of(a=batch.column("a").to_numpy()[may], b=batch.column("b").to_numpy()[may])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("uses"))
-    each = signed.select(F.col("row").alias("rep"), "size", "sketch").join(asked, "rep")
-    total = 2 * pairs.count()
-    left = salted_join(pairs.withColumnRenamed("a", "rep"), each.select("rep", "uses", F.col("size").alias("n"), F.col("sketch").alias("x")), "rep", "uses", total).withColumnRenamed("rep", "a")
-    both = salted_join(left.withColumnRenamed("b", "rep"), each.select("rep", "uses", F.col("size").alias("m"), F.col("sketch").alias("y")), "rep", "uses", total).withColumnRenamed("rep", "b")
-    return arrow_map(both, run, "a long, b long")
+def _sketches_allow(x: np.ndarray, y: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of `both` shingles in sum may be similar by their sketches, rows of x and y: they differ in as many shingles as their bins' counts do, or more."""
+    apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    return (both - apart) / 2 >= similarity / (1 + similarity) * both - 1e-6
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:

@@ -190,6 +190,32 @@ def test_similar_texts_of_families(spark, monkeypatch):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == firsts
 
 
+def test_texts_of_shared_lines_give_few_pairs(spark, monkeypatch):
+    """Texts that share many of their lines, and so shingles of their prefixes: only what may be similar is proposed, and no link is lost."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(rng.choice([f"w{i}" for i in range(500)], 12)) for _ in range(20)]
+    texts = [" ".join(lines[k] for k in np.sort(rng.choice(20, 12, replace=False))) for _ in range(150)]
+    texts += [t + f" and {k} more" for k, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [plain_shingles(t) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    share = sum(bool(sets[a] & sets[b]) for a in range(len(texts)) for b in range(a))
+    label, proposed = closure(len(texts), alike), []
+    whole = simhash._prefix_pairs
+
+    def counted(*given):
+        out = whole(*given)
+        proposed.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_prefix_pairs", counted)
+    monkeypatch.setattr(simhash, "_shard_links", lambda prints, *_: prints.selectExpr("rep as a", "rep as b").limit(0))
+    for few in (20, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {k for k, g in enumerate(label) if k == g}
+    assert len(alike) <= proposed[0] == proposed[1] < share / 10, (len(alike), proposed, share)
+
+
 def test_hot_keys_and_samples(spark):
     from folioforge.llm.shared import lowest, salted_join
     from pyspark.sql import functions as F
