@@ -184,6 +184,7 @@ ORDER_TEXTS = 8000  # rows, about, whose shingles tell which ones are common
 SKETCH = 256  # bins that a set's shingles are counted in, up to 255 each
 TASK_SHINGLES = 500_000  # shingles of prefixes that are searched together
 DEALT_TEXTS = 4000  # texts whose prefixes are dealt together
+SIGNED_CHARS = 1_000_000  # characters of the texts that are signed together: a worker takes 177 MB, 271 with 4 million
 FEW = 20  # texts of a shingle that are compared before their sketches are read
 SKETCH_PAIRS = 20_000  # pairs whose sketches are compared together
 ORDER_SHINGLES = 200_000  # common shingles that are broadcast, 16 bytes each
@@ -256,7 +257,7 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
         seen = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for rows, bodies in text_slices(batch, "body"):
+            for rows, bodies in text_slices(batch, "body", SIGNED_CHARS):
                 owner, h, s0, s1 = shingle_hashes(bodies, width)
                 prefix, size = _prefixes(owner, h, len(bodies), similarity, *common.value)
                 row = np.arange(seen, seen + len(bodies))
