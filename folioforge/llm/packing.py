@@ -175,16 +175,18 @@ def place(pieces: DataFrame, *, window: int = 4096, slot: int = 16, depth: int =
     """pieces (task, bin, nth, length and any other columns) without task, bin and nth, with sequence_id and offset.
 
     The histogram has window / slot bins whatever the data, and the plan a bounded number of deals, so only these
-    reach the driver. Pieces are numbered within their bin by counts per task.
+    reach the driver. Pieces are numbered within their bin by counts per task. The counts are taken twice from two
+    columns of the pieces, as a table of them would be a file of a few rows for each partition of a shuffle.
     """
     spark, slots = pieces.sparkSession, window // slot
-    counts = materialize(pieces.groupBy("task", "bin").agg(F.count("*").alias("n")), "piece-counts")
-    histogram = np.zeros(slots + 1, np.int64)
-    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most window / slot rows
+    counts = pieces.groupBy("task", "bin").agg(F.count("*").alias("n"))
+    histogram, rows = np.zeros(slots + 1, np.int64), 0
+    for r in counts.groupBy("bin").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect():  # at most window / slot rows
         histogram[r["bin"]] = r["n"]
+        rows += r["tasks"]
     deals = spark.createDataFrame(plan(histogram, depth).deals, "d_bin int, low long, high long, per long, first long")
     before = counts.select("task", "bin", (F.sum("n").over(Window.partitionBy("bin").orderBy("task")) - F.col("n")).alias("before"))
-    if counts.count() <= SMALL_COUNTS:  # 24 bytes a row; beyond, the join shuffles
+    if rows <= SMALL_COUNTS:  # 24 bytes a row; beyond, the join shuffles
         before = F.broadcast(before)
     kept = [c for c in pieces.columns if c not in ("task", "bin", "nth")]
     numbered = pieces.join(before, ["task", "bin"]).withColumn("_rank", F.col("before") + F.col("nth"))

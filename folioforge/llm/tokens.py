@@ -9,7 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from folioforge.llm.shared import slices
+
 TOKEN_SLICE = 12_000_000  # bytes of the texts that are encoded together
+LIBRARY_CHARS = 200_000  # characters, and 10 for each string, that the library encodes at once, as it holds 100 bytes for each id that it returns
 _SPACED = re.compile(r"\s \s|\s $")
 _MARKS = ".,!?;:$%&*#|"
 _SPACES = "\t\r\x0b\x0c"
@@ -67,8 +70,8 @@ class WordTokenizer:
     def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of strings, every one by itself."""
         parts, sizes = [np.empty(0, np.uint32)], []
-        for a in range(0, len(strings), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(strings[a : a + 20_000], add_special_tokens=False)]
+        for a, b in slices([len(s) + 10 for s in strings], LIBRARY_CHARS):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(strings[a:b], add_special_tokens=False)]
             sizes += map(len, got)
             parts.append(np.fromiter((x for i in got for x in i), np.uint32, sum(map(len, got))))
         return np.concatenate(parts), np.array(sizes, np.int64)
@@ -79,8 +82,8 @@ class WordTokenizer:
         parts, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         bounds = np.append(np.arange(0, len(words), 500), len(words)).astype(np.int32)
         strings = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words), " ").to_pylist()
-        for at in range(0, len(strings), 40):
-            for k, e in enumerate(self.tokenizer.encode_batch_fast([lead + s for s in strings[at : at + 40]], add_special_tokens=False), at):
+        for a, b in slices([len(s) + 10 for s in strings], LIBRARY_CHARS):
+            for k, e in enumerate(self.tokenizer.encode_batch_fast([lead + s for s in strings[a:b]], add_special_tokens=False), a):
                 ids = np.array(e.ids, np.uint32)
                 edge = np.flatnonzero(self.edge[ids])
                 if edge.size != bounds[k + 1] - bounds[k] or not (edge[0] == 0 if self.joined else edge[-1] == ids.size - 1):

@@ -107,6 +107,15 @@ def test_packing(spark, sf):
     assert total / (4096 * len(sequences)) > 0.97
 
 
+def test_pieces_are_all_that_packing_writes(spark, monkeypatch):
+    """A table of counts would be a file of a few rows for each partition of their shuffle; on file systems without a native library each starts processes."""
+    written, write = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, label: written.append(label) or write(df, label))
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(1, 40)], "doc_id long, text string").repartition(5)
+    pieces = packing.pack(docs, WORD).collect()
+    assert written == ["pieces"] and sum(r.length for r in pieces) == sum(3 * i + 1 for i in range(1, 40))
+
+
 def test_id_files(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_ids(spark, sf).collect()}
@@ -130,6 +139,30 @@ def test_edges(spark):
 LETTERS = ["İ,", "ALİ, VELİ.", "\u0958,", "\u09dc.", "\ufb2a!", "H\u0331, h E\u0301. x", "ΟΔΟΣ. ΟΔΟΣ, ς", "хорошо. Й! й", "don't. we'll, x's.", "a  b", " lead", "end \n", "a\n b", "a\nb.\nC", "a\n\nb", "\x01a \x02b", "ß. ẞ, ﬁ! ½ ２，", "ﬁn. ŉ, ǰ!"]
 
 
+@pytest.mark.parametrize("path, joined", [(WORD, False), (BYTE, True)])
+def test_the_library_gets_few_characters_at_once(path, joined):
+    """It holds 100 bytes for each id it returns: 6 MB of texts without spaces took 600 MB of a worker."""
+    words, given = WordTokenizer(path, joined), []
+
+    class Told:
+        def encode_batch_fast(self, strings, **options):
+            given.append(sum(map(len, strings)))
+            return library.encode_batch_fast(strings, **options)
+
+        def encode(self, text, **options):
+            return library.encode(text, **options)
+
+    library, words.tokenizer = words.tokenizer, Told()
+    random = np.random.default_rng(5)
+    texts = ["".join(map(chr, random.integers(low, low + 16 * (1 + k % 900), 1000))) for low in (0x4E00, 0x30) for k in range(300)]
+    texts += ["a few words", "", *(f"{k}-{k * k}" for k in range(30_000))]
+    words.encode(texts[:1])
+    ids, lengths = words.encode(texts)
+    assert sum(given) > 600_000 and max(given) <= 200_000
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_letters_that_do_not_stay_letters():
     for words in (BYTES, WORDS):
         for texts in (LETTERS, [t + " " + u for t in LETTERS for u in LETTERS]):
