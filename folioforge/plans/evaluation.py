@@ -24,24 +24,24 @@ def flatten(expected: DataFrame, *, doc_col: str = "doc", json_col: str = "expec
     type is string, number, bool, object or array, text the value as it is written (numbers keep their digits). Texts that are no
     JSON object give no rows; deeper nesting than `depth` stays as the JSON text of its container.
     """
-    raw = F.try_parse_json(F.col(json_col))
-    level = expected.select(F.col(doc_col).alias("doc"), F.lit("").alias("key"), raw.alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
-    shape = F.schema_of_variant("v")
-    done = None
-    for at in range(depth + 1):
-        kinds = level.withColumn("_s", shape).withColumn("_j", F.to_json(F.col("v")))
-        empty = F.col("_j").isin("{}", "[]")
-        nested = (F.col("_s").startswith("OBJECT") | F.col("_s").startswith("ARRAY")) & ~empty
-        kind = F.when(F.col("_s").startswith("OBJECT"), "object").when(F.col("_s").startswith("ARRAY"), "array").when(F.col("_s") == "STRING", "string").when(F.col("_s") == "BOOLEAN", "bool").otherwise("number")
-        leaf = kinds.filter((~nested | F.lit(at == depth)) & (F.col("_s") != "VOID") & (F.col("key") != "")).select("doc", "key", kind.alias("type"), F.when(F.col("_s") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.col("_j")).alias("text"))
-        done = leaf if done is None else done.unionByName(leaf)
-        if at == depth:
-            break
-        inner = kinds.filter(nested)
-        members = inner.filter(F.col("_s").startswith("OBJECT")).select("doc", "key", F.explode(F.from_json("_j", "map<string,variant>")).alias("k", "v")).select("doc", F.when(F.col("key") == "", F.col("k")).otherwise(F.concat("key", F.lit("."), "k")).alias("key"), "v")
-        items = inner.filter(F.col("_s").startswith("ARRAY")).select("doc", "key", F.posexplode(F.from_json("_j", "array<variant>")).alias("i", "v")).select("doc", F.concat("key", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("key"), "v")
-        level = members.unionByName(items).filter("v is not null")
-    return done
+    cell = "struct<key:string,type:string,text:string,v:variant>"
+    made = lambda key, type_, text_, v: F.struct(key.alias("key"), type_.alias("type"), text_.alias("text"), v.alias("v")).cast(cell)
+    null, key, v = F.lit(None).cast("string"), F.col("key"), F.col("v")
+    kind = F.when(F.col("_s").startswith("OBJECT"), "object").when(F.col("_s").startswith("ARRAY"), "array").when(F.col("_s") == "STRING", "string").when(F.col("_s") == "BOOLEAN", "bool").otherwise("number")
+    leaf = F.array(made(key, kind, F.when(F.col("_s") == "STRING", F.variant_get("v", "$", "string")).otherwise(F.col("_j")), F.lit(None).cast("variant")))
+    nested = (F.col("_s").startswith("OBJECT") | F.col("_s").startswith("ARRAY")) & ~F.col("_j").isin("{}", "[]")
+    within = lambda k: F.when(key == "", k).otherwise(F.concat(key, F.lit("."), k))
+    members = F.transform(F.map_entries(F.from_json("_j", "map<string,variant>")), lambda e: made(within(e["key"]), null, null, e["value"]))
+    items = F.transform(F.from_json("_j", "array<variant>"), lambda x, i: made(F.concat(key, F.lit("["), i.cast("string"), F.lit("]")), null, null, x))
+    inner = F.filter(F.when(F.col("_s").startswith("OBJECT"), members).otherwise(items), lambda c: c["v"].isNotNull())
+    root = expected.select(F.col(doc_col).alias("doc"), F.try_parse_json(F.col(json_col)).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    level = root.select("doc", F.lit("").alias("key"), null.alias("type"), null.alias("text"), "v")
+    for at in range(depth + 1):  # a row is a leaf, with its type, or a value that is still to be opened
+        told = level.withColumn("_s", F.when(F.col("type").isNull(), F.schema_of_variant(v))).withColumn("_j", F.when(F.col("type").isNull(), F.to_json(v)))
+        opened = F.when(nested, inner).when((F.col("_s") != "VOID") & (key != ""), leaf) if at < depth else F.when((F.col("_s") != "VOID") & (key != ""), leaf)
+        after = F.when(F.col("type").isNotNull(), F.array(made(key, F.col("type"), F.col("text"), F.lit(None).cast("variant")))).otherwise(opened)
+        level = told.select("doc", F.explode_outer(after).alias("c")).filter("c is not null").select("doc", "c.*")  # explode() would have them worked out once more, in a filter of its own
+    return level.drop("v")
 
 
 def same_typed(want: Column, got: Column, want_type: Column, got_type: Column) -> Column:
