@@ -47,16 +47,28 @@ def _compositions() -> dict[str, str]:
     return made
 
 
+def _ranges(chars) -> str:
+    """Characters as ranges for a class of a regular expression, which tests the parts of a class one after the other."""
+    points = sorted({ord(ch) for ch in chars})
+    ends = [(p, q) for p, q in zip([None, *points], [*points, None], strict=True) if p is None or q is None or q != p + 1]
+    return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for (_, low), (high, _) in zip(ends, ends[1:], strict=False))
+
+
+_ODD = r"[^\x00-\x9F]"
 _MARKS = r"\x{300}-\x{36F}"
-_RARE = "[" + "".join(ch for ch in MANY if ord(ch) < 0x10000) + r"\x{1D400}-\x{1D7FF}" + _MARKS + "]"
-_PIECES = f"(?s)(?:(?!{_RARE}).)+(?![{_MARKS}])|[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+"  # plain runs as they are, rare characters with the marks behind them
+_SINGLE = f"(?={_ODD})[{_ranges(ONE)}]"
+_MULTIPLE = _ranges(ch for ch in MANY if ord(ch) < 0x10000) + r"\x{1D400}-\x{1D7FF}"
+_RARE = f"(?={_ODD})[{_MULTIPLE}{_MARKS}]"
+_CLUSTERS = f"[^{_MARKS}][{_MARKS}]+|(?={_ODD})(?:[{_MULTIPLE}]|[{_MARKS}]+)"  # characters with marks behind them, other rare ones, and marks at the start
 _FOLDS = "\x1e".join(f"{k}\x1f{v}" for k, v in (MANY | _compositions()).items())
+_SPACE = r"\s\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}"
+_SPACES = f"(?: (?=[{_SPACE}])|[{_SPACE}&&[^ ]])[{_SPACE}]*"  # runs but for a space alone
 
 
 def canonical(c: Column) -> Column:
     """Compatibility forms folded, marks composed with their letters, every run of white space one space; not trimmed.
 
-    Only texts that hold one of the rare characters are taken apart; the table of folds is one constant.
+    Texts of ASCII alone skip the folds, and of others only the rare characters are taken out; the table of folds is one constant.
     """
     table = F.str_to_map(F.lit(_FOLDS), F.lit("\x1e"), F.lit("\x1f"))
 
@@ -65,16 +77,16 @@ def canonical(c: Column) -> Column:
         head = F.substring(x, 1, 1)
         return F.aggregate(F.split(F.substring(x, F.lit(2), F.length(x)), ""), F.coalesce(F.try_element_at(table, head), head), lambda acc, mark: F.coalesce(F.try_element_at(table, F.concat(acc, mark)), F.concat(acc, mark)))
 
-    def taken_apart(t: Column) -> Column:
-        pieces = F.transform(F.regexp_extract_all(t, F.lit(_PIECES), F.lit(0)), lambda x: F.when(x.rlike(_RARE), cluster(x)).otherwise(x))
-        return F.when(t.rlike(_RARE), F.array_join(pieces, "")).otherwise(t)
+    def taken_out(t: Column) -> Column:
+        whole = lambda found: F.array_join(F.transform(F.split(t, _CLUSTERS, -1), lambda gap, i: F.concat(gap, F.coalesce(cluster(F.get(found, i)), F.lit("")))), "")
+        return F.when(t.rlike(_RARE), let(F.regexp_extract_all(t, F.lit(_CLUSTERS), F.lit(0)), whole)).otherwise(t)
 
-    whole = let(F.translate(c, "".join(ONE), "".join(ONE.values())), taken_apart)
-    return F.regexp_replace(whole, r"[\s\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+", " ")
+    single = lambda t: F.when(t.rlike(_SINGLE), F.translate(t, "".join(ONE), "".join(ONE.values()))).otherwise(t)
+    return F.regexp_replace(let(c, lambda t: F.when(t.rlike(_ODD), let(single(t), taken_out)).otherwise(t)), _SPACES, " ")
 
 
 def without_ignorable(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{ZERO_WIDTH}{BIDI}\\x{{e0000}}-\\x{{e007f}}]", "")
+    return F.regexp_replace(c, rf"(?={_ODD})[{_ranges(ZERO_WIDTH + BIDI)}\x{{e0000}}-\x{{e007f}}]", "")
 
 
 def folded(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions import dates, text, values
+from folioforge.functions.expr import let
 from folioforge.operators import acquire, evidence, fields, layout, normalise, prompt, schema, scoring
 from folioforge.plans import evaluation, joins
 from folioforge.streaming import events
@@ -108,7 +109,8 @@ def conv_bool_int(spark, sf_dir):
 def norm_canonical(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     odd = F.concat(F.lit("ﬁ ½ ２ "), F.col("text"))
-    return d.select("doc_id", F.md5(text.canonical(odd)).alias("digest"), F.length(text.canonical(odd)).alias("n"))
+    c = d.select("doc_id", let(text.canonical(odd), lambda t: F.struct(F.md5(t).alias("digest"), F.length(t).alias("n"))).alias("c"))
+    return c.select("doc_id", "c.digest", "c.n")
 
 
 def gnd_literal(spark, sf_dir):

@@ -24,3 +24,8 @@ def test_flatten_reads_its_table_once(spark):
     assert plan(got).count("Generate explode") <= 7
     want = {(1, "a.b[0]", "number", "1.5"), (1, "a.b[1].d", "array", "[]"), (1, "a.b[2]", "string", "x"), (1, "a.e", "object", "{}"), (1, "f", "bool", "true"), (5, "a.b.c.d.e.f", "object", '{"g":1}')}
     assert {tuple(r) for r in got.select("doc", "key", "type", "text").collect()} == want and got.count() == len(want)
+
+
+def test_canonical_is_worked_out_once(spark, sf):
+    assert plan(queries.norm_canonical(spark, sf)).count("translate(") == 1
+    assert len(text._RARE) < 600  # ranges; single characters are tested one after the other
