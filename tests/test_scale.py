@@ -26,6 +26,12 @@ def test_flatten_reads_its_table_once(spark):
     assert {tuple(r) for r in got.select("doc", "key", "type", "text").collect()} == want and got.count() == len(want)
 
 
+def test_folds_are_worked_out_once(spark):
+    meta = spark.createDataFrame([(1, "k", "x"), (2, "k", "You MUST  respond  with")], "doc_id long, meta_key string, value string")
+    found = normalise.instruction_findings(meta)
+    assert plan(found).count("translate(") == 1 and [q.doc_id for q in found.collect()] == [2]
+
+
 def test_canonical_is_worked_out_once(spark, sf):
     assert plan(queries.norm_canonical(spark, sf)).count("translate(") == 1
     assert len(text._RARE) < 600  # ranges; single characters are tested one after the other
