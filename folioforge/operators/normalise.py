@@ -27,9 +27,10 @@ def marker(page: Column) -> Column:
 def plain_text(words: DataFrame) -> DataFrame:
     """(doc_id, text): pages under their markers, lines by line hint, words by their order, one sort per document in the aggregate.
 
-    For words whose lines are known. Hyphens at the end of a line join with the next line where letters stand on
+    A document's words meet in one task at once, so that its lines and pages are not dealt out again. For words whose lines are known. Hyphens at the end of a line join with the next line where letters stand on
     both sides; the hyphen goes if the next letter is small.
     """
+    words = words.select("doc_id", "page", "line", "i", "text").repartition("doc_id")
     lines = words.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]), " ").alias("t"))
     pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("t"))
     joined = F.regexp_replace(F.regexp_replace(F.col("t"), r"(?<=\p{L})[-\x{2010}\x{2011}\x{2012}]\n(?=\p{Ll})|\x{ad}\n(?=\p{L})", ""), r"(?<=\p{L}[-\x{2010}\x{2011}\x{2012}])\n(?=\p{Lu})", "")
@@ -67,7 +68,7 @@ def instruction_findings(metadata: DataFrame) -> DataFrame:
     weak = lambda v: reduce(lambda x, y: x + y, [h.cast("int") for h in holds(v, WEAK)])
     hit = let(F.trim(text.folded(F.col("value"))), lambda v: reduce(lambda x, y: x | y, holds(v, STRONG)) | (weak(v) >= 2))
     safe = F.substring(F.regexp_replace("meta_key", r"[^A-Za-z0-9_.\-]", ""), 1, 64)
-    return metadata.withColumn("_v", folded).filter(hit).select("doc_id", *_finding("instruction", meta_key=safe))
+    return metadata.filter(hit).select("doc_id", *_finding("instruction", meta_key=safe))
 
 
 def why(kind: Column, page: Column, cp: Column, meta_key: Column, n: Column) -> Column:
