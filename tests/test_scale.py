@@ -18,6 +18,18 @@ def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+@pytest.mark.parametrize("word", ["word", "größer", "中文", "-"])
+def test_unchanged_words_are_one_unit(word):
+    assert mapping.canonical_units(word) == [(word, 0, len(word))]
+
+
+def test_joined_lines_lose_only_the_hyphen():
+    rows = [("Zeich-", 0), ("nung", 1), ("Ober-", 2), ("Amt", 3), ("\u00e9-", 4), ("o", 5), ("so\u00ad", 6), ("Da", 7)]
+    boxes = [mapping.Box(i, t, 10.0, 20.0 * n, 60.0, 20.0 * n + 10, n, 1.0) for i, (t, n) in enumerate(rows)]
+    made = mapping.normalise([(1, 612.0, 792.0, boxes)])
+    assert made["text"] == "[page 1]\nZeichnung\nOber-Amt\n\u00e9o\nsoDa" and all(mapping.tiles(made))
+
+
 def test_flatten_reads_its_table_once(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [1.50, {"c": null, "d": []}, "x"], "e": {}}, "f": true}'), (2, "[1]"), (3, "{"), (4, "{}"), (5, '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}}}')], "doc long, expected string")
     got = evaluation.flatten(df)
