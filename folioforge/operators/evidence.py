@@ -72,14 +72,18 @@ def ground(fields: DataFrame, sources: DataFrame, *, date_order: str = "", deriv
     return out.withColumn("size", F.when(F.col("at").isNotNull(), F.length("_plain"))).drop("_folded", "_numbers", "_dates", "_plain", "source")
 
 
-def hits(grounded: DataFrame, texts: DataFrame) -> DataFrame:
+def hits(grounded: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Adds page, regions and box of exact matches: the page of their first character, a box for each line they touch, and the box around those on that page.
 
     texts: doc_id, segments, pages, as normalise_words() gives them. Without a match, or without placed words, they are NULL
-    or empty. A text's segments are joined to the fields of its document, never exploded.
+    or empty. A text's segments are joined to the fields of its document, never exploded. Without texts, grounded has segments and pages
+    of its own rows, which a join with the same table would shuffle and sort once more; a row without a doc_id has no text in either case.
     """
     start = F.col("at") - 1
-    placed = grounded.join(texts.select("doc_id", "segments", "pages"), "doc_id", "left")
+    if texts is None:
+        placed = grounded.withColumns({k: F.when(F.col("doc_id").isNotNull(), F.col(k)) for k in ("segments", "pages")})
+    else:
+        placed = grounded.join(texts.select("doc_id", "segments", "pages"), "doc_id", "left")
     placed = placed.withColumn("regions", F.when(F.col("at").isNotNull(), mapping.regions_of(F.col("segments"), start, start + F.col("size"))))
     placed = placed.withColumn("page", F.when(F.col("at").isNotNull(), mapping.page_at(F.col("pages"), start)))
     own = F.filter("regions", lambda r: r["page"] == F.col("page"))

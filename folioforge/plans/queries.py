@@ -198,14 +198,14 @@ def gnd_hit(spark, sf_dir):
     """Page, lines and box of the 26 words from the sixth of every document, up to the end of shorter ones."""
     from pyspark.sql import Window
 
-    w = words_of_documents(spark, sf_dir)
-    end = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - 1
-    segment = F.struct((F.col("e") - F.length("text")).cast("int").alias("start"), F.col("e").cast("int").alias("end"), F.lit(0).alias("src_start"), F.length("text").alias("src_end"), "page", F.col("i").alias("word"), "line", "minx", "miny", "maxx", "maxy", F.lit(True).alias("verbatim"))
+    w = words_of_documents(spark, sf_dir).withColumn("n", F.length("text")).drop("text")
+    end = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("i")) - 1
+    segment = F.struct((F.col("e") - F.col("n")).cast("int").alias("start"), F.col("e").cast("int").alias("end"), F.lit(0).alias("src_start"), F.col("n").alias("src_end"), "page", F.col("i").alias("word"), "line", "minx", "miny", "maxx", "maxy", F.lit(True).alias("verbatim"))
     made = w.withColumn("e", end).select("doc_id", segment.alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("segments"), F.min(F.when(F.col("s.word") == 5, F.col("s.start"))).alias("a"), F.max(F.when(F.col("s.word").between(5, 30), F.col("s.end"))).alias("b"))
     body = F.transform(F.sequence(F.lit(1), F.element_at("segments", -1)["page"]), lambda p: F.filter("segments", lambda s: s["page"] == p))
     pages = F.transform(body, lambda b: F.struct(F.get(b, F.lit(0))["page"].alias("page"), F.get(b, F.lit(0))["start"].alias("marker_start"), F.get(b, F.lit(0))["start"].alias("body_start"), (F.element_at(b, -1)["end"] + 1).alias("end")))
     texts = made.withColumn("pages", pages)
-    h = evidence.hits(texts.select("doc_id", (F.col("a") + 1).alias("at"), (F.col("b") - F.col("a")).alias("size")), texts)
+    h = evidence.hits(texts.select("doc_id", (F.col("a") + 1).alias("at"), (F.col("b") - F.col("a")).alias("size"), "segments", "pages"))
     return h.select("doc_id", "page", F.size("regions").alias("lines"), *[F.round(F.col(f"box.{k}"), 3).alias(k) for k in ("minx", "miny", "maxx", "maxy")])
 
 

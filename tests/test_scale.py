@@ -47,3 +47,15 @@ def test_folds_are_worked_out_once(spark):
 def test_canonical_is_worked_out_once(spark, sf):
     assert plan(queries.norm_canonical(spark, sf)).count("translate(") == 1
     assert len(text._RARE) < 600  # ranges; single characters are tested one after the other
+
+
+def test_words_are_dealt_once(spark, sf):
+    assert exchanges(queries.norm_lines(spark, sf)) == 1 and exchanges(queries.gnd_hit(spark, sf)) == 1
+
+
+def test_hits_of_own_segments(spark):
+    segments = [(0, 4, 0, 4, 1, 0, 0, 1.0, 2.0, 3.0, 4.0, True)]
+    df = spark.createDataFrame([(7, 1, 4, segments, [(1, 0, 0, 5)]), (None, 1, 4, segments, [(1, 0, 0, 5)])], f"doc_id long, at int, size int, segments array<{mapping.SEGMENT}>, pages array<struct<page:int,marker_start:int,body_start:int,end:int>>")
+    own = evidence.hits(df)
+    joined = evidence.hits(df.select("doc_id", "at", "size"), df)
+    assert sorted(map(str, own.collect())) == sorted(map(str, joined.select(own.columns).collect()))
