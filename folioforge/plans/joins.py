@@ -27,11 +27,27 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").select(*left.columns, value)
 
 
+TILE_POINTS, TILE_BOXES = 20_000, 2_000  # of a grid cell, compared in one piece
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
-    """Points (x, y) with the boxes that hold them, through rows of grid cells `cell` high."""
-    wide = boxes.withColumn("_c", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell))))
+    """Points (x, y) with the boxes that hold them, through grid cells `cell` high and as wide as boxes are on average.
+
+    A crowded cell is dealt over tiles of some of its points and some of its boxes, so that no task holds a whole cell; the
+    numbers of tiles follow from counts by cell, of which there are fewer than rows.
+    """
+    mean = boxes.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.lit(0.0)))).first()[0]
+    width = mean if mean else 1.0
+    steps = lambda low, high, size: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+    wide = boxes.withColumn("_b", F.xxhash64(*boxes.columns)).withColumn("_c", steps("miny", "maxy", cell)).withColumn("_d", steps("minx", "maxx", width))
+    near = points.withColumn("_p", F.xxhash64(*points.columns)).withColumn("_c", F.floor(F.col("y") / cell)).withColumn("_d", F.floor(F.col("x") / width))
+    tiles = lambda side, size, name: side.groupBy("_c", "_d").agg(F.ceil(F.count("*") / size).alias(name))
+    counts = tiles(near, TILE_POINTS, "_np").join(tiles(wide, TILE_BOXES, "_nb"), ["_c", "_d"])
+    dealt = lambda side, own, n, other, m: side.join(counts, ["_c", "_d"]).withColumn(f"_t{own}", F.pmod(F.col(f"_{own}"), F.col(n))).withColumn(f"_t{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(m) - 1))).drop("_np", "_nb", f"_{own}")
     inside = (F.col("x") >= F.col("minx")) & (F.col("x") <= F.col("maxx")) & (F.col("y") >= F.col("miny")) & (F.col("y") <= F.col("maxy"))
-    return points.withColumn("_c", F.floor(F.col("y") / cell)).join(wide, "_c").filter(inside).drop("_c")
+    keys = ["_c", "_d", "_tp", "_tb"]
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiles are small but their pairs are not: a number keeps adaptive execution from joining them
+    return dealt(near, "p", "_np", "b", "_nb").repartition(spread, *keys).join(dealt(wide, "b", "_nb", "p", "_np"), keys).filter(inside).drop(*keys)
 
 
 def leaf_keys(keys: DataFrame) -> DataFrame:

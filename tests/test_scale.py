@@ -38,6 +38,18 @@ def test_flatten_reads_its_table_once(spark):
     assert {tuple(r) for r in got.select("doc", "key", "type", "text").collect()} == want and got.count() == len(want)
 
 
+def test_crowded_cells_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TILE_POINTS", 20)
+    monkeypatch.setattr(joins, "TILE_BOXES", 7)
+    r = random.Random(3)
+    points = [(i, float(r.randrange(40)), r.choice([5.0, 99.5, 100.0, -3.25])) for i in range(300)] + [(300, None, 1.0)]
+    boxes = [(i, float(x), -4.0, x + r.choice([0.0, 3.0, 25.0]), r.choice([5.0, 120.0])) for i, x in enumerate(r.choices(range(40), k=60))] + [(60, 9.0, 0.0, 3.0, 9.0), (61, None, 0.0, 3.0, 9.0)]
+    p = spark.createDataFrame(points + points[:2], "p long, x double, y double")
+    b = spark.createDataFrame(boxes, "b long, minx double, miny double, maxx double, maxy double")
+    want = sorted((k, n) for k, x, y in points + points[:2] for n, a, c, d, e in boxes if None not in (x, a) and a <= x <= d and c <= y <= e)
+    assert sorted(tuple(q) for q in joins.points_in_boxes(p, b, 100.0).select("p", "b").collect()) == want and len(want) > 500
+
+
 def test_folds_are_worked_out_once(spark):
     meta = spark.createDataFrame([(1, "k", "x"), (2, "k", "You MUST  respond  with")], "doc_id long, meta_key string, value string")
     found = normalise.instruction_findings(meta)
