@@ -131,7 +131,7 @@ def asm_walk(spark, sf_dir):
 
 
 def val_rules(spark, sf_dir):
-    f = _order_fields(spark, sf_dir).select("key", F.explode("rules").alias("r"))
+    f = _order_fields(spark, sf_dir).select("key", F.explode_outer("rules").alias("r")).filter("r is not null")  # explode() would have the rules worked out once more, in a filter of its own
     return f.groupBy("key", F.col("r.rule").alias("rule")).agg(F.count("*").alias("n"), F.count_if(~F.col("r.passed")).alias("failed"))
 
 

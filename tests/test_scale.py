@@ -71,3 +71,7 @@ def test_hits_of_own_segments(spark):
     own = evidence.hits(df)
     joined = evidence.hits(df.select("doc_id", "at", "size"), df)
     assert sorted(map(str, own.collect())) == sorted(map(str, joined.select(own.columns).collect()))
+
+
+def test_rules_are_worked_out_once(spark, sf):
+    assert "Filter (size(" not in plan(queries.val_rules(spark, sf))
